@@ -90,13 +90,14 @@ _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 OP1_SQL = f"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+words AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM docs),
 windows AS (
-  SELECT r, i, array_to_string(w[i:i + 34], ' ') AS s
-  FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM docs WHERE len(w) >= 35)
+  SELECT r, p AS i, string_agg(word, ' ') OVER whole AS s FROM words
+  WINDOW whole AS (PARTITION BY r ORDER BY p ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)
+  QUALIFY count(*) OVER whole = 35
 ),
 again AS (SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY s) > 1),
 gone AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS p FROM again),
-words AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM docs),
 kept AS (
   SELECT words.r, string_agg(word, ' ' ORDER BY words.p) AS t, count(*) AS n
   FROM words LEFT JOIN gone ON gone.r = words.r AND gone.p = words.p WHERE gone.p IS NULL GROUP BY words.r
