@@ -107,3 +107,13 @@ def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, min_words: int = 5
     out = out.withColumns({"base_failed": base, "failed_rules": F.array_compact(F.array(*broken)) if broken else F.array().cast("array<string>")})
     out = out.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
     return out.drop(*[c for c in out.columns if c.startswith("__") and c not in docs.columns])
+
+
+def kept_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of ``docs`` that the rules keep.
+
+    The row number keeps the optimizer from moving the filter below the projections, where each use
+    of an array of words would split the text again.
+    """
+    told = quality(docs, rules).withColumn("__row", F.monotonically_increasing_id())
+    return told.where("kept and __row >= 0").select(*[F.col(f"`{c}`") for c in docs.columns])
