@@ -6,8 +6,8 @@ up to that partition's threshold); each fingerprint probes the values within the
 what it meets is verified.
 
 Equal fingerprints are one node, so exact copies cost nothing. Near copies would meet in the same
-values pair by pair; so a first round links each probe to the two end members of the value it meets,
-and a second, complete round compares only fingerprints of different groups: where one group holds
+values pair by pair; so a first round links each probe to a few members, drawn by hash, of the value it
+meets, and a second, complete round compares only fingerprints of different groups: where one group holds
 most of a value's members, its own probes skip those members.
 
 Defined results: a null or empty text has fingerprint zero and links like any other; the component is
@@ -30,6 +30,8 @@ from newsloom.llm.common import stored
 from newsloom.llm.graph import components
 
 BITS = 64
+#: Members of a value that the first round compares with each probe of it.
+MEMBERS = 8
 
 
 def shingle_hashes(words: list[bytes], size: int, seed: int) -> np.ndarray:
@@ -203,11 +205,11 @@ def probed_values(nodes: DataFrame, parts: list[Part]) -> DataFrame:
     return nodes.select("*", F.inline(F.flatten(F.array(*probes))))
 
 
-def near(a: str, b: str, limits: dict[str, int]) -> Column:
-    """Whether rows ``a`` and ``b`` differ in at most the given number of bits of each fingerprint."""
+def near(pairs: dict[str, tuple[Column, Column]], limits: dict[str, int]) -> Column:
+    """Whether two nodes differ in at most the given number of bits of each fingerprint."""
     told = F.lit(True)
-    for name, most in limits.items():
-        told = told & (F.bit_count(F.col(f"{a}.{name}").bitwiseXOR(F.col(f"{b}.{name}"))) <= most)
+    for name, (a, b) in pairs.items():
+        told = told & (F.bit_count(a.bitwiseXOR(b)) <= limits[name])
     return told
 
 
@@ -218,11 +220,12 @@ def linked_groups(nodes: DataFrame, limits: dict[str, int]) -> DataFrame:
     """
     marks = list(limits)
     parts = plan(nodes, limits["fp"])
-    row = F.struct(*marks)
-    ends = held_values(nodes, parts).groupBy("part", "value").agg(F.min(row).alias("low"), F.max(row).alias("high"))
-    met = probed_values(nodes, parts).alias("q").join(ends.alias("e"), ["part", "value"])
-    pairs = met.select(F.struct(*[f"q.{c}" for c in marks]).alias("q"), F.explode(F.array("low", "high")).alias("x"))
-    first = pairs.where((F.col("q.fp") != F.col("x.fp")) & near("q", "x", limits)).select(F.col("q.fp").alias("a"), F.col("x.fp").alias("b"))
+    drawn = [F.min(F.struct(F.xxhash64("fp", "part", F.lit(salt)).alias("order"), *marks)) for salt in range(MEMBERS)]
+    some = F.array_distinct(F.transform(F.array(*[F.col(f"m{salt}") for salt in range(MEMBERS)]), lambda m: F.struct(*[m[c].alias(c) for c in marks])))
+    ends = held_values(nodes, parts).groupBy("part", "value").agg(*[d.alias(f"m{salt}") for salt, d in enumerate(drawn)]).select("part", "value", some.alias("some"))
+    met = probed_values(nodes, parts).join(ends, ["part", "value"])
+    links = F.filter("some", lambda m: (m["fp"] != F.col("fp")) & near({c: (F.col(c), m[c]) for c in marks}, limits))
+    first = met.select(F.col("fp").alias("a"), F.explode(F.transform(links, lambda m: m["fp"])).alias("b"))
     groups = components(first, "a", "b")
     known = nodes.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     known = stored(known.select(*marks, "root"), "simhash-groups")
@@ -236,7 +239,7 @@ def linked_groups(nodes: DataFrame, limits: dict[str, int]) -> DataFrame:
     asking = asking.select("part", "value", *marks, "root", F.explode(sides).alias("is_top"))
     there = held.join(top, ["part", "value"]).select("part", "value", *marks, "root", (F.col("root") == F.col("top")).alias("is_top"))
     meets = asking.alias("q").join(there.alias("x"), ["part", "value", "is_top"])
-    second = meets.where((F.col("q.root") != F.col("x.root")) & near("q", "x", limits)).select(F.col("q.root").alias("a"), F.col("x.root").alias("b"))
+    second = meets.where((F.col("q.root") != F.col("x.root")) & near({c: (F.col(f"q.{c}"), F.col(f"x.{c}")) for c in marks}, limits)).select(F.col("q.root").alias("a"), F.col("x.root").alias("b"))
     over = components(second, "a", "b")
     joined = known.join(over.select(F.col("node").alias("root"), F.col("root").alias("over")), "root", "left")
     return joined.select("fp", F.coalesce("over", "root").alias("root"))
