@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+from functools import cache
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def collapse_space(text: Column) -> Column:
@@ -29,3 +35,79 @@ def content_level(content: Column, min_chars: int = 200, min_paragraphs: int = 2
     """Whether a body is full, an excerpt, or absent."""
     long = (F.length(content) >= min_chars) & (F.size(F.split(content, "\n\n")) >= min_paragraphs)
     return F.when(content.isNull() | (F.length(content) == 0), "metadata").when(long, "full").otherwise("excerpt")
+
+
+#: Legal words that do not tell companies apart.
+LEGAL_WORDS = ("sas", "sasu", "sarl", "sa", "inc", "ltd", "gmbh", "france", "group", "groupe")
+
+
+@cache
+def _folds() -> tuple[str, str]:
+    """Characters whose compatibility form is one ASCII character, and that character."""
+    pairs = [(chr(c), unicodedata.normalize("NFKD", chr(c)).encode("ascii", "ignore").decode()) for c in range(128, sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+    single = [(a, b) for a, b in pairs if len(b) == 1]
+    return "".join(a for a, _ in single), "".join(b for _, b in single)
+
+
+def ascii_folded(text: Column) -> Column:
+    """ASCII only: accents go, other letters go too. Ligatures that would become two letters are dropped."""
+    return F.regexp_replace(F.translate(text, *_folds()), r"[^\x00-\x7F]", "")
+
+
+def slug(text: Column) -> Column:
+    """ASCII words in lower case, joined by hyphens."""
+    return F.regexp_replace(F.regexp_replace(F.lower(ascii_folded(text)), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
+
+
+def name_keys(name: Column) -> Column:
+    """``joined`` and ``sorted`` key of a company name without legal words; null if under four characters are left."""
+    words = F.regexp_extract_all(F.lower(ascii_folded(name)), F.lit(r"([a-z0-9]+)"), 1)
+    kept = F.filter(words, lambda w: ~w.isin(*LEGAL_WORDS))
+    joined = F.array_join(kept, "")
+    return F.when(F.length(joined) >= 4, F.struct(joined.alias("joined"), F.array_join(F.sort_array(kept), " ").alias("sorted")))
+
+
+@F.pandas_udf(StringType())
+def _unescaped(text: pd.Series) -> pd.Series:
+    from html import unescape
+
+    return text.map(unescape, na_action="ignore")
+
+
+def strip_html(text: Column) -> Column:
+    """Visible text: block ends become lines, tags go, entities are decoded, blanks collapse; null and empty stay."""
+    out = F.regexp_replace(text, r"(?i)<br\s*/?\s*>|</(?:p|div|h[1-6]|li|tr|blockquote)>", "\n")
+    out = _unescaped(F.regexp_replace(out, r"<[^>]+>", ""))
+    out = F.regexp_replace(F.regexp_replace(out, r"[ \t]+", " "), r"(?U)\n\s*\n+", "\n\n")
+    return F.regexp_replace(F.regexp_replace(out, r"(?U)[\s&&[^\n]]*\n[\s&&[^\n]]*", "\n"), r"(?U)^\s+|\s+$", "")
+
+
+def sector_group(sector: Column, groups: dict[str, list[str]]) -> Column:
+    """The group of that name, else of the keyword that starts a word earliest; ties go to the first group; else Other."""
+    low = F.lower(sector)
+    found = []
+    for rank, (group, keywords) in enumerate(groups.items()):
+        for word in keywords:
+            start = F.regexp_instr(low, F.lit(rf"(?<![a-z])\Q{word.lower()}\E"))
+            found.append(F.when(start > 0, F.struct(start.alias("at"), F.lit(rank).alias("rank"), F.lit(group).alias("group"))))
+    best = F.array_min(F.array_compact(F.array(*found)))["group"]
+    return F.when(sector.isin(*groups), sector).otherwise(F.coalesce(best, F.lit("Other")))
+
+
+def body_matches_title(title: Column, body: Column) -> Column:
+    """Whether at least four fifths of the paragraphs differ and, unless the title has none, one of its words is in the body."""
+    paragraphs = F.filter(F.transform(F.split(body, "\n\n"), lambda p: F.lower(collapse_space(p))), lambda p: p != "")
+    varied = (F.size(paragraphs) > 0) & (F.size(F.array_distinct(paragraphs)) >= F.size(paragraphs) * 0.8)
+    small = ("the", "and", "with", "for", "les", "des", "une", "dans", "pour", "sur", "avec")
+    words = F.filter(F.regexp_extract_all(F.lower(title), F.lit(r"(?U)(\w+)"), 1), lambda w: (F.length(w) > 2) & ~w.isin(*small))
+    pairs = F.flatten(F.transform(F.regexp_extract_all(title, F.lit("([\u3400-\u9fff]{2,})"), 1), lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.substring(w, i, F.lit(2)))))
+    told = F.concat(words, pairs)
+    return F.coalesce(varied & ((F.size(told) == 0) | F.exists(told, lambda w: F.contains(F.lower(body), w))), F.lit(False))
+
+
+def titles_match(first: Column, second: Column) -> Column:
+    """Whether half of the smaller title's words are in the other."""
+    words = lambda t: F.array_distinct(F.regexp_extract_all(F.lower(t), F.lit(r"(?U)(\w+)"), 1))
+    a, b = words(first), words(second)
+    least = F.least(F.size(a), F.size(b))
+    return F.coalesce((least > 0) & (F.size(F.array_intersect(a, b)) * 2 >= least), F.lit(False))

@@ -88,6 +88,25 @@ def crawl_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def reservations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``id, day, state, reserved, actual, usage_id`` in cents; every third is linked to a usage row."""
+    k = F.col("o_orderkey")
+    state = F.when(F.col("o_orderstatus") == "F", "settled").when(F.col("o_orderstatus") == "O", "reconciled").otherwise("reserved")
+    return read(spark, sf_dir, "orders").select(
+        k.alias("id"),
+        F.to_date(F.lit("2024-01-01")).alias("first"),
+        state.alias("state"),
+        F.floor("o_totalprice").cast("long").alias("reserved"),
+        F.floor(F.col("o_totalprice") / 2).cast("long").alias("actual"),
+        F.when(k % 3 == 0, k).alias("usage_id"),
+    ).withColumn("day", F.date_add("first", (F.col("id") % 30).cast("int"))).drop("first")
+
+
+def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``id, entity_id, created_at, finish``: errors end the entity's job, other events ask for one."""
+    return read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("entity_id"), F.col("ts").cast("timestamp").alias("created_at"), (F.col("event_type") == "error").alias("finish"))
+
+
 SQL = {
     "articles": """articles AS (
   SELECT o_orderkey AS id, o_custkey % 30 AS source_id, o_orderdate AS published_at, o_orderstatus = 'F' AS processed,
@@ -111,6 +130,11 @@ SQL = {
   FROM events)""",
     "crawl_runs": """crawl_runs AS (
   SELECT event_id AS id, user_id AS source_id, ts AS started_at, event_type <> 'error' AS ok, CAST(floor(value) AS BIGINT) AS valid FROM events)""",
+    "reservations": """reservations AS (
+  SELECT o_orderkey AS id, DATE '2024-01-01' + CAST(o_orderkey % 30 AS INTEGER) AS day, CASE o_orderstatus WHEN 'F' THEN 'settled' WHEN 'O' THEN 'reconciled' ELSE 'reserved' END AS state,
+    CAST(floor(o_totalprice) AS BIGINT) AS reserved, CAST(floor(o_totalprice / 2) AS BIGINT) AS actual, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey END AS usage_id FROM orders)""",
+    "job_events": """job_events AS (
+  SELECT event_id AS id, user_id AS entity_id, ts AS created_at, event_type = 'error' AS finish FROM events)""",
 }
 
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions import text as X
@@ -12,22 +9,11 @@ from newsloom.operators import articles as A
 from newsloom.operators import companies as C
 from newsloom.operators import monitoring as M
 from newsloom.plans import adapters as T
+from newsloom.plans import history_queries, page_queries  # noqa: F401 - they register their queries
 from newsloom.plans.adapters import AS_OF, RUNS_AS_OF, with_tables
+from newsloom.plans.registry import QUERIES, SQL, query  # noqa: F401
 from newsloom.streaming.usage import usage_windows
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str):
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__], SQL[f.__name__] = f, sql
-        return f
-
-    return add
-
-
 _SCORE = "coalesce(list_max(list_transform(highlights, lambda t: CASE t WHEN 'breakthrough' THEN 4 WHEN 'research' THEN 3 WHEN 'investment' THEN 2 WHEN 'event' THEN 1 ELSE 0 END)), 0)"
 _FEED = f"""feed AS (
   SELECT id, published_at, {_SCORE} AS score FROM articles

@@ -25,7 +25,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", list(QUERIES))
+@pytest.mark.parametrize("name", list(SQL))
 def test_same_rows(spark, duck, name):
     df = QUERIES[name](spark, SF)
     columns = sorted(df.columns)
