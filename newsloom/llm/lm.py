@@ -15,6 +15,8 @@ other columns take no part. Texts are read whole; sums run in word order.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,7 +27,8 @@ from newsloom.llm.common import mixed, row_chunks, text_buffers, word_bounds, wo
 WORD_SLOTS = 1 << 18
 PAIR_SLOTS = 1 << 20
 PAIR_WEIGHT = 0.6
-_COUNTS = "slot int, target long, background long"
+BLOCK = 1 << 13
+_BLOCKS = "block int, counts binary"
 
 
 def slots(data: np.ndarray, offsets: np.ndarray, words: int, pairs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -42,8 +45,26 @@ def slots(data: np.ndarray, offsets: np.ndarray, words: int, pairs: int) -> tupl
     return one, two, counts
 
 
+def _blocks(total: np.ndarray):
+    """Blocks of a table of counts that hold any, compressed."""
+    for low in range(0, total.shape[1], BLOCK):
+        part = total[:, low : low + BLOCK]
+        if part.any():
+            kind = np.min_scalar_type(part.max())
+            yield low // BLOCK, kind.char.encode() + zlib.compress(part.astype(kind).tobytes(), 6)
+
+
+def _unpacked(counts: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(counts[1:]), counts[:1].decode()).reshape(2, -1)
+
+
+def _batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([c for _, c in rows], pa.binary())], ["block", "counts"])
+
+
 def counted(labelled: DataFrame, words: int, pairs: int) -> DataFrame:
-    """``slot, target, background``: counts of all documents; pair slots follow word slots. Each task adds up its own first."""
+    """``block, counts`` of all documents; pair slots follow word slots. Each task adds up its own
+    table first and sends it in compressed blocks; a block's sums are added as they arrive."""
 
     def count(batches):
         total = np.zeros((2, words + pairs), np.int64)
@@ -57,13 +78,17 @@ def counted(labelled: DataFrame, words: int, pairs: int) -> DataFrame:
                     mine = model == m
                     total[m, :words] += np.bincount(one[mine], minlength=words)
                     total[m, words:] += np.bincount(two[mine & (two >= 0)], minlength=pairs)
-        at = np.flatnonzero(total.any(0))
-        for low in range(0, len(at), 1 << 16):
-            part = at[low : low + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[0, part]), pa.array(total[1, part])], ["slot", "target", "background"])
+        yield _batch(list(_blocks(total)))
+
+    def add(batches):
+        total = np.zeros((2, words + pairs), np.int64)
+        for batch in batches:
+            for block, counts in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist()):
+                part = _unpacked(counts)
+                total[:, block * BLOCK : block * BLOCK + part.shape[1]] += part
+        yield _batch(list(_blocks(total)))
 
-    made = labelled.mapInArrow(count, _COUNTS)
-    return made.groupBy("slot").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
+    return labelled.mapInArrow(count, _BLOCKS).repartition("block").mapInArrow(add, _BLOCKS)
 
 
 class Model:
@@ -87,10 +112,10 @@ def score(docs: DataFrame, labels: DataFrame, words: int = WORD_SLOTS, pairs: in
     spark = docs.sparkSession
     good = labels.groupBy("doc_id").agg(F.max("quality").alias("quality")).where("quality = 1 and doc_id is not null").select("doc_id", F.lit(True).alias("target"))
     labelled = docs.select("doc_id", "text").join(good, "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
-    got = counted(labelled, words, pairs).toArrow()  # at most words + pairs rows
     table = np.zeros((2, words + pairs), np.int64)
-    for m, name in enumerate(("target", "background")):
-        table[m, got["slot"].to_numpy()] = got[name].to_numpy()
+    for block, counts in counted(labelled, words, pairs).collect():  # at most (words + pairs) / BLOCK rows
+        part = _unpacked(bytes(counts))
+        table[:, block * BLOCK : block * BLOCK + part.shape[1]] = part
     held = spark.sparkContext.broadcast(table.astype(np.int32) if table.max(initial=0) < 1 << 31 else table)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
