@@ -266,13 +266,11 @@ STAGE_LIMITS = {"fp": 7, "five": 13}
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """``docs`` without near copies: of each group the row with the smallest doc_id (nulls last) stays."""
-    whole = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    tagged = docs.withColumn("__row", whole)
+    # equal rows are told apart by a number of their own, stored once so that it stays the same
+    tagged = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "near-copies-rows")
     marked = stored(fingerprints(tagged, ["doc_id", "__row"], STAGE_SIZES), "near-copies")
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("__row"))
     nodes = stored(marked.groupBy("fp").agg(F.min(order).alias("first"), F.min("five").alias("five")), "near-copies-nodes")
     groups = linked_groups(nodes.select("fp", "five"), STAGE_LIMITS)
     kept = nodes.join(groups, "fp").groupBy("root").agg(F.min("first").alias("first"))
-    kept = kept.select(F.col("first.doc_id").alias("__id"), F.col("first.__row").alias("__keep"))
-    stay = tagged.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__keep")), "left_semi")
-    return stay.drop("__row")
+    return tagged.join(kept.select(F.col("first.__row").alias("__row")), "__row", "left_semi").select(*[f"`{c}`" for c in docs.columns])
