@@ -13,6 +13,9 @@ most of a value's members, its own probes skip those members.
 Defined results: a null or empty text has fingerprint zero and links like any other; the component is
 named by the smallest doc_id that is not null (null if there is none); repeated rows give repeated
 results; an empty table gives an empty result; other columns take no part. Texts are read whole.
+
+The pipeline's stage finds near copies by the least hashes of their shingle sets and verifies each
+candidate by the exact similarity; of repeated rows one stays, and texts without words are alike.
 """
 
 from __future__ import annotations
@@ -25,8 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from newsloom.llm.common import stored
+from newsloom.llm.common import mixed, stored, stream
 from newsloom.llm.graph import components
 
 BITS = 64
@@ -257,20 +261,123 @@ def simhash_components(docs: DataFrame, radius: int = 3, shingle: int = 3) -> Da
     return marked.join(of, "fp").select("doc_id", written.alias("fingerprint"), "component_id")
 
 
-#: The pipeline's stage: five-word shingles, similarity 0.8 or more. The share of differing bits
-#: estimates an angle, and cos(pi * 13 / 64) = 0.80. Copies that alike differ in few bits of a
-#: fingerprint of their distinct words, and that one is searched.
-STAGE_SIZES = {"fp": (1, True), "five": (5, True)}
-STAGE_LIMITS = {"fp": 7, "five": 13}
+# -- the pipeline's stage -----------------------------------------------------------------------
+
+#: Two texts are near copies when the cosine of their sets of distinct five-word shingles is at least this.
+STAGE_SHINGLE, STAGE_COSINE = 5, 0.8
+#: At cosine 0.8 a 64-bit SimHash differs in 13 bits on average and in over 20 for some pairs, which no
+#: pigeonhole plan can search. The sets' least hashes find the candidates instead: a cosine of 0.8 means a
+#: Jaccard share of 0.64 or more, so a pair meets in none of 32 bands of 3 with odds (1 - 0.64 ** 3) ** 32 = 0.00006 at most.
+BANDS, ROWS = 32, 3
+_PICKS = stream(21, BANDS * ROWS) | np.uint64(1)
+_BAND_MARKS = stream(22, BANDS)
+
+
+def shingle_set(text: str | None) -> tuple[int, np.ndarray]:
+    """A key of the words of the text with A-Z lower-cased, and the hashes of its distinct shingles in order."""
+    import xxhash
+
+    words = (text or "").encode().lower().split()
+    return xxhash.xxh3_64_intdigest(b" ".join(words)), np.unique(shingle_hashes(words, STAGE_SHINGLE, 42))
+
+
+def band_values(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set (not empty) a value for each band, made of the least of its hashes in each of ``ROWS`` orders."""
+    hashes, first = np.concatenate(sets), np.cumsum([0, *map(len, sets)])[:-1]
+    out = np.empty((len(sets), BANDS), np.uint64)
+    with np.errstate(over="ignore"):
+        for band in range(BANDS):
+            value = np.full(len(sets), _BAND_MARKS[band])
+            for pick in _PICKS[band * ROWS : (band + 1) * ROWS]:
+                value = mixed(value + np.minimum.reduceat((hashes ^ (pick >> np.uint64(7))) * pick, first))
+            out[:, band] = value
+    return out
+
+
+def with_bands(docs: DataFrame, group: int = 256) -> DataFrame:
+    """``docs`` with ``__key``, equal for texts of equal words, and ``__bands``; a text without words has none."""
+    names = docs.columns
+    out = T.StructType([*docs.schema.fields, T.StructField("__key", T.LongType()), T.StructField("__bands", T.ArrayType(T.LongType()))])
+
+    def mark(batches):
+        for batch in batches:
+            texts, keys, bands = batch.column(names.index("text")), [], []
+            for at in range(0, len(texts), group):
+                made = [shingle_set(t.as_py()) for t in texts.slice(at, group)]
+                keys += [k for k, _ in made]
+                full = [s for _, s in made if len(s)]
+                found = iter(band_values(full).view(np.int64) if full else ())
+                bands += [next(found) if len(s) else [] for _, s in made]
+            new = [pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*names, "__key", "__bands"])
+
+    return docs.mapInArrow(mark, out)
+
+
+def near_enough(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (``a, b`` and further longs) whose ``texts`` (``key, text``) have cosine ``STAGE_COSINE`` or more, exactly."""
+
+    def judge(batches):
+        held: dict[int, np.ndarray] = {}
+
+        def of(key, text):
+            if key not in held:
+                if len(held) > 256:
+                    held.clear()
+                held[key] = shingle_set(text)[1]
+            return held[key]
+
+        for batch in batches:
+            a, b, x, y = (batch.column(n).to_pylist() for n in ("a", "b", "x", "y"))
+            good = []
+            for row in zip(a, b, x, y):
+                one, two = of(row[0], row[2]), of(row[1], row[3])
+                both = len(np.intersect1d(one, two, assume_unique=True))
+                good.append(both > 0 and both >= STAGE_COSINE * np.sqrt(len(one) * len(two)))
+            yield pa.RecordBatch.from_arrays([c for n, c in zip(batch.schema.names, batch.columns) if n not in "xy"], names).filter(pa.array(good, pa.bool_()))
+
+    names = pairs.columns
+    told = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("y")), "b")
+    return told.select(*names, "x", "y").mapInArrow(judge, pairs.schema)
+
+
+def near_groups(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """``key, root`` of ``nodes`` (distinct ``key``, ``bands``) that link to another, directly or by others.
+
+    A first round compares each node with the least and the greatest node of each value that it has; a
+    second, complete one compares the nodes of a value that are in different groups.
+    """
+    held = nodes.select("key", F.explode("bands").alias("value"))
+    ends = held.groupBy("value").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high")
+    met = held.join(ends, "value").select("key", F.explode(F.array("low", "high")).alias("other")).where("key <> other")
+    pairs = stored(met.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct(), "near-copies-first")
+    groups = components(near_enough(pairs, texts), "a", "b")
+    known = nodes.join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    known = stored(known.select("key", "root", "bands"), "near-copies-groups")
+
+    held = known.select("key", "root", F.explode("bands").alias("value"))
+    sizes = held.groupBy("value", "root").agg(F.count("*").alias("c"))
+    mixed_values = sizes.groupBy("value").agg(F.max(F.struct("c", "root")).alias("m"), F.count("*").alias("roots")).where("roots > 1").select("value", F.col("m.root").alias("top"))
+    held = stored(held.join(mixed_values, "value"), "near-copies-mixed")
+    # of two nodes in different groups, one at least is outside the value's largest group
+    q, x = held.where("root <> top").alias("q"), held.alias("x")
+    meets = q.join(x, "value").where("q.root <> x.root").select(F.least("q.key", "x.key").alias("a"), F.greatest("q.key", "x.key").alias("b"))
+    rest = stored(meets.distinct().join(pairs, ["a", "b"], "left_anti"), "near-copies-second")
+    second = near_enough(rest, texts)
+    root = lambda side: known.select(F.col("key").alias(side), F.col("root").alias(f"root_{side}"))
+    over = components(second.join(root("a"), "a").join(root("b"), "b"), "root_a", "root_b")
+    joined = known.join(over.select(F.col("node").alias("root"), F.col("root").alias("over")), "root", "left")
+    return joined.select("key", F.coalesce("over", "root").alias("root"))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """``docs`` without near copies: of each group the row with the smallest doc_id (nulls last) stays."""
     # equal rows are told apart by a number of their own, stored once so that it stays the same
-    tagged = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "near-copies-rows")
-    marked = stored(fingerprints(tagged, ["doc_id", "__row"], STAGE_SIZES), "near-copies")
+    tagged = stored(with_bands(docs.withColumn("__row", F.monotonically_increasing_id())), "near-copies-rows")
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("__row"))
-    nodes = stored(marked.groupBy("fp").agg(F.min(order).alias("first"), F.min("five").alias("five")), "near-copies-nodes")
-    groups = linked_groups(nodes.select("fp", "five"), STAGE_LIMITS)
-    kept = nodes.join(groups, "fp").groupBy("root").agg(F.min("first").alias("first"))
+    nodes = tagged.groupBy(F.col("__key").alias("key")).agg(F.min(order).alias("first"), F.first("__bands").alias("bands"))
+    nodes = stored(nodes, "near-copies-nodes")
+    texts = tagged.join(nodes.select("key", F.col("first.__row").alias("__row")), "__row").select("key", "text")
+    groups = near_groups(nodes.select("key", "bands"), texts)
+    kept = nodes.join(groups, "key").groupBy("root").agg(F.min("first").alias("first"))
     return tagged.join(kept.select(F.col("first.__row").alias("__row")), "__row", "left_semi").select(*[f"`{c}`" for c in docs.columns])

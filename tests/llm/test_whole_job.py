@@ -20,3 +20,41 @@ def test_a_repeated_row_keeps_its_text_through_both_dedups(spark):
     kept = simhash.drop_near_copies(docs)
     assert sorted(tuple(r) for r in kept.collect()) == rows
     assert sorted((r.doc_id, r.text) for r in substrings.without_repeats(kept).collect()) == [r[:2] for r in rows]
+
+
+def cosine(a, b):
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in (a.lower().split(), b.lower().split())]
+    return len(sets[0] & sets[1]) / max(1, len(sets[0]) * len(sets[1])) ** 0.5
+
+
+def test_near_copies_by_appending_cutting_and_substituting(spark):
+    rnd = random.Random(6)
+    texts = []
+    for i in range(40):
+        base = text_of(rnd, 120)
+        w = base.split()
+        texts.append(base)
+        texts.append(f"{base} {text_of(rnd, 45 + i % 30)}")  # cosine 0.78 to 0.85
+        texts.append(" ".join(w[: 70 + i % 20]))  # 0.75 to 0.86
+        changed = list(w)
+        for at in rnd.sample(range(0, 120, 8), 3 + i % 3):  # 0.8 and above, or just below
+            changed[at] = "changed"
+        texts.append(" ".join(changed))
+    rnd.shuffle(texts)
+    texts += [None, "", " \n", "a b", "A b", texts[0].upper()]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            blank = not (texts[i] or "").split() and not (texts[j] or "").split()
+            if blank or cosine(texts[i] or "", texts[j] or "") >= 0.8:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    got = simhash.drop_near_copies(spark.createDataFrame(rows, COLUMNS).repartition(3)).collect()
+    assert sorted(map(tuple, got)) == [rows[i] for i in range(len(rows)) if find(i) == i]
