@@ -1,16 +1,20 @@
 """LM scoring: cross-entropy difference of two matched n-gram models.
 
 A target model (documents labelled as good) and a background model (all other documents) share one
-vocabulary, order and smoothing. Words hash into a fixed number of vocabulary slots and word pairs
-into pair slots, so both models are tables of a proven size, and counts cover every document. The
-probability of a word after another interpolates the pair's share with the word's add-one share.
+vocabulary, order and smoothing. Every word and every pair of words of the corpus is counted under its
+own 64-bit hash, so the models grow with the corpus. The probability of a word after another
+interpolates the pair's share with the word's add-one share over the vocabulary of all documents.
 A document's score is the mean over its words of ``loss(target) - loss(background)``: lower is nearer
 the target.
 
+The models stay in tables, dealt over buckets of hashes; no task or driver holds a whole one. Texts
+are cut into chunks of rows; a chunk sends to each bucket the counts of its distinct words and pairs,
+in order of their hashes, and gets back what all chunks together counted, in the same order.
+
 Defined results: a null or blank text has no words and null losses and score; null ids stay null and
 match no label; labels that repeat for a document count once, the best one; repeated documents count
-each time; an empty table gives an empty result; without any target document both models are uniform;
-other columns take no part. Texts are read whole; sums run in word order.
+each time; an empty table gives an empty result; a model without documents is uniform; other columns
+take no part. Texts are read whole; sums run in word order.
 """
 
 from __future__ import annotations
@@ -19,126 +23,180 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import mixed, row_chunks, text_buffers, word_bounds, word_hashes
+from newsloom.llm.common import mixed, row_chunks, stored, text_buffers, word_bounds, word_hashes
 
-WORD_SLOTS = 1 << 18
-PAIR_SLOTS = 1 << 20
 PAIR_WEIGHT = 0.6
-BLOCK = 1 << 13
-_BLOCKS = "block int, counts binary"
+#: Bytes of text for each bucket of hashes, so that a bucket stays the same size as the corpus grows.
+BUCKET_BYTES = 32 << 20
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Numbers of at least 0, compressed in the smallest type that holds them."""
+    kind = np.min_scalar_type(int(x.max(initial=0)))
+    return kind.char.encode() + zlib.compress(x.astype(kind).tobytes(), 1)
+
 
+def unpacked(held: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(held[1:]), held[:1].decode())
 
-def slots(data: np.ndarray, offsets: np.ndarray, words: int, pairs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Vocabulary slot of each word, slot of it with the word before (-1 at the start of a row), words of each row."""
-    starts, ends, counts = word_bounds(data, offsets)
-    h = word_hashes(data, starts, ends)
-    one = (h % np.uint64(words)).astype(np.int64)
+
+def pair_hashes(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word with the one before, and where there is one before in the same row."""
+    inside = np.ones(len(h), bool)
+    inside[np.concatenate([[0], np.cumsum(counts)])[:-1][counts > 0]] = False
+    at = np.flatnonzero(inside)
     with np.errstate(over="ignore"):
-        both = mixed(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) if len(h) else h
-    two = np.full(len(h), -1, np.int64)
-    two[1:] = (both % np.uint64(pairs)).astype(np.int64)
-    first = np.concatenate([[0], np.cumsum(counts)])[:-1]
-    two[first[counts > 0]] = -1
-    return one, two, counts
+        return mixed(h[at - 1] * np.uint64(0x9E3779B97F4A7C15) + h[at]), at
 
 
-def _blocks(total: np.ndarray):
-    """Blocks of a table of counts that hold any, compressed."""
-    for low in range(0, total.shape[1], BLOCK):
-        part = total[:, low : low + BLOCK]
-        if part.any():
-            kind = np.min_scalar_type(part.max())
-            yield low // BLOCK, kind.char.encode() + zlib.compress(part.astype(kind).tobytes(), 6)
+def edges(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket's keys start in keys in order, and the end; a bucket is a range of hashes."""
+    lows = np.array([(b << 64) // buckets for b in range(buckets)], np.uint64)
+    return np.append(np.searchsorted(keys, lows), len(keys))
 
 
-def _unpacked(counts: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(counts[1:]), counts[:1].decode()).reshape(2, -1)
+def spread(h: np.ndarray, slots: int | None) -> np.ndarray:
+    return h if slots is None else mixed(h % np.uint64(slots))
 
 
-def _batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([c for _, c in rows], pa.binary())], ["block", "counts"])
+def keyed(places: list[bytes], pairs: int | None) -> tuple:
+    """From a chunk: words of each row; its distinct words and pairs, in order; the place of each word, and
+    of the pairs' second words; the place of each pair."""
+    counts, one, steps = map(unpacked, places)
+    counts, own = counts.astype(np.int64), np.cumsum(steps, dtype=np.uint64)
+    both, at = pair_hashes(own[one], counts)
+    two, place = np.unique(spread(both, pairs), return_inverse=True)
+    return counts, own, two, one.astype(np.int64), at, place
 
 
-def counted(labelled: DataFrame, words: int, pairs: int) -> DataFrame:
-    """``block, counts`` of all documents; pair slots follow word slots. Each task adds up its own
-    table first and sends it in compressed blocks; a block's sums are added as they arrive."""
+def chunked(docs: DataFrame, kind: str, words: int | None) -> DataFrame:
+    """``chunk, places, ids``: the ids of a chunk of rows, and packed the words of each row, the place of
+    each word among the chunk's distinct ones, and these."""
 
-    def count(batches):
-        total = np.zeros((2, words + pairs), np.int64)
+    def cut(batches):
+        chunk = TaskContext.get().partitionId() << 32
         for batch in batches:
             data, offsets = text_buffers(batch.column("text"))
-            target = batch.column("target").to_numpy(zero_copy_only=False).astype(bool)
             for low, high in row_chunks(offsets):
-                one, two, counts = slots(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], words, pairs)
-                model = np.repeat(np.where(target[low:high], 0, 1), counts)
-                for m in (0, 1):
-                    mine = model == m
-                    total[m, :words] += np.bincount(one[mine], minlength=words)
-                    total[m, words:] += np.bincount(two[mine & (two >= 0)], minlength=pairs)
-        yield _batch(list(_blocks(total)))
-
-    def add(batches):
-        total = np.zeros((2, words + pairs), np.int64)
-        for batch in batches:
-            for block, counts in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist()):
-                part = _unpacked(counts)
-                total[:, block * BLOCK : block * BLOCK + part.shape[1]] += part
-        yield _batch(list(_blocks(total)))
-
-    return labelled.mapInArrow(count, _BLOCKS).repartition("block").mapInArrow(add, _BLOCKS)
-
-
-class Model:
-    """Log-probabilities by slot; as large as the slots, whatever the corpus."""
-
-    def __init__(self, counts: np.ndarray, words: int):
-        self.words, self.unigram, self.pair = words, counts[:words], counts[words:]
-        self.share = (self.unigram + 1.0) / (self.unigram.sum() + words)
-
-    def losses(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        p = self.share[one]
-        before = np.where(two >= 0, self.unigram[np.concatenate([[0], one[:-1]])] if len(one) else 0, 0)
-        seen = before > 0
-        joint = np.where(seen, self.pair[np.maximum(two, 0)] / np.maximum(before, 1), 0.0)
-        # slots are shared, so a pair's share may pass one
-        return -np.log(np.where(seen, PAIR_WEIGHT * np.minimum(joint, 1.0) + (1 - PAIR_WEIGHT) * p, p))
-
-
-def score(docs: DataFrame, labels: DataFrame, words: int = WORD_SLOTS, pairs: int = PAIR_SLOTS) -> DataFrame:
-    """``doc_id, n_words, target_loss, background_loss, score`` of each document."""
-    spark = docs.sparkSession
-    good = labels.groupBy("doc_id").agg(F.max("quality").alias("quality")).where("quality = 1 and doc_id is not null").select("doc_id", F.lit(True).alias("target"))
-    labelled = docs.select("doc_id", "text").join(good, "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
-    table = np.zeros((2, words + pairs), np.int64)
-    for block, counts in counted(labelled, words, pairs).collect():  # at most (words + pairs) / BLOCK rows
-        part = _unpacked(bytes(counts))
-        table[:, block * BLOCK : block * BLOCK + part.shape[1]] = part
-    held = spark.sparkContext.broadcast(table.astype(np.int32) if table.max(initial=0) < 1 << 31 else table)
-    kind = docs.schema["doc_id"].dataType.simpleString()
+                part = data[offsets[low] : offsets[high]]
+                starts, ends, counts = word_bounds(part, offsets[low : high + 1] - offsets[low])
+                own, place = np.unique(spread(word_hashes(part, starts, ends), words), return_inverse=True)
+                # steps between keys in order take fewer bytes than keys
+                places = [packed(counts), packed(place), packed(np.diff(own, prepend=np.uint64(0)))]
+                ids = batch.column("doc_id").slice(low, high - low).to_pylist()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([chunk], pa.int64()), pa.array([places], pa.list_(pa.binary())), pa.array([ids], pa.list_(batch.schema.field("doc_id").type))],
+                    ["chunk", "places", "ids"],
+                )
+                chunk += 1
 
-    def judge(batches):
-        models = [Model(x, words) for x in held.value]
+    return docs.select("doc_id", "text").mapInArrow(cut, f"chunk long, places array<binary>, ids array<{kind}>")
+
+
+def sent(chunks: DataFrame, buckets: int, pairs: int | None) -> DataFrame:
+    """``chunk, bucket, counts``: for each bucket the chunk's keys there and their counts in both models, of words and of pairs."""
+
+    def cut(batches):
         for batch in batches:
-            data, offsets = text_buffers(batch.column("text"))
-            n, sums = [], [[], []]
-            for low, high in row_chunks(offsets):
-                one, two, counts = slots(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], words, pairs)
-                n.append(counts)
-                first = np.concatenate([[0], np.cumsum(counts)])
-                for m, model in enumerate(models):
-                    part = np.zeros(high - low)
-                    loss = model.losses(one, two)
-                    full = np.flatnonzero(counts)
-                    if len(full):
-                        part[full] = np.add.reduceat(loss, first[full])
-                    sums[m].append(part)
-            n = np.concatenate(n) if n else np.zeros(0, np.int64)
-            mean = [np.concatenate(x) / np.maximum(n, 1) if x else np.zeros(0) for x in sums]
-            none = n == 0
-            columns = [pa.array(x, pa.float64(), mask=none) for x in (*mean, mean[0] - mean[1])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), *columns], ["doc_id", "n_words", "target_loss", "background_loss", "score"])
-
-    return docs.select("doc_id", "text").mapInArrow(judge, f"doc_id {kind}, n_words long, target_loss double, background_loss double, score double")
+            for chunk, places, good in zip(*(batch.column(n) for n in ("chunk", "places", "good"))):
+                counts, own, two, one, at, place = keyed(places.as_py(), pairs)
+                target = np.zeros(len(counts), bool)
+                target[good.as_py() or []] = True
+                mine = np.repeat(target, counts)
+                rows, has = [[] for _ in range(buckets)], set()
+                for keys, where, told in ((own, one, mine), (two, place, mine[at])):
+                    first = np.bincount(where, weights=told, minlength=len(keys)).astype(np.int64)
+                    n = np.bincount(where, minlength=len(keys))
+                    limits = edges(keys, buckets)
+                    has.update(np.flatnonzero(np.diff(limits)).tolist())
+                    for b in range(buckets):
+                        x, y = limits[b], limits[b + 1]
+                        rows[b] += [packed(np.diff(keys[x:y], prepend=np.uint64(0))), packed(first[x:y]), packed((n - first)[x:y])]
+                has = sorted(has)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([chunk.as_py()] * len(has), pa.int64()), pa.array(has, pa.int32()), pa.array([rows[b] for b in has], pa.list_(pa.binary()))],
+                    ["chunk", "bucket", "counts"],
+                )
+
+    return chunks.mapInArrow(cut, "chunk long, bucket int, counts array<binary>")
+
+
+_TOTALS = "chunk long, bucket int, counts array<binary>, vocabulary long, n_target long, n_background long"
+
+
+def add_up(table: pa.Table) -> pa.Table:
+    """The rows of a bucket with the sums over all chunks; the first row also has the bucket's own sums."""
+    held = [[unpacked(x) for x in row] for row in table.column("counts").to_pylist()]
+    made, sums = [[] for _ in held], []
+    for low in (0, 3):
+        keys = [np.cumsum(row[low], dtype=np.uint64) for row in held]
+        own, place = np.unique(np.concatenate(keys), return_inverse=True)
+        totals = [np.bincount(place, weights=np.concatenate([row[low + m] for row in held]), minlength=len(own)).astype(np.int64) for m in (1, 2)]
+        sums.append((len(own), *[int(t.sum()) for t in totals]))
+        at = 0
+        for row, k in zip(made, keys):
+            row += [packed(t[place[at : at + len(k)]]) for t in totals]
+            at += len(k)
+    ones = [[x, *[0] * (len(held) - 1)] for x in sums[0]]
+    return pa.table(
+        [table.column("chunk"), table.column("bucket"), pa.array(made, pa.list_(pa.binary())), *[pa.array(x, pa.int64()) for x in ones]],
+        ["chunk", "bucket", "counts", "vocabulary", "n_target", "n_background"],
+    )
+
+
+def losses(unigram: np.ndarray, pair: np.ndarray, one: np.ndarray, at: np.ndarray, total: int, vocabulary: int) -> np.ndarray:
+    """Loss of each word, from the counts of its word and, for the words ``at``, of the pair with the word before."""
+    p = (unigram[one] + 1.0) / (total + vocabulary)
+    before = unigram[one[at - 1]]
+    # where slots are asked for, they are shared, and a pair's share may pass one
+    joint = np.minimum(pair / np.maximum(before, 1), 1.0)
+    out = p.copy()
+    out[at] = np.where(before > 0, PAIR_WEIGHT * joint + (1 - PAIR_WEIGHT) * p[at], p[at])
+    return -np.log(out)
+
+
+def score(docs: DataFrame, labels: DataFrame, words: int | None = None, pairs: int | None = None) -> DataFrame:
+    """``doc_id, n_words, target_loss, background_loss, score`` of each document.
+
+    With ``words`` or ``pairs`` hashes fold into that many slots; without, each word and pair has its own count.
+    """
+    good = labels.groupBy("doc_id").agg(F.max("quality").alias("quality")).where("quality = 1 and doc_id is not null").select("doc_id")
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    buckets = size // BUCKET_BYTES + 1
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    chunks = stored(chunked(docs, kind, words), "lm-chunks")
+    # never by broadcast: labels grow with the documents
+    at = chunks.select("chunk", F.posexplode("ids").alias("pos", "doc_id")).join(good.hint("merge"), "doc_id")
+    told = chunks.join(at.groupBy("chunk").agg(F.collect_list("pos").alias("good")).hint("merge"), "chunk", "left")
+    totals = stored(sent(told.select("chunk", "places", "good"), buckets, pairs).groupBy("bucket").applyInArrow(add_up, _TOTALS), "lm-totals")
+    whole = totals.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("vocabulary", "n_target", "n_background")]).first()
+    vocabulary, n_each = whole.vocabulary, (whole.n_target, whole.n_background)
+    ids_type = chunks.schema["ids"].dataType.simpleString()
+    empty = lambda name, kind: F.lit(None).cast(kind).alias(name)
+    sides = chunks.select("chunk", empty("bucket", "int"), empty("counts", "array<binary>"), "places", "ids")
+    back = totals.select("chunk", "bucket", "counts", empty("places", "array<binary>"), empty("ids", ids_type))
+
+    def judge(table: pa.Table) -> pa.Table:
+        bucket = table.column("bucket").to_pylist()
+        mine = bucket.index(None)
+        counts, _, _, one, at, place = keyed(table.column("places")[mine].as_py(), pairs)
+        held = table.column("counts")
+        order = sorted((b, i) for i, b in enumerate(bucket) if b is not None)
+        parts = [[unpacked(x) for x in held[i].as_py()] for _, i in order]
+        joined = [np.concatenate([p[k] for p in parts]).astype(np.float64) if parts else np.zeros(0) for k in range(4)]
+        first = np.concatenate([[0], np.cumsum(counts)])
+        full, mean = np.flatnonzero(counts), []
+        for m in (0, 1):
+            total = np.zeros(len(counts))
+            if len(full):
+                total[full] = np.add.reduceat(losses(joined[m], joined[2 + m][place], one, at, n_each[m], vocabulary), first[full])
+            mean.append(total / np.maximum(counts, 1))
+        ids = table.column("ids").combine_chunks().slice(mine, 1).flatten()
+        columns = [pa.array(x, pa.float64(), mask=counts == 0) for x in (*mean, mean[0] - mean[1])]
+        return pa.table([ids, pa.array(counts, pa.int64()), *columns], ["doc_id", "n_words", "target_loss", "background_loss", "score"])
+
+    return sides.unionByName(back).groupBy("chunk").applyInArrow(judge, f"doc_id {kind}, n_words long, target_loss double, background_loss double, score double")

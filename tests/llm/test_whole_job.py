@@ -1,10 +1,12 @@
 """Losses that a review found: whole rows against plain Python on small tables."""
 
+import math
 import random
+from collections import Counter
 
 import pytest
 
-from newsloom.llm import simhash, substrings
+from newsloom.llm import lm, simhash, substrings
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -58,3 +60,45 @@ def test_near_copies_by_appending_cutting_and_substituting(spark):
                 root[max(a, b)] = min(a, b)
     got = simhash.drop_near_copies(spark.createDataFrame(rows, COLUMNS).repartition(3)).collect()
     assert sorted(map(tuple, got)) == [rows[i] for i in range(len(rows)) if find(i) == i]
+
+
+def test_lm_score_counts_every_word_and_pair(spark, monkeypatch):
+    monkeypatch.setattr(lm, "BUCKET_BYTES", 1 << 20)  # several buckets
+    rnd = random.Random(8)
+    # more distinct words than 2 ^ 18
+    texts = [" ".join(f"w{rnd.randrange(1 << 30)}" if rnd.random() < 0.5 else f"c{rnd.randrange(50)}" for _ in range(1500)) for _ in range(400)]
+    texts += [None, " \n", "one", texts[0]]
+    ids = [i if i != 7 else None for i in range(len(texts))]
+    labels = [(i, i % 2) for i in range(0, 300)] + [(2, 1), (None, 1)]
+    good = {i for i, q in labels if q == 1 and i is not None}
+    one, two = [Counter(), Counter()], [Counter(), Counter()]
+    for i, t in zip(ids, texts):
+        w = (t or "").split()
+        one[i not in good].update(w)
+        two[i not in good].update(zip(w, w[1:]))
+    vocabulary = len(set(one[0]) | set(one[1]))
+    assert vocabulary > 1 << 18
+    total = [sum(x.values()) for x in one]
+
+    def loss(w, m):
+        out = 0.0
+        for i, x in enumerate(w):
+            p = (one[m][x] + 1) / (total[m] + vocabulary)
+            if i and one[m][w[i - 1]]:
+                p = 0.6 * two[m][w[i - 1], x] / one[m][w[i - 1]] + 0.4 * p
+            out -= math.log(p)
+        return out / len(w)
+
+    got = lm.score(spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(3), spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    assert len(got) == len(texts)
+    found = {r.doc_id: r for r in got}
+    for i, t in zip(ids, texts):
+        w, r = (t or "").split(), found[i]
+        assert r.n_words == len(w)
+        if w:
+            a, b = loss(w, 0), loss(w, 1)
+            assert (r.target_loss, r.background_loss, r.score) == pytest.approx((a, b, a - b), rel=1e-9)
+        else:
+            assert r.target_loss is None and r.score is None
+    none = lm.score(spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int"))
+    assert none.count() == 0
