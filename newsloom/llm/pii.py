@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban", "ssn", "secret")
 #: How sure a pattern alone makes us, what a passed checksum adds and what a context word adds.
-PATTERN_SCORE = {"email": 0.8, "ip": 0.6, "card": 0.3, "phone": 0.5, "iban": 0.3, "ssn": 0.3, "secret": 0.4}
+PATTERN_SCORE = {"email": 0.8, "ip": 0.6, "card": 0.3, "phone": 0.5, "iban": 0.3, "ssn": 0.4, "secret": 0.4}
 CHECKSUM_SCORE = 0.5
 CONTEXT_SCORE = 0.35
 CONTEXT_CHARS = 48
@@ -37,12 +37,23 @@ CONTEXT = {
     "secret": ("key", "token", "secret", "password", "api"),
 }
 
+#: Characters of an account number in each country of the registry.
+IBAN_LENGTH = {
+    x[:2]: int(x[2:])
+    for x in (
+        "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 "
+        "FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 "
+        "LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 "
+        "SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+    ).split()
+}
+
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}))")
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 _SECRET = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}|ghp_[A-Za-z0-9]{36}|[0-9a-f]{40}|[0-9a-f]{64})(?![A-Za-z0-9])")
 _NOT_DIGIT = str.maketrans("", "", " -().+")
@@ -61,6 +72,23 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in turned)) % 97 == 1
 
 
+def ibans(text: str):
+    """Spans that pass mod-97, each at its country's length (elsewhere the whole run): more letters and digits may follow a blank."""
+    free = 0
+    for m in _IBAN.finditer(text):
+        start, end = m.span(1)
+        length = IBAN_LENGTH.get(text[start : start + 2])
+        if length:
+            places = [i for i in range(start, end) if text[i] != " "]
+            if len(places) < length:
+                continue
+            end = places[length - 1] + 1
+        after = text[end : end + 1]
+        if start >= free and not (after.isascii() and after.isalnum()) and mod97(text[start:end].replace(" ", "")):
+            yield start, end
+            free = end
+
+
 def emails(text: str):
     """Matches of the address pattern, found from each ``@`` so that long runs cost no more."""
     free, at = 0, text.find("@")
@@ -107,11 +135,11 @@ def score(text: str, start: int, kind: str, checked: bool) -> float:
 
 def added_spans(text: str, keep_score: float) -> list[tuple[int, int, str]]:
     found = []
-    for kind, pattern in (("iban", _IBAN), ("ssn", _SSN), ("secret", _SECRET)):
-        for m in pattern.finditer(text):
-            checked = kind == "iban" and mod97(m.group().replace(" ", ""))
-            if score(text, m.start(), kind, checked) >= keep_score:
-                found.append((m.start(), m.end(), kind))
+    proposed = [(a, b, "iban") for a, b in ibans(text)]
+    proposed += [(m.start(), m.end(), kind) for kind, pattern in (("ssn", _SSN), ("secret", _SECRET)) for m in pattern.finditer(text)]
+    for start, end, kind in proposed:
+        if score(text, start, kind, kind == "iban") >= keep_score:
+            found.append((start, end, kind))
     return found
 
 

@@ -6,7 +6,7 @@ from collections import Counter
 
 import pytest
 
-from newsloom.llm import lm, simhash, substrings
+from newsloom.llm import lm, pii, simhash, substrings
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -102,3 +102,23 @@ def test_lm_score_counts_every_word_and_pair(spark, monkeypatch):
             assert r.target_loss is None and r.score is None
     none = lm.score(spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int"))
     assert none.count() == 0
+
+
+@pytest.mark.parametrize(
+    "text, kind, found",
+    [
+        ("my social security number 123-45-6789 is", "ssn", "123-45-6789"),
+        ("order 123-45-6789 is", "ssn", None),
+        ("to DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX", "iban", "DE89 3704 0044 0532 0130 00"),
+        ("GB82 WEST 1234 5698 7654 32 EUR 500", "iban", "GB82 WEST 1234 5698 7654 32"),
+        ("(GB82WEST12345698765432)", "iban", "GB82WEST12345698765432"),
+        ("NO93 8601 1117 947 THE", "iban", "NO93 8601 1117 947"),
+        ("XX12 ABCD GB82 WEST 1234 5698 7654 32", "iban", "GB82 WEST 1234 5698 7654 32"),
+        ("GB82 WEST 1234 5698 7654 33 EUR 500", "iban", None),
+        ("GB82WEST12345698765432x", "iban", None),
+    ],
+)
+def test_pii_in_running_text(text, kind, found):
+    told = pii.spans_of(text, 0.7)[1]
+    assert [text[a:b] for a, b, k in told if k == kind] == ([found] if found else [])
+    assert found is None or f"<{kind}>" in pii.redacted(text, told)
