@@ -1,6 +1,7 @@
 """Packing: optimal length buckets from the global histogram, token-budget batches in each bucket.
 
-The length of a text is its number of words. A dynamic programme over the histogram of all lengths
+The length of a text is its number of tokens under a tokenizer (``path``), as ``op3`` counts them; only
+where none is given it is the number of words. A dynamic programme over the histogram of all lengths
 chooses the bucket boundaries with the least padding; each bucket is dealt into batches of
 ``floor(budget / boundary)`` texts (one at least), so a padded batch stays within the budget unless a
 single text exceeds it. The histogram has a bin for each length of seven significant bits, so it is
@@ -22,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.llm.common import partitions, stored, words_column
+from newsloom.llm.tokens import token_counts
 
 BUDGET = 8192
 BUCKETS = 12
@@ -68,14 +70,21 @@ def boundaries(bins: list[tuple[int, int, int]], buckets: int) -> list[int]:
     return out[::-1]
 
 
-def measured(docs: DataFrame) -> DataFrame:
+def measured(docs: DataFrame, path: str | None = None) -> DataFrame:
+    if path is not None:
+        # the counts carry one column of the rows through, so the id and the hash go as one
+        slim = docs.select(F.struct("doc_id", F.xxhash64("text").alias("mark")).alias("doc_id"), "text")
+        return token_counts(slim, path).select("doc_id.doc_id", "n_tokens", "doc_id.mark")
     return docs.select("doc_id", F.size(words_column(F.col("text"))).cast("long").alias("n_tokens"), F.xxhash64("text").alias("mark"))
 
 
-def pack(docs: DataFrame, budget: int = BUDGET, buckets: int = BUCKETS) -> DataFrame:
-    """``doc_id, n_tokens, bucket_len, batch, slot, n_padding``; ``batch`` counts from 0 in each bucket."""
+def pack(docs: DataFrame, budget: int = BUDGET, buckets: int = BUCKETS, path: str | None = None) -> DataFrame:
+    """``doc_id, n_tokens, bucket_len, batch, slot, n_padding``; ``batch`` counts from 0 in each bucket.
+
+    ``path`` is the tokenizer file whose tokens count, in the same place on every machine.
+    """
     spark = docs.sparkSession
-    lengths = stored(measured(docs), "packing")
+    lengths = stored(measured(docs, path), "packing")
     bounds = boundaries(histogram(lengths), buckets)
     if not bounds:
         return lengths.select("doc_id", "n_tokens", *[F.lit(0).cast("long").alias(c) for c in ("bucket_len", "batch", "slot", "n_padding")])

@@ -72,7 +72,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))
+    return pack(table(spark, sf_dir, "documents"), path=tokenizer("byte_bpe_50k.json"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ from collections import Counter
 
 import pytest
 
-from newsloom.llm import lm, pii, simhash, substrings
+from newsloom.llm import lm, packing, pii, simhash, substrings
+from newsloom.llm.queries import tokenizer
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -122,3 +123,26 @@ def test_pii_in_running_text(text, kind, found):
     told = pii.spans_of(text, 0.7)[1]
     assert [text[a:b] for a, b, k in told if k == kind] == ([found] if found else [])
     assert found is None or f"<{kind}>" in pii.redacted(text, told)
+
+
+def test_packing_by_tokens(spark):
+    from tokenizers import Tokenizer
+
+    path = tokenizer("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    rnd = random.Random(2)
+    texts = [None, "", "q7" * 900, *[text_of(rnd, 1 + i % 60) for i in range(80)]]
+    want = {i: len(library.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts)}
+    got = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), budget=900, buckets=4, path=path).collect()
+    assert {r.doc_id: r.n_tokens for r in got} == want and len(got) == len(want)
+    for size, n in Counter((r.bucket_len, r.batch) for r in got).items():
+        assert n == 1 or n * size[0] <= 900
+    assert all(r.n_padding == r.bucket_len - r.n_tokens >= 0 for r in got)
+
+
+def test_op10_counts_tokens(spark):
+    from newsloom.llm.queries import op3_token_counts, op10_packing
+
+    sf = "/root/testdata/sf0.001"
+    count = lambda q: sorted((r.doc_id, r.n_tokens) for r in q(spark, sf).collect())
+    assert count(op10_packing) == count(op3_token_counts)
