@@ -38,14 +38,51 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+#: Folders that this process has written to the shared folder and not discarded.
+MADE: list[str] = []
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    MADE.append(path)
+    return path
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete scratch folders whose readers are done."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        MADE.remove(path)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, n: int, keys: list[str], name: str) -> DataFrame:
+    """``df`` in the shared folder, in ``n`` buckets of ``keys``, so that later joins on them read it in place.
+
+    The catalogue forgets the table at once; its files stay until they are discarded.
+    """
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(n, *keys).option("path", scratch(spark, name)).option("compression", "zstd").saveAsTable(table)
+    held = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")
+    return held
+
+
+def aside(docs: DataFrame) -> DataFrame:
+    """``row, text``: all columns of ``docs`` in one struct, whatever their names and types, beside the text."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

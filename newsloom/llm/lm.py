@@ -9,7 +9,9 @@ the target.
 
 The models stay in tables, dealt over buckets of hashes; no task or driver holds a whole one. Texts
 are cut into chunks of rows; a chunk sends to each bucket the counts of its distinct words and pairs,
-in order of their hashes, and gets back what all chunks together counted, in the same order.
+in order of their hashes, and gets back what all chunks together counted, in the same order. The
+chunks themselves are never shuffled: they lie in a table bucketed by chunk, which the labels and the
+counts come to.
 
 Defined results: a null or blank text has no words and null losses and score; null ids stay null and
 match no label; labels that repeat for a document count once, the best one; repeated documents count
@@ -27,21 +29,26 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import mixed, row_chunks, stored, text_buffers, word_bounds, word_hashes
+from newsloom.llm.common import bucketed, mixed, partitions, row_chunks, stored, text_buffers, word_bounds, word_hashes
 
 PAIR_WEIGHT = 0.6
 #: Bytes of text for each bucket of hashes, so that a bucket stays the same size as the corpus grows.
 BUCKET_BYTES = 32 << 20
+#: Bytes of text in a chunk: words and pairs that repeat in a chunk are sent once.
+CHUNK = 16 << 20
 
 
 def packed(x: np.ndarray) -> bytes:
-    """Numbers of at least 0, compressed in the smallest type that holds them."""
+    """Numbers of at least 0 in the smallest type that holds them, compressed byte plane by byte plane."""
     kind = np.min_scalar_type(int(x.max(initial=0)))
-    return kind.char.encode() + zlib.compress(x.astype(kind).tobytes(), 1)
+    planes = np.ascontiguousarray(x.astype(kind).view(np.uint8).reshape(-1, kind.itemsize).T)
+    return kind.char.encode() + zlib.compress(planes.tobytes(), 1)
 
 
 def unpacked(held: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(held[1:]), held[:1].decode())
+    kind = np.dtype(held[:1].decode())
+    planes = np.frombuffer(zlib.decompress(held[1:]), np.uint8).reshape(kind.itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
 def pair_hashes(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -59,21 +66,17 @@ def edges(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.append(np.searchsorted(keys, lows), len(keys))
 
 
-def spread(h: np.ndarray, slots: int | None) -> np.ndarray:
-    return h if slots is None else mixed(h % np.uint64(slots))
-
-
-def keyed(places: list[bytes], pairs: int | None) -> tuple:
+def keyed(places: list[bytes]) -> tuple:
     """From a chunk: words of each row; its distinct words and pairs, in order; the place of each word, and
     of the pairs' second words; the place of each pair."""
     counts, one, steps = map(unpacked, places)
     counts, own = counts.astype(np.int64), np.cumsum(steps, dtype=np.uint64)
     both, at = pair_hashes(own[one], counts)
-    two, place = np.unique(spread(both, pairs), return_inverse=True)
+    two, place = np.unique(both, return_inverse=True)
     return counts, own, two, one.astype(np.int64), at, place
 
 
-def chunked(docs: DataFrame, kind: str, words: int | None) -> DataFrame:
+def chunked(docs: DataFrame, kind: str) -> DataFrame:
     """``chunk, places, ids``: the ids of a chunk of rows, and packed the words of each row, the place of
     each word among the chunk's distinct ones, and these."""
 
@@ -81,10 +84,10 @@ def chunked(docs: DataFrame, kind: str, words: int | None) -> DataFrame:
         chunk = TaskContext.get().partitionId() << 32
         for batch in batches:
             data, offsets = text_buffers(batch.column("text"))
-            for low, high in row_chunks(offsets):
+            for low, high in row_chunks(offsets, CHUNK):
                 part = data[offsets[low] : offsets[high]]
                 starts, ends, counts = word_bounds(part, offsets[low : high + 1] - offsets[low])
-                own, place = np.unique(spread(word_hashes(part, starts, ends), words), return_inverse=True)
+                own, place = np.unique(word_hashes(part, starts, ends), return_inverse=True)
                 # steps between keys in order take fewer bytes than keys
                 places = [packed(counts), packed(place), packed(np.diff(own, prepend=np.uint64(0)))]
                 ids = batch.column("doc_id").slice(low, high - low).to_pylist()
@@ -97,13 +100,13 @@ def chunked(docs: DataFrame, kind: str, words: int | None) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(cut, f"chunk long, places array<binary>, ids array<{kind}>")
 
 
-def sent(chunks: DataFrame, buckets: int, pairs: int | None) -> DataFrame:
+def sent(chunks: DataFrame, buckets: int) -> DataFrame:
     """``chunk, bucket, counts``: for each bucket the chunk's keys there and their counts in both models, of words and of pairs."""
 
     def cut(batches):
         for batch in batches:
             for chunk, places, good in zip(*(batch.column(n) for n in ("chunk", "places", "good"))):
-                counts, own, two, one, at, place = keyed(places.as_py(), pairs)
+                counts, own, two, one, at, place = keyed(places.as_py())
                 target = np.zeros(len(counts), bool)
                 target[good.as_py() or []] = True
                 mine = np.repeat(target, counts)
@@ -152,41 +155,31 @@ def losses(unigram: np.ndarray, pair: np.ndarray, one: np.ndarray, at: np.ndarra
     """Loss of each word, from the counts of its word and, for the words ``at``, of the pair with the word before."""
     p = (unigram[one] + 1.0) / (total + vocabulary)
     before = unigram[one[at - 1]]
-    # where slots are asked for, they are shared, and a pair's share may pass one
-    joint = np.minimum(pair / np.maximum(before, 1), 1.0)
+    joint = pair / np.maximum(before, 1)
     out = p.copy()
     out[at] = np.where(before > 0, PAIR_WEIGHT * joint + (1 - PAIR_WEIGHT) * p[at], p[at])
     return -np.log(out)
 
 
-def score(docs: DataFrame, labels: DataFrame, words: int | None = None, pairs: int | None = None) -> DataFrame:
-    """``doc_id, n_words, target_loss, background_loss, score`` of each document.
-
-    With ``words`` or ``pairs`` hashes fold into that many slots; without, each word and pair has its own count.
-    """
+def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``doc_id, n_words, target_loss, background_loss, score`` of each document."""
+    spark = docs.sparkSession
     good = labels.groupBy("doc_id").agg(F.max("quality").alias("quality")).where("quality = 1 and doc_id is not null").select("doc_id")
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     buckets = size // BUCKET_BYTES + 1
     kind = docs.schema["doc_id"].dataType.simpleString()
-    chunks = stored(chunked(docs, kind, words), "lm-chunks")
+    chunks = bucketed(chunked(docs, kind), partitions(spark), ["chunk"], "lm_chunks")
     # never by broadcast: labels grow with the documents
     at = chunks.select("chunk", F.posexplode("ids").alias("pos", "doc_id")).join(good.hint("merge"), "doc_id")
     told = chunks.join(at.groupBy("chunk").agg(F.collect_list("pos").alias("good")).hint("merge"), "chunk", "left")
-    totals = stored(sent(told.select("chunk", "places", "good"), buckets, pairs).groupBy("bucket").applyInArrow(add_up, _TOTALS), "lm-totals")
+    totals = stored(sent(told.select("chunk", "places", "good"), buckets).groupBy("bucket").applyInArrow(add_up, _TOTALS), "lm-totals")
     whole = totals.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("vocabulary", "n_target", "n_background")]).first()
     vocabulary, n_each = whole.vocabulary, (whole.n_target, whole.n_background)
-    ids_type = chunks.schema["ids"].dataType.simpleString()
-    empty = lambda name, kind: F.lit(None).cast(kind).alias(name)
-    sides = chunks.select("chunk", empty("bucket", "int"), empty("counts", "array<binary>"), "places", "ids")
-    back = totals.select("chunk", "bucket", "counts", empty("places", "array<binary>"), empty("ids", ids_type))
-
-    def judge(table: pa.Table) -> pa.Table:
-        bucket = table.column("bucket").to_pylist()
-        mine = bucket.index(None)
-        counts, _, _, one, at, place = keyed(table.column("places")[mine].as_py(), pairs)
-        held = table.column("counts")
-        order = sorted((b, i) for i, b in enumerate(bucket) if b is not None)
-        parts = [[unpacked(x) for x in held[i].as_py()] for _, i in order]
+
+    def judge(key, table: pa.Table, counted: pa.Table) -> pa.Table:
+        counts, _, _, one, at, place = keyed(table.column("places")[0].as_py())
+        held, bucket = counted.column("counts"), counted.column("bucket").to_pylist()
+        parts = [[unpacked(x) for x in held[i].as_py()] for _, i in sorted((b, i) for i, b in enumerate(bucket))]
         joined = [np.concatenate([p[k] for p in parts]).astype(np.float64) if parts else np.zeros(0) for k in range(4)]
         first = np.concatenate([[0], np.cumsum(counts)])
         full, mean = np.flatnonzero(counts), []
@@ -195,8 +188,9 @@ def score(docs: DataFrame, labels: DataFrame, words: int | None = None, pairs: i
             if len(full):
                 total[full] = np.add.reduceat(losses(joined[m], joined[2 + m][place], one, at, n_each[m], vocabulary), first[full])
             mean.append(total / np.maximum(counts, 1))
-        ids = table.column("ids").combine_chunks().slice(mine, 1).flatten()
+        ids = table.column("ids").combine_chunks().slice(0, 1).flatten()
         columns = [pa.array(x, pa.float64(), mask=counts == 0) for x in (*mean, mean[0] - mean[1])]
         return pa.table([ids, pa.array(counts, pa.int64()), *columns], ["doc_id", "n_words", "target_loss", "background_loss", "score"])
 
-    return sides.unionByName(back).groupBy("chunk").applyInArrow(judge, f"doc_id {kind}, n_words long, target_loss double, background_loss double, score double")
+    back = totals.select("chunk", "bucket", "counts")
+    return chunks.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(judge, f"doc_id {kind}, n_words long, target_loss double, background_loss double, score double")

@@ -225,7 +225,7 @@ def test_lm_score(spark, docs):
 
     texts = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
     labels = spark.createDataFrame([(i, i % 2) for i in range(0, 40)] + [(None, 1)], "doc_id long, quality int")
-    got = score(texts, labels, words=1 << 12, pairs=1 << 14)
+    got = score(texts, labels)
     told = {r.doc_id: r for r in got.collect()}
     assert all((r.score is None) == (r.n_words == 0) for r in told.values())
     mean = lambda odd: np.mean([r.score for i, r in told.items() if r.score is not None and i < 40 and i % 2 == odd])
