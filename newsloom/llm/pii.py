@@ -5,8 +5,8 @@ kinds that need more evidence: ``iban`` (mod-97), ``ssn`` and ``secret``, kept w
 the words before the span bring the score to ``keep_score``. Offsets count code points, end exclusive.
 
 Defined results: a null or empty text has no spans; null ids stay null; repeated rows give repeated
-results; an empty table gives an empty result; other columns take no part, and a column that clashes
-with a result column is replaced. Spans that start together are ordered by kind as listed. Texts are
+results; an empty table gives an empty result; other columns, whatever their names and types, take no
+part. Spans that start together are ordered by kind as listed. Texts are
 read whole, and every scan takes time in proportion to the text.
 """
 
@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from newsloom.llm.common import aside
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban", "ssn", "secret")
 #: How sure a pattern alone makes us, what a passed checksum adds and what a context word adds.
@@ -167,9 +169,10 @@ _SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.Struc
 
 
 def find_pii(docs: DataFrame, keep_score: float = 0.7, redact: bool = False) -> DataFrame:
-    """``docs`` with ``spans``, an array of ``kind, start, end, score, base``; with ``redact`` the spans in ``text`` are replaced."""
-    out = T.StructType([f for f in docs.schema.fields if f.name != "spans"] + [T.StructField("spans", _SPAN)])
-    names = [f.name for f in out.fields[:-1]]
+    """``row, text, spans``: all columns of each row in a struct, its text, and its spans as an array of
+    ``kind, start, end, score, base``; with ``redact`` they are replaced in ``text``."""
+    rows = aside(docs)
+    out = T.StructType([*rows.schema.fields, T.StructField("spans", _SPAN)])
 
     def scan(batches):
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("base", pa.bool_())]))
@@ -181,10 +184,15 @@ def find_pii(docs: DataFrame, keep_score: float = 0.7, redact: bool = False) ->
                 found.append([{"kind": k, "start": a, "end": b, "score": score(text, a, k, k in ("card", "iban")), "base": k in BASE_KINDS} for a, b, k in spans])
                 if redact:
                     changed.append(redacted(text, spans) if spans else text)
-            columns = [batch.column(n) if n != "text" or not redact else pa.array(changed, texts.type) for n in names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, kind)], [*names, "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(changed, texts.type) if redact else texts, pa.array(found, kind)], ["row", "text", "spans"])
+
+    return rows.mapInArrow(scan, out)
+
 
-    return docs.select(*[F.col(f"`{n}`") for n in names]).mapInArrow(scan, out)
+def without_pii(docs: DataFrame, keep_score: float = 0.7) -> DataFrame:
+    """``docs`` with each span in ``text`` replaced by its kind; all other columns as they are."""
+    found = find_pii(docs, keep_score, redact=True)
+    return found.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -192,4 +200,4 @@ def digest(found: DataFrame) -> DataFrame:
     written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
     of = lambda kind: F.size(F.filter("spans", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
     base = written(F.filter("spans", lambda s: s.base))
-    return found.select("doc_id", *map(of, BASE_KINDS), F.sha2(base.cast("binary"), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+    return found.select("row.doc_id", *map(of, BASE_KINDS), F.sha2(base.cast("binary"), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import SPACES, words_column
+from newsloom.llm.common import SPACES, aside, words_column
 
 SYMBOLS = "#*$%&|<>"
 #: Frequent function words of the four languages.
@@ -79,7 +79,7 @@ def _measures(docs: DataFrame) -> DataFrame:
 
 
 def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
-    """``docs`` with the measures and the verdict; the input columns stay, new names win a clash."""
+    """``row``, all input columns in one struct, with the measures and the verdict beside it."""
     text = F.col("__text")
     n = F.col("__n")
     counts: dict[str, Column] = {
@@ -102,18 +102,18 @@ def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, min_words: int = 5
         bad = bad | (value < rule.least) if rule.least is not None else bad
         bad = bad | (value > rule.most) if rule.most is not None else bad
         broken.append(F.when(bad, F.lit(rule.name)))
-    out = _measures(docs.drop("__words", "__lines", "__text")).withColumns(counts).withColumns(ratios)
+    out = _measures(aside(docs)).withColumns(counts).withColumns(ratios)
     base = (n < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * n)
     out = out.withColumns({"base_failed": base, "failed_rules": F.array_compact(F.array(*broken)) if broken else F.array().cast("array<string>")})
     out = out.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
-    return out.drop(*[c for c in out.columns if c.startswith("__") and c not in docs.columns])
+    return out.drop("text", *[c for c in out.columns if c.startswith("__")])
 
 
 def kept_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of ``docs`` that the rules keep.
+    """The rows of ``docs`` that the rules keep, with all their columns as they are.
 
     The row number keeps the optimizer from moving the filter below the projections, where each use
     of an array of words would split the text again.
     """
-    told = quality(docs, rules).withColumn("__row", F.monotonically_increasing_id())
-    return told.where("kept and __row >= 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    told = quality(docs, rules).withColumn("at", F.monotonically_increasing_id())
+    return told.where("kept and at >= 0").select("row.*")

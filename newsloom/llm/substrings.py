@@ -19,22 +19,23 @@ gives an empty result; other columns take no part. Texts are read whole.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import Rolling, partitions, row_chunks, stored, text_buffers, word_bounds, word_hashes
+from newsloom.llm.common import Rolling, aside, bucketed, partitions, row_chunks, stored, text_buffers, word_bounds, word_hashes
 
 WINDOW = 35
 _FIRST, _SECOND = Rolling(21), Rolling(22)
 
 #: One window met in a task: its hash (96 bits), how often, and its places in a text when they are
 #: still to be judged. Decided rows hold the places of windows that the task itself met twice.
-_MET = "h long, g int, n int, decided boolean, key long, at binary"
+_MET = "h long, g int, n int, decided boolean, key long, more long, at binary"
+#: The 128 bits that name a text.
+_KEY = ["key", "more"]
 
 
 def lengths(window: int) -> list[int]:
@@ -71,7 +72,7 @@ def window_hashes(w: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.nd
     return _FIRST.ranges(w, starts, ends).view(np.int64), (_SECOND.ranges(w, starts, ends) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def _met_rows(keys: np.ndarray, copies: np.ndarray, row_of: np.ndarray, place: np.ndarray, h: np.ndarray, g: np.ndarray) -> pa.RecordBatch:
+def _met_rows(keys: tuple[np.ndarray, np.ndarray], copies: np.ndarray, row_of: np.ndarray, place: np.ndarray, h: np.ndarray, g: np.ndarray) -> pa.RecordBatch:
     """Rows of ``_MET`` for windows of several texts: one for each distinct window, one for each text with decided places."""
     order = np.lexsort((place, row_of, g, h))
     h, g, row_of, place = h[order], g[order], row_of[order], place[order].astype(np.int32)
@@ -82,7 +83,7 @@ def _met_rows(keys: np.ndarray, copies: np.ndarray, row_of: np.ndarray, place: n
     weight = np.add.reduceat(np.minimum(copies[row_of], 2), head) if len(head) else np.zeros(0, np.int64)
     twice = np.repeat(many > 1, many)
     head_at = pa.array([p.tobytes() if one else None for p, one in zip(place[head], many == 1)], pa.binary())
-    out = [h[head], g[head], np.minimum(weight, 2).astype(np.int32), np.zeros(len(head), bool), keys[row_of[head]]]
+    out = [h[head], g[head], np.minimum(weight, 2).astype(np.int32), np.zeros(len(head), bool), *[k[row_of[head]] for k in keys]]
     rows, places = row_of[twice], place[twice]
     by = np.lexsort((places, rows))
     rows, places = rows[by], places[by]
@@ -90,21 +91,21 @@ def _met_rows(keys: np.ndarray, copies: np.ndarray, row_of: np.ndarray, place: n
     groups = np.split(places, cut) if len(rows) else []
     owners = rows[np.concatenate([[0], cut]).astype(np.int64)] if len(rows) else rows
     k = len(owners)
-    decided = [keys[owners], np.zeros(k, np.int32), np.full(k, 2, np.int32), np.ones(k, bool), keys[owners]]
+    decided = [keys[0][owners], np.zeros(k, np.int32), np.full(k, 2, np.int32), np.ones(k, bool), *[x[owners] for x in keys]]
     columns = [pa.array(np.concatenate([a, b])) for a, b in zip(out, decided)]
     at = pa.concat_arrays([head_at, pa.array([x.tobytes() for x in groups], pa.binary())])
-    return pa.RecordBatch.from_arrays([*columns, at], ["h", "g", "n", "decided", "key", "at"])
+    return pa.RecordBatch.from_arrays([*columns, at], ["h", "g", "n", "decided", *_KEY, "at"])
 
 
 def _candidates(texts: DataFrame, window: int, level: int) -> DataFrame:
-    """Windows of one level. ``texts``: ``key, copies, text`` and, above the first level, ``at``: places that survived the one below."""
+    """Windows of one level. ``texts``: ``key, more, copies, text`` and, above the first level, ``at``: places that survived the one below."""
     steps = lengths(window)
     length = steps[level]
 
     def find(batches):
         for batch in batches:
             data, offsets = text_buffers(batch.column("text"))
-            keys = batch.column("key").to_numpy(zero_copy_only=False)
+            keys = [batch.column(k).to_numpy(zero_copy_only=False) for k in _KEY]
             copies = batch.column("copies").to_numpy(zero_copy_only=False).astype(np.int64)
             held = batch.column("at") if level else None
             for low, high in row_chunks(offsets):
@@ -141,46 +142,44 @@ def _candidates(texts: DataFrame, window: int, level: int) -> DataFrame:
                     at = at[at + length <= stop[at]]
                 if len(at):
                     h, g = window_hashes(w, at, length)
-                    yield _met_rows(keys[low:high], copies[low:high], row[at], at - begin[row[at]], h, g)
+                    yield _met_rows([k[low:high] for k in keys], copies[low:high], row[at], at - begin[row[at]], h, g)
 
     return texts.mapInArrow(find, _MET)
 
 
 def _repeated(met: DataFrame) -> DataFrame:
-    """``key, at``: places of the windows that occur twice or more anywhere."""
+    """``key, more, at``: places of the windows that occur twice or more anywhere."""
     total = F.sum("n").over(Window.partitionBy("h", "g", "decided"))
     told = met.withColumn("total", total).where("total > 1 and at is not null")
-    return told.groupBy("key").agg(F.collect_list("at").alias("at"))
+    return told.groupBy(*_KEY).agg(F.collect_list("at").alias("at"))
 
 
 def folded(docs: DataFrame) -> DataFrame:
-    """``key, copies, text``: each distinct text once, in a table bucketed by ``key`` that later joins read in place."""
-    spark = docs.sparkSession
-    keyed = docs.select(text_key().alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    distinct = keyed.groupBy("key").agg(F.count("*").alias("copies"), F.first("text").alias("text"))
-    n, name = partitions(spark), f"substrings_{uuid.uuid4().hex}"
-    distinct.repartition(n, "key").write.bucketBy(n, "key").option("compression", "zstd").saveAsTable(name)
-    return spark.table(name)
+    """``key, more, copies, text``: each distinct text once, in buckets of its key that later joins read in place."""
+    n = partitions(docs.sparkSession)
+    keyed = docs.select(*text_key(), F.coalesce("text", F.lit("")).alias("text"))
+    distinct = keyed.groupBy(*_KEY).agg(F.count("*").alias("copies"), F.first("text").alias("text"))
+    return bucketed(distinct.repartition(n, *_KEY), n, _KEY, "substrings")
 
 
-def text_key():
-    """A 64-bit key of a text, from the head of its SHA-256; null and empty are alike."""
-    head = F.substring(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256), 1, 16)
-    return F.xxhash64(F.unhex(head))
+def text_key() -> list[Column]:
+    """The first 128 bits of the SHA-256 of a text, in two longs; null and empty are alike."""
+    sha = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    return [F.conv(F.substring(sha, at, 16), 16, -10).cast("long").alias(name) for at, name in ((1, "key"), (17, "more"))]
 
 
 def repeated_places(texts: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``key, at``: for each folded text the starts of its windows that occur elsewhere too."""
+    """``key, more, at``: for each folded text the starts of its windows that occur elsewhere too."""
     found = stored(_repeated(_candidates(texts, window, 0)), "substrings-0")
     for level in range(1, len(lengths(window))):
         if found.isEmpty():
             break
-        found = stored(_repeated(_candidates(texts.join(found, "key"), window, level)), f"substrings-{level}")
+        found = stored(_repeated(_candidates(texts.join(found, _KEY), window, level)), f"substrings-{level}")
     return found
 
 
 def strip(texts: DataFrame, places: DataFrame, window: int = WINDOW, with_text: bool = False) -> DataFrame:
-    """``key, n_words, n_removed, kept_sha256`` (and ``kept_text``) of each folded text."""
+    """``key, more, n_words, n_removed, kept_sha256`` (and ``kept_text``) of each folded text."""
 
     def cut(batches):
         for batch in batches:
@@ -200,28 +199,30 @@ def strip(texts: DataFrame, places: DataFrame, window: int = WINDOW, with_text:
                 joined = b" ".join(kept)
                 rows.append((n, n - len(kept), hashlib.sha256(joined).hexdigest(), joined.decode() if with_text and len(kept) < n else None))
             n, gone, sha, kept = map(list, zip(*rows)) if rows else ([], [], [], [])
-            made = [batch.column("key"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())]
-            names = ["key", "n_words", "n_removed", "kept_sha256"]
+            made = [*map(batch.column, _KEY), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())]
+            names = [*_KEY, "n_words", "n_removed", "kept_sha256"]
             if with_text:
                 made, names = [*made, pa.array(kept, pa.string())], [*names, "kept_text"]
             yield pa.RecordBatch.from_arrays(made, names)
 
-    schema = "key long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    return texts.join(places, "key", "left").mapInArrow(cut, schema)
+    schema = "key long, more long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
+    return texts.join(places, _KEY, "left").mapInArrow(cut, schema)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256`` of each row of ``docs``."""
     texts = folded(docs)
     told = strip(texts, repeated_places(texts, window), window)
-    ids = docs.select("doc_id", text_key().alias("key"))
-    return ids.join(told, "key").select("doc_id", "n_words", "n_removed", "kept_sha256")
+    ids = docs.select("doc_id", *text_key())
+    return ids.join(told, _KEY).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` whose texts lack the repeated words; texts that lose nothing stay as they are."""
+    """``docs`` whose texts lack the repeated words; texts that lose nothing stay as they are.
+
+    Columns of any name and type pass through; an empty table gives an empty result.
+    """
     texts = folded(docs)
-    told = strip(texts, repeated_places(texts, window), window, with_text=True).where("n_removed > 0")
-    told = told.select(F.col("key").alias("__key"), F.col("kept_text").alias("__kept"))
-    changed = docs.withColumn("__key", text_key()).join(told, "__key", "left")
-    return changed.select(*[F.coalesce("__kept", "text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    told = strip(texts, repeated_places(texts, window), window, with_text=True).where("n_removed > 0").select(*_KEY, "kept_text")
+    changed = aside(docs).select("row", "text", *text_key()).join(told, _KEY, "left")
+    return changed.select(*[F.coalesce("kept_text", "text").alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
