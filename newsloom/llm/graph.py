@@ -9,7 +9,7 @@ from newsloom.llm.common import shared_dir
 
 
 def components(edges: DataFrame, first: str, second: str, max_rounds: int = 60) -> DataFrame:
-    """``node, root`` for every node of ``edges`` (two long columns); ``root`` is the least node reachable.
+    """``node, root`` for every node of ``edges`` (two columns of one type that has an order); ``root`` is the least node reachable.
 
     Edges with a null end and edges from a node to itself link nothing. Each round is checkpointed
     in the shared folder, so a lost executor costs one round. A node with many neighbours is met

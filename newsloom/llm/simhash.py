@@ -14,8 +14,8 @@ Defined results: a null or empty text has fingerprint zero and links like any ot
 named by the smallest doc_id that is not null (null if there is none); repeated rows give repeated
 results; an empty table gives an empty result; other columns take no part. Texts are read whole.
 
-The pipeline's stage finds near copies by the least hashes of their shingle sets and verifies each
-candidate by the exact similarity; of repeated rows one stays, and texts without words are alike.
+The pipeline's stage (``drop_near_copies``) finds near copies by the least hashes of their shingle sets and
+verifies each candidate by the exact similarity.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsloom.llm.common import mixed, stored, stream
+from newsloom.llm.common import aside, bucketed, mixed, partitions, stored, stream
 from newsloom.llm.graph import components
 
 BITS = 64
@@ -180,7 +180,7 @@ def plan(nodes: DataFrame, radius: int, most_parts: int = 6, probe_cost: float =
         for k, (_, _, bits) in ((k, x) for k, x in enumerate(flat) if x[0] == m):
             row = [0.0]
             for t in range(min(radius, len(bits)) + 1):
-                probes = n * sum(comb(len(bits), j) for j in range(t + 1))
+                probes = max(n, 1) * sum(comb(len(bits), j) for j in range(t + 1))  # without rows too, the fewest win
                 row.append(estimated_candidates(equal.get(k, 0.0), share, bits, t) + probe_cost * probes)
             costs.append(row)
         cost, thresholds = allocate(costs, radius - m + 1)
@@ -273,12 +273,16 @@ _PICKS = stream(21, BANDS * ROWS) | np.uint64(1)
 _BAND_MARKS = stream(22, BANDS)
 
 
-def shingle_set(text: str | None) -> tuple[int, np.ndarray]:
-    """A key of the words of the text with A-Z lower-cased, and the hashes of its distinct shingles in order."""
+#: Members of a value, drawn by hash, that the first round compares with each other member.
+DRAWN = 16
+
+
+def shingle_set(text: str | None) -> tuple[bytes, np.ndarray]:
+    """A 128-bit key of the words of the text with A-Z lower-cased, and the hashes of its distinct shingles in order."""
     import xxhash
 
     words = (text or "").encode().lower().split()
-    return xxhash.xxh3_64_intdigest(b" ".join(words)), np.unique(shingle_hashes(words, STAGE_SHINGLE, 42))
+    return xxhash.xxh3_128_digest(b" ".join(words)), np.unique(shingle_hashes(words, STAGE_SHINGLE, 42))
 
 
 def band_values(sets: list[np.ndarray]) -> np.ndarray:
@@ -294,10 +298,10 @@ def band_values(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def with_bands(docs: DataFrame, group: int = 256) -> DataFrame:
-    """``docs`` with ``__key``, equal for texts of equal words, and ``__bands``; a text without words has none."""
-    names = docs.columns
-    out = T.StructType([*docs.schema.fields, T.StructField("__key", T.LongType()), T.StructField("__bands", T.ArrayType(T.LongType()))])
+def with_bands(rows: DataFrame, group: int = 256) -> DataFrame:
+    """``rows`` (with a ``text``) with ``key``, equal for texts of equal words, and ``bands``; a text without words has none."""
+    names = rows.columns
+    out = T.StructType([*rows.schema.fields, T.StructField("key", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def mark(batches):
         for batch in batches:
@@ -308,17 +312,20 @@ def with_bands(docs: DataFrame, group: int = 256) -> DataFrame:
                 full = [s for _, s in made if len(s)]
                 found = iter(band_values(full).view(np.int64) if full else ())
                 bands += [next(found) if len(s) else [] for _, s in made]
-            new = [pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*names, "__key", "__bands"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], [*names, "key", "bands"])
 
-    return docs.mapInArrow(mark, out)
+    return rows.mapInArrow(mark, out)
 
 
-def near_enough(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (``a, b`` and further longs) whose ``texts`` (``key, text``) have cosine ``STAGE_COSINE`` or more, exactly."""
+def near_enough(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (``a, b``) whose texts in ``nodes`` have cosine ``STAGE_COSINE`` or more, exactly.
+
+    ``nodes`` lie in buckets of ``key``, so only the texts of pairs move; ``b`` may be a text that very
+    many pairs share, so its side is a table of its own, whose join Spark can split.
+    """
 
     def judge(batches):
-        held: dict[int, np.ndarray] = {}
+        held: dict[bytes, np.ndarray] = {}
 
         def of(key, text):
             if key not in held:
@@ -328,56 +335,62 @@ def near_enough(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             return held[key]
 
         for batch in batches:
-            a, b, x, y = (batch.column(n).to_pylist() for n in ("a", "b", "x", "y"))
             good = []
-            for row in zip(a, b, x, y):
-                one, two = of(row[0], row[2]), of(row[1], row[3])
+            for a, b, x, y in zip(*(batch.column(n).to_pylist() for n in ("a", "b", "x", "y"))):
+                one, two = of(a, x), of(b, y)
                 both = len(np.intersect1d(one, two, assume_unique=True))
                 good.append(both > 0 and both >= STAGE_COSINE * np.sqrt(len(one) * len(two)))
-            yield pa.RecordBatch.from_arrays([c for n, c in zip(batch.schema.names, batch.columns) if n not in "xy"], names).filter(pa.array(good, pa.bool_()))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    names = pairs.columns
-    told = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("y")), "b")
-    return told.select(*names, "x", "y").mapInArrow(judge, pairs.schema)
+    text = lambda key, name: nodes.select(F.col("key").alias(key), F.col("text").alias(name))
+    there = stored(pairs.select("b").distinct().join(text("b", "y"), "b"), "near-copies-texts")
+    return pairs.join(text("a", "x"), "a").join(there, "b").select("a", "b", "x", "y").mapInArrow(judge, "a binary, b binary")
 
 
-def near_groups(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """``key, root`` of ``nodes`` (distinct ``key``, ``bands``) that link to another, directly or by others.
+def near_groups(nodes: DataFrame) -> DataFrame:
+    """``node, root`` of ``nodes`` (distinct ``key``, ``bands``, ``text``) that link to another, directly or by others.
 
-    A first round compares each node with the least and the greatest node of each value that it has; a
-    second, complete one compares the nodes of a value that are in different groups.
+    A first round compares each node with ``DRAWN`` members of each value that it has; a second,
+    complete one compares the nodes of a value that are in different groups.
     """
     held = nodes.select("key", F.explode("bands").alias("value"))
-    ends = held.groupBy("value").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high")
-    met = held.join(ends, "value").select("key", F.explode(F.array("low", "high")).alias("other")).where("key <> other")
-    pairs = stored(met.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct(), "near-copies-first")
-    groups = components(near_enough(pairs, texts), "a", "b")
-    known = nodes.join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    known = stored(known.select("key", "root", "bands"), "near-copies-groups")
-
-    held = known.select("key", "root", F.explode("bands").alias("value"))
-    sizes = held.groupBy("value", "root").agg(F.count("*").alias("c"))
-    mixed_values = sizes.groupBy("value").agg(F.max(F.struct("c", "root")).alias("m"), F.count("*").alias("roots")).where("roots > 1").select("value", F.col("m.root").alias("top"))
-    held = stored(held.join(mixed_values, "value"), "near-copies-mixed")
+    several = stored(held.groupBy("value").agg(F.count("*").alias("n")).where("n > 1").select("value"), "near-copies-values")
+    held = stored(held.join(several, "value"), "near-copies-held")  # few values are shared at all
+    drawn = [F.min(F.struct(F.xxhash64("key", F.lit(salt)).alias("order"), "key")).alias(f"m{salt}") for salt in range(DRAWN)]
+    some = F.array_distinct(F.array(*[F.col(f"m{salt}")["key"] for salt in range(DRAWN)]))
+    ends = stored(held.groupBy("value").agg(*drawn).select("value", some.alias("some")), "near-copies-drawn")
+    met = held.join(ends, "value").select(F.col("key").alias("a"), F.explode("some").alias("b")).where("a <> b")
+    pairs = stored(met.distinct(), "near-copies-first")
+    links = stored(near_enough(pairs, nodes), "near-copies-links")
+    groups = components(links, "a", "b")
+
+    known = stored(held.join(groups.select(F.col("node").alias("key"), "root"), "key", "left").select("key", "value", F.coalesce("root", "key").alias("root")), "near-copies-roots")
+    sizes = known.groupBy("value", "root").agg(F.count("*").alias("c"))
+    mixed_values = sizes.groupBy("value").agg(F.max(F.struct("c", "root")).alias("m"), F.count("*").alias("roots")).where("roots > 1")
+    mixed_values = stored(mixed_values.select("value", F.col("m.root").alias("top")), "near-copies-mixed")
     # of two nodes in different groups, one at least is outside the value's largest group
-    q, x = held.where("root <> top").alias("q"), held.alias("x")
-    meets = q.join(x, "value").where("q.root <> x.root").select(F.least("q.key", "x.key").alias("a"), F.greatest("q.key", "x.key").alias("b"))
-    rest = stored(meets.distinct().join(pairs, ["a", "b"], "left_anti"), "near-copies-second")
-    second = near_enough(rest, texts)
-    root = lambda side: known.select(F.col("key").alias(side), F.col("root").alias(f"root_{side}"))
-    over = components(second.join(root("a"), "a").join(root("b"), "b"), "root_a", "root_b")
-    joined = known.join(over.select(F.col("node").alias("root"), F.col("root").alias("over")), "root", "left")
-    return joined.select("key", F.coalesce("over", "root").alias("root"))
+    q = known.join(mixed_values, "value").where("root <> top").select("value", F.col("key").alias("a"), F.col("root").alias("root_a"))
+    x = known.select("value", F.col("key").alias("b"), F.col("root").alias("root_b"))
+    rest = stored(q, "near-copies-open").join(x, "value").where("root_a <> root_b").select("a", "b").distinct()
+    tried = pairs.union(pairs.select("b", "a"))
+    rest = rest.join(tried, ["a", "b"], "left_anti").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    more = near_enough(stored(rest, "near-copies-second"), nodes)
+    return components(links.union(stored(more, "near-copies-more")), "a", "b")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` without near copies: of each group the row with the smallest doc_id (nulls last) stays."""
-    # equal rows are told apart by a number of their own, stored once so that it stays the same
-    tagged = stored(with_bands(docs.withColumn("__row", F.monotonically_increasing_id())), "near-copies-rows")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("__row"))
-    nodes = tagged.groupBy(F.col("__key").alias("key")).agg(F.min(order).alias("first"), F.first("__bands").alias("bands"))
-    nodes = stored(nodes, "near-copies-nodes")
-    texts = tagged.join(nodes.select("key", F.col("first.__row").alias("__row")), "__row").select("key", "text")
-    groups = near_groups(nodes.select("key", "bands"), texts)
-    kept = nodes.join(groups, "key").groupBy("root").agg(F.min("first").alias("first"))
-    return tagged.join(kept.select(F.col("first.__row").alias("__row")), "__row", "left_semi").select(*[f"`{c}`" for c in docs.columns])
+    """``docs`` without near copies: of each group the row with the smallest doc_id (nulls last) stays.
+
+    Rows with the same words meet in one node first, which carries the row that would stay, so the
+    table is written once. Of rows equal in every column one stays. Columns of any name and type pass
+    through; an empty table gives an empty result; texts without words are alike.
+    """
+    n = partitions(docs.sparkSession)
+    marked = with_bands(aside(docs).withColumn("at", F.monotonically_increasing_id()))
+    order = F.struct(F.col("row.doc_id").isNull().alias("none"), F.col("row.doc_id").alias("doc_id"), F.col("at"))
+    best = F.min_by(F.struct(order.alias("order"), "row", "text", "bands"), order)
+    nodes = bucketed(marked.groupBy("key").agg(best.alias("best")).select("key", "best.*").repartition(n, "key"), n, ["key"], "near_copies")
+    groups = stored(near_groups(nodes), "near-copies-groups")
+    first = groups.join(nodes.select(F.col("key").alias("node"), "order"), "node").groupBy("root").agg(F.min(F.struct("order", "node")).alias("first"))
+    gone = groups.select(F.col("node").alias("key")).join(first.select(F.col("first.node").alias("key")), "key", "left_anti")
+    return nodes.join(gone, "key", "left_anti").select("row.*")
