@@ -1,181 +1,274 @@
-"""SentencePiece encoding and decoding as relations, for BPE models with byte fallback.
-
-A text becomes units: a run of word marks with what follows it. Distinct units are encoded once:
-their substrings of bounded length are exploded and equi-joined to the piece table, and the edges of
-each unit are grouped (they are where the unit is, so that needs no further shuffle) and folded with
-``aggregate``. The fold takes the edges of a unit from the best score down and merges the two
-neighbours that an edge spans, which is what a BPE model's library does: any two pieces that meet
-inside a unit were formed by better edges. Pieces of marks alone all have one score, the least, and
-the library's leftmost rule then takes the longest of them from the left. (A fold for the best sum of scores, Viterbi, gives other
-pieces than the library for such a model, and the public model is one.) Characters in no piece
-become bytes.
-
-A text's pieces are those of its units. The ``HOT`` most frequent units reach texts by a broadcast
-of that many rows, all others by a join on the unit.
-
-Defined results: a null or empty text has no units and no pieces; null ids stay null; repeated rows
-give repeated results; an empty table gives an empty result; other columns take no part. Texts are
-read whole. Of edges with equal scores the leftmost merges first. Units of more
-than ``LONG`` characters are encoded by the library inside the tasks, as a fold would take time with
-the square of their length.
+"""SentencePiece encoding and decoding as relations, for models with byte fallback.
+
+A text becomes units: a run of word marks with what follows it. Each task numbers the units of a chunk
+of texts; the ``HOT`` most frequent ones (told from a sample of rows, which decides only where a unit
+is looked up) come from a dictionary of that size, every other one is sent once a chunk. Distinct units
+meet their pieces by relation: substrings of bounded length are exploded, equi-joined to the piece
+table, and the edges of a unit, each packed in one long, are grouped and folded with ``aggregate``.
+Where the cuts fall comes back to the chunk, which never moves: it lies in a table bucketed by chunk.
+
+Two folds read the same lattice. ``viterbi`` keeps the best sum of scores and a back pointer for every
+place; it is what the library does for a unigram model. ``merged`` takes edges from the best score
+down and merges the two neighbours that an edge spans: any two pieces that meet inside a unit were
+formed by better edges, so this is what the library does for a BPE model. Pieces of marks alone all
+have one score, the least, and the library's leftmost rule then takes the longest of them from the
+left. Characters in no piece become bytes.
+
+Defined results: a null or empty text has no pieces; null ids stay null; repeated rows give repeated
+results; an empty table gives an empty result; other columns take no part. Texts are read whole, and a
+unit may have any length. Of edges with equal scores the leftmost merges first.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from newsloom.llm.common import stored
+from newsloom.llm.common import bucketed, partitions, row_chunks, stored, text_buffers
+from newsloom.llm.lm import packed, unpacked
 
 MARK = "▁"
 #: White space that is in no piece of several characters stands alone (the table is checked for it).
 ALONE = r"\t\n\x0b\f"
+UNITS = re.compile(f"[{ALONE}]|{MARK}{{16}}(?={MARK})|{MARK}*[^{MARK}{ALONE}]+|{MARK}+")
 HOT = 1 << 17
-LONG = 256
+#: Rows that the hot units are told from.
+SAMPLE = 1 << 14
+CHUNK = 16 << 20
+#: Bits of an edge: its length (of marks alone: how much it lacks to the most), and below its rank its start.
+_LENGTH, _START = 7, 26
+_MOST = (1 << _LENGTH) - 1
 
 
-def piece_table(spark: SparkSession, path: str) -> DataFrame:
-    """``piece, id, score`` of the pieces that text can become; as long as the vocabulary."""
-    import sentencepiece
+class Model:
+    """What the library tells of a model file; as large as its vocabulary."""
 
-    model = sentencepiece.SentencePieceProcessor(model_file=path)
-    rows = [
-        (model.id_to_piece(i), i, float(model.get_score(i)))
-        for i in range(model.vocab_size())
-        if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))
-    ]
-    if any(len(p) > 1 and (MARK in p.lstrip(MARK) or any(c in p for c in "\t\n\x0b\f")) for p, _, _ in rows):
-        raise ValueError("a piece of this model crosses units")
-    return spark.createDataFrame(rows, "piece string, id int, score double")
+    def __init__(self, path: str):
+        import sentencepiece
 
+        library = sentencepiece.SentencePieceProcessor(model_file=path)
+        special = lambda i: library.is_byte(i) or library.is_control(i) or library.is_unknown(i) or library.is_unused(i)
+        self.pieces = [(library.id_to_piece(i), i, float(library.get_score(i))) for i in range(library.vocab_size()) if not special(i)]
+        if any(len(p) > 1 and (MARK in p.lstrip(MARK) or any(c in p for c in "\t\n\x0b\f")) for p, _, _ in self.pieces):
+            raise ValueError("a piece of this model crosses units")
+        self.first_byte = library.piece_to_id("<0x00>")
+        self.ids = {p: i for p, i, _ in self.pieces}
+        self.spelled = [b""] * library.vocab_size()
+        for p, i, _ in self.pieces:
+            self.spelled[i] = p.replace(MARK, " ").encode()
+        for b in range(256):
+            self.spelled[self.first_byte + b] = bytes([b])
+
+    def cut(self, unit: str, lengths: str | None) -> list[int]:
+        """The ids of a unit whose pieces have these lengths (a character each); None: one each."""
+        out, at = [], 0
+        for n in map(ord, lengths) if lengths is not None else (1 for _ in unit):
+            piece = unit[at : at + n]
+            found = self.ids.get(piece)
+            out += [found] if found is not None else [self.first_byte + b for b in piece.encode()]
+            at += n
+        return out
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """``piece, score, rank, marks``; pieces of equal score have equal ranks."""
+        scores = sorted({s for _, _, s in self.pieces}, reverse=True)
+        rank = {s: r for r, s in enumerate(scores)}
+        return spark.createDataFrame([(p, s, rank[s], not p.strip(MARK)) for p, _, s in self.pieces], "piece string, score double, rank long, marks boolean")
+
+
+def units_in(text: str | None) -> list[str]:
+    """The units of a text, in order; joined they are the text with marks for spaces and one before it."""
+    return UNITS.findall(MARK + text.replace(" ", MARK)) if text else []
 
-def byte_offset(path: str) -> int:
-    """The id of byte 0; the others follow."""
-    import sentencepiece
 
-    return sentencepiece.SentencePieceProcessor(model_file=path).piece_to_id("<0x00>")
+def met_pieces(units: DataFrame, pieces: DataFrame, least: int) -> DataFrame:
+    """``unit, s, n`` and the piece's columns for each substring of ``least`` characters or more that is a piece.
 
+    Lengths are tried as far as some piece goes that begins with the same three characters.
+    """
+    longest = pieces.where(F.length("piece") > 2).groupBy(F.substring("piece", 1, 3).alias("head")).agg(F.max(F.length("piece")).alias("most"))
+    starts = units.where(F.length("unit") >= least).select("unit", F.explode(F.sequence(F.lit(1), F.length("unit") - least + 1)).alias("s"))
+    headed = starts.withColumn("head", F.substring("unit", F.col("s"), F.lit(3))).join(F.broadcast(longest), "head", "left")  # both tables are as small as the vocabulary
+    last = F.least(F.greatest(F.coalesce("most", F.lit(2)), F.lit(2)), F.length("unit") - F.col("s") + 1)
+    spans = headed.select("unit", "s", F.explode(F.sequence(F.lit(least), last)).alias("n"))
+    return spans.withColumn("piece", F.substring("unit", F.col("s"), F.col("n"))).join(F.broadcast(pieces), "piece")
 
-def units_of(text: Column) -> Column:
-    """The units of a text, in order; joined they are the text with marks for spaces and one before it."""
-    marked = F.concat(F.lit(MARK), F.replace(text, F.lit(" "), F.lit(MARK)))
-    found = F.regexp_extract_all(marked, F.lit(f"[{ALONE}]|{MARK}{{16}}(?={MARK})|{MARK}*[^{MARK}{ALONE}]+|{MARK}+"), F.lit(0))
-    return F.when(F.length(text) > 0, found).otherwise(F.array().cast("array<string>"))
 
+def merged(units: DataFrame, pieces: DataFrame) -> DataFrame:
+    """``unit, lengths`` of the distinct ``unit`` that hold a piece of several characters, by merging from the best score down."""
+    code = F.when(F.col("marks"), _MOST - F.col("n")).otherwise(F.col("n"))
+    edge = F.shiftleft("rank", _START + _LENGTH).bitwiseOR(F.shiftleft((F.col("s") - 1).cast("long"), _LENGTH)).bitwiseOR(code.cast("long"))
+    marks = F.max(F.when(F.col("marks"), F.col("rank")))
+    edges = met_pieces(units, pieces, 2).groupBy("unit").agg(F.sort_array(F.collect_list(edge)).alias("edges"), marks.alias("marks"))
 
-def lattice(units: DataFrame, pieces: DataFrame) -> DataFrame:
-    """``unit, edges`` of distinct units that hold a piece: the pieces that occur in each, as ``start, end, id, score``."""
-    longest = pieces.agg(F.max(F.length("piece"))).first()[0] or 1
-    starts = units.where(F.length("unit") > 0).select("unit", F.explode(F.sequence(F.lit(1), F.length("unit"))).alias("s"))
-    spans = starts.select("unit", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("unit") - F.col("s") + 1))).alias("n"))
-    cut = spans.select("unit", "s", "n", F.substring("unit", F.col("s"), F.col("n")).alias("piece"))
-    met = cut.join(F.broadcast(pieces.withColumn("marks", F.col("piece").rlike(f"^{MARK}+$"))), "piece")  # as many rows as the vocabulary
-    start, end = F.col("s") - 1, F.col("s") + F.col("n") - 1
-    # best score first, then from the left; of marks alone the longest first
-    edge = F.struct((-F.col("score")).alias("order"), start.alias("start"), F.when(F.col("marks"), -end).otherwise(end).alias("rank"), end.alias("end"), "id", "marks")
-    return met.groupBy("unit").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    def start(e: Column) -> Column:
+        return F.shiftright(e, _LENGTH).bitwiseAND(F.lit((1 << _START) - 1)).cast("int")
 
+    def step(b: Column, e: Column) -> Column:
+        is_marks = F.shiftright(e, _START + _LENGTH) == F.col("marks")
+        code = e.bitwiseAND(F.lit(_MOST)).cast("int")
+        at = F.array_position(b, start(e)).cast("int")  # counts from 1, so this is the place of the bound after it
+        pair = F.when((at > 0) & (F.get(b, at + 1) == start(e) + code), F.array_remove(b, F.get(b, at))).otherwise(b)
+        end = start(e) + F.lit(_MOST) - code
+        run = F.when((at > 0) & F.array_contains(b, end), F.filter(b, lambda x: (x <= start(e)) | (x >= end))).otherwise(b)
+        return F.when(F.coalesce(is_marks, F.lit(False)), run).otherwise(pair)
 
-def folded(edges: DataFrame, first_byte: int) -> DataFrame:
-    """``unit, ids``: the pieces of each unit."""
-    bounds = F.sequence(F.lit(0), F.length("unit"))
+    bounds = F.aggregate("edges", F.sequence(F.lit(0), F.length("unit")), step)
+    return edges.select("unit", bounds.alias("b")).select("unit", _lengths(F.col("b")))
 
-    def merge(b: Column, e: Column) -> Column:
-        at = F.array_position(b, e.start).cast("int")  # counts from 1, so this is the place of the bound after it
-        pair = F.when((at > 0) & (F.get(b, at + 1) == e.end), F.array_remove(b, F.get(b, at))).otherwise(b)
-        run = F.when((at > 0) & F.array_contains(b, e.end), F.filter(b, lambda x: (x <= e.start) | (x >= e.end))).otherwise(b)
-        return F.when(e.marks, run).otherwise(pair)
 
-    several = F.filter("edges", lambda e: e.end - e.start > 1)
-    cut = edges.select("unit", "edges", F.aggregate(several, bounds, merge).alias("b"))
-    spans = F.zip_with(F.slice("b", 1, F.size("b") - 1), F.slice("b", 2, F.size("b") - 1), lambda a, z: F.struct(a.alias("a"), z.alias("z")))
-    cut = cut.select("unit", "edges", spans.alias("spans"))
+def viterbi(units: DataFrame, pieces: DataFrame, unknown: float | None = None) -> DataFrame:
+    """``unit, lengths`` of each distinct ``unit``: the pieces with the greatest sum of scores; of equal sums the longest last piece.
 
-    def ids(span: Column) -> Column:
-        own = F.filter("edges", lambda e: (e.start == span.a) & (e.end == span.z))
-        return F.when(F.size(own) > 0, F.transform(F.slice(own, 1, 1), lambda e: e.id)).otherwise(byte_ids(F.substring("unit", span.a + 1, span.z - span.a), first_byte))
+    A character in no piece costs ``unknown`` (the least score less ten, as in the library).
+    """
+    if unknown is None:
+        unknown = pieces.agg(F.min("score")).first()[0] - 10.0
+    own = pieces.select("piece", "score")
+    met = met_pieces(units, own, 1).select("unit", F.struct((F.col("s") + F.col("n") - 1).alias("end"), (F.col("s") - 1).alias("start"), "score").alias("e"))
+    edges = units.join(met.groupBy("unit").agg(F.collect_list("e").alias("edges")), "unit", "left")
+    none = F.array().cast("array<struct<end:int,start:int,score:double>>")
 
-    return cut.select("unit", F.flatten(F.transform("spans", ids)).alias("ids"))
+    def place(best: Column, end: Column) -> Column:
+        # state: for each place the best sum and, from it, the place before
+        reach = F.transform(F.filter("edges", lambda e: e.end == end), lambda e: F.struct((F.get(best, e.start).total + e.score).alias("total"), (-e.start).alias("back")))
+        alone = F.struct((F.get(best, end - 1).total + F.lit(unknown)).alias("total"), (F.lit(1) - end).alias("back"))
+        single = F.exists("edges", lambda e: (e.end == end) & (e.start == end - 1))
+        return F.concat(best, F.array(F.array_max(F.when(single, reach).otherwise(F.concat(reach, F.array(alone))))))
 
+    first = F.array(F.struct(F.lit(0.0).alias("total"), F.lit(0).alias("back")))
+    held = edges.select("unit", F.coalesce("edges", none).alias("edges"))
+    states = held.where(F.length("unit") > 0).withColumn("best", F.aggregate(F.sequence(F.lit(1), F.length("unit")), first, place))
+    # back from the end: each step adds the place before the lowest bound known
+    back = F.aggregate(F.sequence(F.lit(1), F.length("unit")), F.array(F.length("unit")), lambda b, _: F.when(F.get(b, F.lit(0)) > 0, F.concat(F.array(-F.get(F.col("best"), F.get(b, F.lit(0))).back), b)).otherwise(b))
+    return states.select("unit", back.alias("b")).select("unit", _lengths(F.col("b")))
 
-def byte_ids(text: Column, first_byte: int) -> Column:
-    hexed = F.hex(F.encode(text, "UTF-8"))
-    count = F.length(hexed) / 2
-    return F.transform(F.sequence(F.lit(1), count.cast("int")), lambda i: F.conv(F.substring(hexed, i * 2 - 1, F.lit(2)), 16, 10).cast("int") + first_byte)
 
+def _lengths(bounds: Column) -> Column:
+    """Bounds as a string with a character for each length."""
+    inner = F.size(bounds) - 1
+    return F.array_join(F.zip_with(F.slice(bounds, 1, inner), F.slice(bounds, 2, inner), lambda a, z: F.char(z - a)), "").alias("lengths")
 
-def by_library(units: DataFrame, path: str) -> DataFrame:
-    """``unit, ids`` by the library itself, each unit behind a line break so that it stands alone."""
 
-    def run(batches):
-        import pyarrow as pa
-        import sentencepiece
+_FOLDS = {"merge": merged, "viterbi": viterbi}
 
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
-        before = len(model.encode("\n"))
-        for batch in batches:
-            ids = [model.encode("\n" + u.replace(MARK, " "))[before:] for u in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["unit", "ids"])
 
-    return units.mapInArrow(run, "unit string, ids array<int>")
+class Numbering(dict):
+    """Numbers of units: those of the dictionary it starts from, and below zero those met first here."""
 
+    def __init__(self, known: dict[str, int]):
+        super().__init__(known)
+        self.rare: list[str] = []
 
-def encoded_units(texts: DataFrame, path: str) -> DataFrame:
-    """``unit, n, ids`` of every distinct unit of ``text``: how often it occurs and its pieces."""
-    pieces, first_byte = piece_table(texts.sparkSession, path), byte_offset(path)
-    counts = texts.select(F.explode(units_of(F.col("text"))).alias("unit")).groupBy("unit").agg(F.count("*").alias("n"))
-    counts = stored(counts, "pieces-units")
-    short = counts.where(F.length("unit") <= LONG).select("unit").repartition("unit")
-    known = folded(lattice(short, pieces), first_byte)
-    known = known.union(by_library(counts.where(F.length("unit") > LONG).select("unit"), path))
-    every = counts.join(known, "unit", "left")
-    return every.select("unit", "n", F.coalesce("ids", byte_ids(F.col("unit"), first_byte)).alias("ids"))
+    def __missing__(self, unit: str) -> int:
+        self.rare.append(unit)
+        self[unit] = -len(self.rare)
+        return -len(self.rare)
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """``docs`` with ``ids``, the pieces of each text in order. Rows are told apart by a number of their own."""
-    rows = stored(docs.drop("ids").withColumn("__row", F.monotonically_increasing_id()), "pieces-rows")
-    units = stored(encoded_units(rows, path), "pieces-encoded")
-    at = rows.select("__row", F.posexplode(units_of(F.col("text"))).alias("pos", "unit")).join(units.select("unit", "ids"), "unit")
-    by_row = at.groupBy("__row").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("pos", "ids"))), lambda x: x.ids)).alias("ids"))
-    out = rows.join(by_row, "__row", "left").drop("__row")
-    return out.withColumn("ids", F.coalesce("ids", F.array().cast("array<int>")))
+def hot_units(docs: DataFrame, pieces: DataFrame, fold: str, hot: int) -> list[tuple[str, str | None]]:
+    """Frequent units with the lengths of their pieces; at most ``hot``."""
+    rows = docs.count()
+    if not rows:
+        return []
+
+    def split(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            for text in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(units_in(text.as_py()), pa.string())], ["unit"])
+
+    some = docs.sample(min(1.0, SAMPLE / rows), seed=7).select("text").mapInArrow(split, "unit string")
+    top = stored(some.groupBy("unit").count().orderBy(F.desc("count"), "unit").limit(hot).select("unit"), "pieces-hot")
+    known = top.join(_FOLDS[fold](top, pieces), "unit", "left")
+    return [tuple(r) for r in known.select("unit", "lengths").collect()]
+
+
+def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), fold: str = "merge", hot: int = HOT) -> DataFrame:
+    """The columns ``keep`` of ``docs`` with ``ids``, the pieces of each text in order.
+
+    ``fold`` is how the model chooses: ``merge`` for BPE, ``viterbi`` for unigram models.
+    """
+    spark, model = docs.sparkSession, Model(path)
+    pieces = model.table(spark)
+    common = hot_units(docs, pieces, fold, hot)
+    spelled = [model.cut(u, n) for u, n in common]
+    ends = np.cumsum([0, *map(len, spelled)])
+    shared = spark.sparkContext.broadcast(({u: i for i, (u, _) in enumerate(common)}, np.array([i for ids in spelled for i in ids], np.int32), ends))
+    kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"), "text")
+    kind = kept.schema["kept"].dataType
+
+    def cut(batches: Iterator[pa.RecordBatch]):
+        chunk = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            _, offsets = text_buffers(batch.column("text"))
+            for low, high in row_chunks(offsets, CHUNK):
+                numbers, counts, codes = Numbering(shared.value[0]), [], []
+                for text in batch.column("text").slice(low, high - low):
+                    found = units_in(text.as_py())
+                    counts.append(len(found))
+                    codes.append(np.fromiter(map(numbers.__getitem__, found), np.int64, len(found)))
+                places = [packed(np.array(counts, np.int64)), packed(np.concatenate(codes) + len(numbers.rare))]
+                rows = pa.ListArray.from_arrays(pa.array([0, high - low], pa.int32()), batch.column("kept").slice(low, high - low))
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([numbers.rare], pa.list_(pa.string())), pa.array([places], pa.list_(pa.binary())), rows], ["chunk", "rare", "places", "rows"])
+                chunk += 1
+
+    shape = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("rare", T.ArrayType(T.StringType())), T.StructField("places", T.ArrayType(T.BinaryType())), T.StructField("rows", T.ArrayType(kind))])
+    chunks = bucketed(kept.mapInArrow(cut, shape), partitions(spark), ["chunk"], "pieces_chunks")
+    asked = chunks.select("chunk", F.posexplode("rare").alias("at", "unit"))
+    known = _FOLDS[fold](asked.select("unit").distinct(), pieces)
+    answers = asked.join(known, "unit", "left").select(F.col("chunk").alias("of"), "at", "lengths")
+
+    def assemble(key, held: pa.Table, told: pa.Table) -> pa.Table:
+        _, ids, ends = shared.value
+        rare = held.column("rare")[0].as_py()
+        lengths: list[str | None] = [None] * len(rare)
+        for at, n in zip(told.column("at").to_pylist(), told.column("lengths").to_pylist()):
+            lengths[at] = n
+        own = [model.cut(u, n) for u, n in zip(rare, lengths)][::-1]  # the last rare unit has the lowest number
+        flat = np.concatenate([np.array([i for x in own for i in x], np.int32), ids])
+        size = np.concatenate([np.array([len(x) for x in own], np.int64), np.diff(ends)])
+        first = np.concatenate([[0], np.cumsum(size)])
+        counts, codes = (unpacked(x.as_py()).astype(np.int64) for x in held.column("places")[0])
+        n = size[codes]
+        total = np.concatenate([[0], np.cumsum(n)])
+        within = np.arange(total[-1]) - np.repeat(total[:-1], n)
+        values = flat[np.repeat(first[codes], n) + within]
+        offsets = total[np.concatenate([[0], np.cumsum(counts)])]
+        rows = held.column("rows").combine_chunks().flatten()
+        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))
+        return pa.table([*rows.flatten(), lists], [*keep, "ids"])
+
+    out = T.StructType([*kind.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("of")).applyInArrow(assemble, out)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """``encoded`` with ``decoded``, the text that its ``ids`` spell; null ids give the empty text."""
-    pieces, first_byte = piece_table(encoded.sparkSession, path), byte_offset(path)
-    rows = stored(encoded.drop("decoded").withColumn("__row", F.monotonically_increasing_id()), "pieces-decode")
-    hexed = pieces.select("id", F.hex(F.encode(F.replace("piece", F.lit(MARK), F.lit(" ")), "UTF-8")).alias("hex"))
-    at = rows.select("__row", F.posexplode("ids").alias("pos", "id")).join(F.broadcast(hexed), "id", "left")
-    spelled = F.coalesce("hex", F.lpad(F.hex(F.col("id") - first_byte), 2, "0"))
-    text = F.decode(F.unhex(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", spelled.alias("hex")))), lambda x: x.hex), "")), "UTF-8")
-    by_row = at.groupBy("__row").agg(text.alias("decoded"))
-    out = rows.join(by_row, "__row", "left").drop("__row")
-    return out.withColumn("decoded", F.coalesce(F.regexp_replace("decoded", "^ ", ""), F.lit("")))
-
-
-def piece_counts(docs: DataFrame, path: str, hot: int = HOT) -> DataFrame:
-    """``doc_id, n_units, n_pieces, n_byte_pieces, ids_sum`` of each row of ``docs``."""
-    units, first_byte = encoded_units(docs, path), byte_offset(path)
-    is_byte = lambda i: (i >= first_byte) & (i < first_byte + 256)
-    told = units.select(
-        "unit",
-        "n",
-        F.size("ids").cast("long").alias("pieces"),
-        F.size(F.filter("ids", is_byte)).cast("long").alias("bytes"),
-        F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("sum"),
-    )
-    told = stored(told, "pieces-told")
-    common = F.broadcast(told.orderBy(F.desc("n"), "unit").limit(hot).drop("n"))  # at most ``hot`` rows
-    rare = told.join(common.select("unit"), "unit", "left_anti").drop("n")
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", units_of(F.col("text")).alias("units"))
-    at = rows.select("row", F.explode("units").alias("unit"))
-    totals = [F.sum(c).alias(c) for c in ("pieces", "bytes", "sum")]
-    by_common = at.join(common, "unit").groupBy("row").agg(F.count("*").alias("n"), *totals)
-    by_rare = at.join(common.select("unit"), "unit", "left_anti").join(rare, "unit").groupBy("row").agg(F.count("*").alias("n"), *totals)
-    ids = rows.select("row", "doc_id", *[F.lit(0).cast("long").alias(c) for c in ("n", "pieces", "bytes", "sum")])
-    both = ids.unionByName(by_common.unionByName(by_rare), allowMissingColumns=True)
-    kind = F.max("doc_id").alias("doc_id")
-    out = both.groupBy("row").agg(kind, F.sum("n").alias("n_units"), F.sum("pieces").alias("n_pieces"), F.sum("bytes").alias("n_byte_pieces"), F.sum("sum").alias("ids_sum"))
-    return out.drop("row")
+    spelled = Model(path).spelled
+    out = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())])
+
+    def spell(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            texts = []
+            for ids in batch.column("ids"):
+                text = b"".join(map(spelled.__getitem__, ids.as_py() or ()))
+                texts.append(text.removeprefix(b" ").decode("utf-8", "replace"))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
+
+    return encoded.mapInArrow(spell, out)
+
+
+def round_trip(docs: DataFrame, path: str) -> DataFrame:
+    """``doc_id, n_pieces, n_byte_pieces, ids_sha256, round_trip``: digests of what encoding and then decoding gives."""
+    first = Model(path).first_byte
+    marked = docs.select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("mark"))
+    back = decode(encode(marked, path, ("doc_id", "mark")), path)
+    of_bytes = F.size(F.filter("ids", lambda i: (i >= first) & (i < first + 256))).cast("long")
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), of_bytes.alias("n_byte_pieces"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), (F.sha2("decoded", 256) == F.col("mark")).alias("round_trip"))

@@ -7,10 +7,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from newsloom.llm import pieces
 from newsloom.llm.ann import nearest
 from newsloom.llm.lm import score
 from newsloom.llm.packing import pack
-from newsloom.llm.pieces import piece_counts
 from newsloom.llm.pii import digest, find_pii
 from newsloom.llm.quality import STOP_WORDS, quality
 from newsloom.llm.simhash import simhash_components
@@ -63,7 +63,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return piece_counts(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+    return pieces.round_trip(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -236,17 +236,49 @@ def test_lm_score(spark, docs):
 def test_pieces(docs):
     import sentencepiece
 
-    from newsloom.llm.pieces import decode, encode, piece_counts
+    from newsloom.llm.pieces import decode, encode, round_trip
 
     path = tokenizer("piece_bpe_32k.model")
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    more = ["  a b\n\tc ｆ é日 \u0001", "a" * 300, "x\r\n" + " " * 37 + "y", " " * 50, "naïve 😀"]
+    more = ["  a b\n\tc ｆ é日 \u0001", "a" * 300, "ab" * 700 + "日" * 200, "x\r\n" + " " * 37 + "y", " " * 50, "naïve 😀", "\u2581 mark"]
     texts = docs.select("doc_id", "text").union(docs.sparkSession.createDataFrame([(100 + i, t) for i, t in enumerate(more)], "doc_id long, text string"))
-    got = decode(encode(texts, path), path).collect()
-    for r in got:
-        assert r.ids == model.encode(r.text or "") and r.decoded == (r.text or "")
-    counted = piece_counts(texts, path, hot=50).collect()
-    assert sorted((r.n_pieces, r.ids_sum) for r in counted) == sorted((len(r.ids), sum(r.ids)) for r in got)
+    for hot in (50, 0):
+        got = decode(encode(texts, path, ("doc_id", "text"), hot=hot), path).collect()
+        assert len(got) == texts.count()
+        for r in got:
+            assert r.ids == model.encode(r.text or "") and (r.decoded == (r.text or "") or "\u2581" in r.text)
+    told = {r.doc_id: r for r in round_trip(texts, path).where("doc_id >= 100").collect()}
+    for i, t in enumerate(more):
+        ids = model.encode(t)
+        sha = hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert (told[100 + i].n_pieces, told[100 + i].n_byte_pieces, told[100 + i].ids_sha256) == (len(ids), sum(model.is_byte(x) for x in ids), sha)
+    assert round_trip(texts.limit(0), path).count() == 0
+
+
+def test_viterbi_takes_the_best_path_of_the_lattice(spark):
+    from newsloom.llm.pieces import viterbi
+
+    rnd = random.Random(12)
+    scores = {}
+    while len(scores) < 60:
+        scores["".join(rnd.choices("abc", k=rnd.choice((1, 1, 2, 2, 3, 4, 5))))] = -rnd.random() * 9
+    scores.pop("c", None)  # a character in no piece
+    units = sorted({"".join(rnd.choices("abcd", k=rnd.randint(1, 12))) for _ in range(150)})
+    table = spark.createDataFrame(list(scores.items()), "piece string, score double")
+    got = {r.unit: [ord(c) for c in r.lengths] for r in viterbi(spark.createDataFrame([(u,) for u in units], "unit string"), table).collect()}
+    unknown = min(scores.values()) - 10
+
+    def value(u, lengths):
+        at, total = 0, 0.0
+        for n in lengths:
+            piece = u[at : at + n]
+            total += scores[piece] if piece in scores else unknown if n == 1 else float("-inf")
+            at += n
+        return total if at == len(u) else float("-inf")
+
+    for u in units:
+        best = max(value(u, [j - i for i, j in itertools.pairwise((0, *c, len(u)))]) for k in range(len(u)) for c in itertools.combinations(range(1, len(u)), k))
+        assert value(u, got[u]) == pytest.approx(best, rel=1e-12)
 
 
 def test_near_copies_leave_one(spark):
