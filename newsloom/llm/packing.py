@@ -4,9 +4,9 @@ The length of a text is its number of tokens under a tokenizer (``path``), as ``
 where none is given it is the number of words. A dynamic programme over the histogram of all lengths
 chooses the bucket boundaries with the least padding; each bucket is dealt into batches of
 ``floor(budget / boundary)`` texts (one at least), so a padded batch stays within the budget unless a
-single text exceeds it. The histogram has a bin for each length of seven significant bits, so it is
-bounded (about 64 bins an octave) however long texts get, and it keeps each bin's count, sum and
-largest length: padding is computed exactly for boundaries at those largest lengths.
+single text exceeds it. The histogram has every distinct length with its count. D distinct lengths take
+D * (D - 1) / 2 tokens at least, so T tokens have fewer than 2 * sqrt(T) of them (some ten thousands
+for 30 GB); the programme takes time in proportion to D, as its cost is a minimum over lines in order.
 
 Batches are numbered without gathering a bucket: rows are ranked within shards of a bucket, and
 shards are offset by the counts of the ones before.
@@ -18,8 +18,7 @@ table gives an empty result; other columns take no part. Texts are measured whol
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.llm.common import partitions, stored, words_column
@@ -27,46 +26,68 @@ from newsloom.llm.tokens import token_counts
 
 BUDGET = 8192
 BUCKETS = 12
-SIGNIFICANT_BITS = 7
 
 
-def length_bin(n: Column) -> Column:
-    """``n`` with all but its leading seven bits cleared."""
-    spare = F.greatest(F.length(F.bin(n)) - SIGNIFICANT_BITS, F.lit(0))
-    return F.call_function("shiftleft", F.call_function("shiftright", n, spare), spare)
+def histogram(lengths: DataFrame) -> list[tuple[int, int]]:
+    """``length, count`` of each distinct length, in order."""
+    return sorted((r.n_tokens, r.n) for r in lengths.groupBy("n_tokens").agg(F.count("*").alias("n")).collect())
 
 
-def histogram(lengths: DataFrame) -> list[tuple[int, int, int]]:
-    """``largest, count, sum`` of each bin, in order; a few hundred rows for any input."""
-    rows = lengths.groupBy(length_bin(F.col("n_tokens")).alias("bin")).agg(F.max("n_tokens").alias("top"), F.count("*").alias("n"), F.sum("n_tokens").alias("sum"))
-    return sorted((r.top, r.n, r.sum) for r in rows.select("top", "n", "sum").collect())
+class Lines:
+    """The least of lines ``y = a - c * x`` at growing ``x``; lines come in order of growing ``c``."""
 
+    def __init__(self) -> None:
+        self.held: list[tuple[int, int, int]] = []
+        self.at = 0
 
-def boundaries(bins: list[tuple[int, int, int]], buckets: int) -> list[int]:
-    """Upper bounds of at most ``buckets`` runs of bins, of the least total padding; ties take fewer and lower bounds."""
-    if not bins:
+    def add(self, a: int, c: int, name: int) -> None:
+        held = self.held
+        while len(held) > 1:
+            (a1, c1, _), (a2, c2, _) = held[-2:]
+            # the middle line is nowhere below both: it passes the first no sooner than the new one does
+            if (a2 - a1) * (c - c1) < (a - a1) * (c2 - c1):
+                break
+            held.pop()
+        held.append((a, c, name))
+        self.at = min(self.at, len(held) - 1)
+
+    def least(self, x: int) -> tuple[int, int]:
+        held = self.held
+        value = lambda i: held[i][0] - held[i][1] * x
+        while self.at + 1 < len(held) and value(self.at + 1) < value(self.at):
+            self.at += 1
+        return value(self.at), held[self.at][2]
+
+
+def boundaries(lengths: list[tuple[int, int]], buckets: int) -> list[int]:
+    """Upper bounds of at most ``buckets`` runs of lengths, of the least total padding; ties take fewer bounds.
+
+    ``lengths`` are distinct and in order. A last bucket of lengths i to j pads
+    ``length[j] * (count up to j - count before i)`` less its tokens; for each j the best i is a
+    minimum over lines in ``length[j]``, which grows. Integers, so nothing is rounded.
+    """
+    if not lengths:
         return []
-    top, count, total = (np.array(x, np.float64) for x in zip(*bins))
-    c, s = (np.concatenate([[0], np.cumsum(x)]) for x in (count, total))
-    m = len(bins)
-    best = top * c[1:] - s[1:]  # one bucket for bins 0..j
-    back = [np.zeros(m, np.int64)]
-    costs = [best]
+    m, count, tokens = len(lengths), [0], [0]
+    for length, n in lengths:
+        count.append(count[-1] + n)
+        tokens.append(tokens[-1] + length * n)
+    costs = [[lengths[j][0] * count[j + 1] - tokens[j + 1] for j in range(m)]]
+    back = [[0] * m]
     for _ in range(1, min(buckets, m)):
-        at, cost = np.zeros(m, np.int64), np.empty(m)
+        before, lines, cost, at = costs[-1], Lines(), [], []
         for j in range(m):
-            i = np.arange(j + 1)  # the last bucket holds bins i..j
-            before = np.where(i > 0, costs[-1][np.maximum(i - 1, 0)], 0.0)
-            whole = before + top[j] * (c[j + 1] - c[i]) - (s[j + 1] - s[i])
-            at[j] = int(np.argmin(whole))
-            cost[j] = whole[at[j]]
+            lines.add((before[j - 1] if j else 0) + tokens[j], count[j], j)
+            least, i = lines.least(lengths[j][0])
+            cost.append(least + lengths[j][0] * count[j + 1] - tokens[j + 1])
+            at.append(i)
         costs.append(cost)
         back.append(at)
-    used = int(np.argmin([x[-1] for x in costs]))
+    used = min(range(len(costs)), key=lambda k: costs[k][-1])
     out, j = [], m - 1
     while j >= 0:
-        out.append(int(top[j]))
-        j, used = int(back[used][j]) - 1, max(used - 1, 0)
+        out.append(lengths[j][0])
+        j, used = back[used][j] - 1, max(used - 1, 0)
     return out[::-1]
 
 
