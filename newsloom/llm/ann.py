@@ -7,9 +7,10 @@ came before it, and they link back. A shard is bounded, so nearest nodes come fr
 products instead of searches on the growing graph. Inner products become distances by one further
 component that brings every vector of the shard to the same norm.
 
-Queries go to the shards in blocks. A search walks down the layers and keeps a beam of ``ef`` in the
-lowest; all queries of a block step together. Scores of what is found are computed from the original
-vectors in double precision before results merge.
+Queries go to the shards in blocks of tens of thousands, so a graph moves once for that many; shards
+grow with the square root of the table up to what a task's memory holds, so that they are fewer. A
+search walks down the layers and keeps a beam of ``ef`` in the lowest; ``STEP`` queries step together.
+Scores of what is found are computed from the original vectors in double precision before results merge.
 
 Rows with equal vectors are one node that lists its smallest ids, one more than are asked for: no
 further id can be among the nearest. Vectors of other lengths are searched apart.
@@ -29,11 +30,13 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.common import stored
 
-SHARD_ROWS = 4096
+#: Rows of a shard: the least, the most, and between them this many times the square root of all rows.
+LEAST_ROWS, MOST_ROWS, ROOT_ROWS = 4096, 65536, 32
 LINKS = 16
 NEAREST = 96
 BEAM = 128
-BLOCK = 512
+#: Queries that meet a shard in one row, and those of them that are searched together.
+BLOCK, STEP = 16384, 256
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -201,7 +204,7 @@ def search_index(index: DataFrame, queries: DataFrame, k: int = 20, beam: int =
                 x = np.frombuffer(row["vectors"], np.float64).reshape(-1, dim)
                 asked = np.array([x["v"] for x in row["queries"]], np.float64)
                 q = np.hstack([asked, np.zeros((len(asked), 1))]).astype(np.float32)
-                found = search(y, nodes, slots, q, k + 1, beam)
+                found = (hits for at in range(0, len(q), STEP) for hits in search(y, nodes, slots, q[at : at + STEP], k + 1, beam))
                 out: list[list] = [[], [], []]
                 for query, v, hits in zip((x["query_id"] for x in row["queries"]), asked, found):
                     hits = hits[hits >= 0]
@@ -214,7 +217,7 @@ def search_index(index: DataFrame, queries: DataFrame, k: int = 20, beam: int =
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["query_id", "vec_id", "score"])
 
     n = queries.count()
-    blocks = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, n // block))).cast("int"))
+    blocks = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(-(-n // block) or 1)).cast("int"))
     blocks = blocks.groupBy("dim", "block").agg(F.collect_list(F.struct("query_id", "v")).alias("queries"))
     pairs = index.join(blocks, "dim")
     met = pairs.repartition(F.col("shard"), F.col("block")).mapInArrow(look, "query_id long, vec_id long, score double")
@@ -222,11 +225,12 @@ def search_index(index: DataFrame, queries: DataFrame, k: int = 20, beam: int =
     return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def nearest(vectors: DataFrame, every: int = 20, k: int = 20, shard_rows: int = SHARD_ROWS, beam: int = BEAM) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 20, k: int = 20, shard_rows: int | None = None, beam: int = BEAM) -> DataFrame:
     """The ``k`` nearest of each row whose id is divisible by ``every``, among all other rows."""
     rows = usable(vectors)
     distinct = stored(distinct_vectors(rows, k), "ann-vectors")
-    shards = max(1, -(-distinct.count() // shard_rows))
+    n = distinct.count()
+    shards = max(1, -(-n // (shard_rows or min(MOST_ROWS, max(LEAST_ROWS, int(ROOT_ROWS * n**0.5))))))
     index = stored(build_index(distinct, shards), "ann-index")
     queries = rows.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min(F.struct("dim", "v")).alias("q"))
     return search_index(index, stored(queries.select("query_id", "q.dim", "q.v"), "ann-queries"), k, beam)
