@@ -39,10 +39,14 @@ def base32_sha1(payload: Column) -> Column:
 
 
 def typed(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """``page_id, url, payload, payload_digest, payload_bytes, record_type, refers_to`` of each page."""
+    """``page_id, url, payload, payload_digest, payload_bytes, record_type, refers_to`` of each page.
+
+    The response of each payload is told from digests and ids alone, in a table of its own: Spark can
+    then split the join for a payload that very many pages share.
+    """
     payload = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", "url", payload.alias("payload"), F.octet_length(payload).cast("long").alias("payload_bytes"), base32_sha1(payload).alias("payload_digest"))
-    last = rows.groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("top"))
+    last = stored(rows.groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("top")), "warc-responses")
     again = (F.col("payload_bytes") >= least_bytes) & F.col("top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top"))
     out = rows.join(last, ["payload_digest", "payload_bytes"])
     return out.withColumns({"record_type": F.when(again, "revisit").otherwise("response"), "refers_to": F.when(again, F.col("top"))}).drop("top")
