@@ -2,9 +2,10 @@
 
 A text becomes units: a run of word marks with what follows it. Each task numbers the units of a chunk
 of texts; the ``HOT`` most frequent ones (told from a sample of rows, which decides only where a unit
-is looked up) come from a dictionary of that size, every other one is sent once a chunk. Distinct units
+is looked up) come from a dictionary of that size. Every other one is cut where two characters meet that
+are side by side in no piece, which no piece can span, and each part is sent once a chunk. Distinct parts
 meet their pieces by relation: substrings of bounded length are exploded, equi-joined to the piece
-table, and the edges of a unit, each packed in one long, are grouped and folded with ``aggregate``.
+table, and the edges of a part, each packed in one long, are grouped and folded with ``aggregate``.
 Where the cuts fall comes back to the chunk, which never moves: it lies in a table bucketed by chunk.
 
 Two folds read the same lattice. ``viterbi`` keeps the best sum of scores and a back pointer for every
@@ -22,6 +23,7 @@ unit may have any length. Of edges with equal scores the leftmost merges first.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,10 +40,11 @@ MARK = "▁"
 #: White space that is in no piece of several characters stands alone (the table is checked for it).
 ALONE = r"\t\n\x0b\f"
 UNITS = re.compile(f"[{ALONE}]|{MARK}{{16}}(?={MARK})|{MARK}*[^{MARK}{ALONE}]+|{MARK}+")
+_UNUSUAL = re.compile(f"[{MARK}\\t\\x0b\\f]")
 HOT = 1 << 17
 #: Rows that the hot units are told from.
 SAMPLE = 1 << 14
-CHUNK = 16 << 20
+CHUNK = 8 << 20
 #: Bits of an edge: its length (of marks alone: how much it lacks to the most), and below its rank its start.
 _LENGTH, _START = 7, 26
 _MOST = (1 << _LENGTH) - 1
@@ -60,12 +63,22 @@ class Model:
             raise ValueError("a piece of this model crosses units")
         self.first_byte = library.piece_to_id("<0x00>")
         self.ids = {p: i for p, i, _ in self.pieces}
+        self.side_by_side = frozenset(p[i : i + 2] for p, _, _ in self.pieces for i in range(len(p) - 1))
         self.spelled = [b""] * library.vocab_size()
         for p, i, _ in self.pieces:
             self.spelled[i] = p.replace(MARK, " ").encode()
         for b in range(256):
             self.spelled[self.first_byte + b] = bytes([b])
 
+    def parts(self, unit: str) -> list[str]:
+        """The unit cut wherever no piece can span."""
+        out, at = [], 0
+        for i in range(1, len(unit)):
+            if unit[i - 1 : i + 1] not in self.side_by_side:
+                out.append(unit[at:i])
+                at = i
+        return [*out, unit[at:]]
+
     def cut(self, unit: str, lengths: str | None) -> list[int]:
         """The ids of a unit whose pieces have these lengths (a character each); None: one each."""
         out, at = [], 0
@@ -85,7 +98,17 @@ class Model:
 
 def units_in(text: str | None) -> list[str]:
     """The units of a text, in order; joined they are the text with marks for spaces and one before it."""
-    return UNITS.findall(MARK + text.replace(" ", MARK)) if text else []
+    if not text:
+        return []
+    if text[0] == " " or "  " in text or _UNUSUAL.search(text):
+        return UNITS.findall(MARK + text.replace(" ", MARK))
+    first, *lines = text.split("\n")
+    out = [MARK + w for w in first.split(" ")]
+    for line in lines:
+        start, *words = line.split(" ")
+        out += ["\n", start] if start else ["\n"]
+        out += [MARK + w for w in words]
+    return out
 
 
 def met_pieces(units: DataFrame, pieces: DataFrame, least: int) -> DataFrame:
@@ -161,16 +184,24 @@ _FOLDS = {"merge": merged, "viterbi": viterbi}
 
 
 class Numbering(dict):
-    """Numbers of units: those of the dictionary it starts from, and below zero those met first here."""
+    """Numbers of strings: those of the dictionary it starts from, and below zero those met first here."""
 
     def __init__(self, known: dict[str, int]):
         super().__init__(known)
-        self.rare: list[str] = []
+        self.new: list[str] = []
 
     def __missing__(self, unit: str) -> int:
-        self.rare.append(unit)
-        self[unit] = -len(self.rare)
-        return -len(self.rare)
+        self.new.append(unit)
+        self[unit] = -len(self.new)
+        return -len(self.new)
+
+
+def joined(flat: np.ndarray, size: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``codes`` of ``flat`` (a run of each ``size``) one after the other, and their sizes."""
+    first, n = np.cumsum(size) - size, size[codes]
+    total = np.cumsum(n)
+    step = np.repeat((first[codes] - (total - n)).astype(np.int32), n)
+    return flat[step + np.arange(len(step), dtype=np.int32)], n
 
 
 def hot_units(docs: DataFrame, pieces: DataFrame, fold: str, hot: int) -> list[tuple[str, str | None]]:
@@ -209,14 +240,19 @@ def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), fold
         for batch in batches:
             _, offsets = text_buffers(batch.column("text"))
             for low, high in row_chunks(offsets, CHUNK):
-                numbers, counts, codes = Numbering(shared.value[0]), [], []
+                units, counts, codes = Numbering(shared.value[0]), [], array("i")
                 for text in batch.column("text").slice(low, high - low):
                     found = units_in(text.as_py())
                     counts.append(len(found))
-                    codes.append(np.fromiter(map(numbers.__getitem__, found), np.int64, len(found)))
-                places = [packed(np.array(counts, np.int64)), packed(np.concatenate(codes) + len(numbers.rare))]
+                    codes.extend(map(units.__getitem__, found))
+                parts, n_parts, of_units = Numbering(shared.value[0]), [], array("i")
+                for unit in units.new:
+                    found = model.parts(unit)
+                    n_parts.append(len(found))
+                    of_units.extend(map(parts.__getitem__, found))
+                places = [packed(np.asarray(x, np.int64)) for x in (counts, np.asarray(codes) + len(units.new), n_parts, np.asarray(of_units) + len(parts.new))]
                 rows = pa.ListArray.from_arrays(pa.array([0, high - low], pa.int32()), batch.column("kept").slice(low, high - low))
-                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([numbers.rare], pa.list_(pa.string())), pa.array([places], pa.list_(pa.binary())), rows], ["chunk", "rare", "places", "rows"])
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([parts.new], pa.list_(pa.string())), pa.array([places], pa.list_(pa.binary())), rows], ["chunk", "rare", "places", "rows"])
                 chunk += 1
 
     shape = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("rare", T.ArrayType(T.StringType())), T.StructField("places", T.ArrayType(T.BinaryType())), T.StructField("rows", T.ArrayType(kind))])
@@ -227,20 +263,25 @@ def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), fold
 
     def assemble(key, held: pa.Table, told: pa.Table) -> pa.Table:
         _, ids, ends = shared.value
-        rare = held.column("rare")[0].as_py()
-        lengths: list[str | None] = [None] * len(rare)
-        for at, n in zip(told.column("at").to_pylist(), told.column("lengths").to_pylist()):
-            lengths[at] = n
-        own = [model.cut(u, n) for u, n in zip(rare, lengths)][::-1]  # the last rare unit has the lowest number
-        flat = np.concatenate([np.array([i for x in own for i in x], np.int32), ids])
-        size = np.concatenate([np.array([len(x) for x in own], np.int64), np.diff(ends)])
-        first = np.concatenate([[0], np.cumsum(size)])
-        counts, codes = (unpacked(x.as_py()).astype(np.int64) for x in held.column("places")[0])
-        n = size[codes]
-        total = np.concatenate([[0], np.cumsum(n)])
-        within = np.arange(total[-1]) - np.repeat(total[:-1], n)
-        values = flat[np.repeat(first[codes], n) + within]
-        offsets = total[np.concatenate([[0], np.cumsum(counts)])]
+        rare = held.column("rare").combine_chunks().flatten()
+        lengths = pa.nulls(len(rare), pa.string())
+        if told.num_rows:
+            lengths = told.column("lengths").take(pa.array(np.argsort(told.column("at").to_numpy())))
+        own, size = array("i"), []
+        for unit, n in zip(reversed(rare), reversed(lengths)):  # the last one has the lowest number
+            found = model.cut(unit.as_py(), n.as_py())
+            own.extend(found)
+            size.append(len(found))
+        flat = np.concatenate([np.asarray(own, np.int32), ids])
+        size = np.concatenate([np.asarray(size, np.int64), np.diff(ends)])
+        counts, codes, n_parts, of_units = (unpacked(x.as_py()).astype(np.int64) for x in held.column("places")[0])
+        # rare units are runs of parts, the last one first
+        values, n = joined(flat, size, of_units)
+        each = np.add.reduceat(n, np.cumsum(n_parts) - n_parts) if len(n_parts) else np.zeros(0, np.int64)
+        backward = np.arange(len(each))[::-1]
+        values, each = joined(values, each, backward)
+        values, n = joined(np.concatenate([values, ids]), np.concatenate([each, np.diff(ends)]), codes)
+        offsets = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(counts)])]
         rows = held.column("rows").combine_chunks().flatten()
         lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))
         return pa.table([*rows.flatten(), lists], [*keep, "ids"])
