@@ -25,6 +25,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -71,7 +72,9 @@ class Model:
             self.spelled[self.first_byte + b] = bytes([b])
 
     def parts(self, unit: str) -> list[str]:
-        """The unit cut wherever no piece can span."""
+        """The unit, cut wherever no piece can span; words of letters alone, which hardly have such a place, stay whole."""
+        if unit.isalpha() or unit[1:].isalpha():
+            return [unit]
         out, at = [], 0
         for i in range(1, len(unit)):
             if unit[i - 1 : i + 1] not in self.side_by_side:
@@ -81,12 +84,14 @@ class Model:
 
     def cut(self, unit: str, lengths: str | None) -> list[int]:
         """The ids of a unit whose pieces have these lengths (a character each); None: one each."""
-        out, at = [], 0
-        for n in map(ord, lengths) if lengths is not None else (1 for _ in unit):
-            piece = unit[at : at + n]
-            found = self.ids.get(piece)
-            out += [found] if found is not None else [self.first_byte + b for b in piece.encode()]
-            at += n
+        known, out, at = self.ids, [], 0
+        for end in accumulate(map(ord, lengths)) if lengths is not None else range(1, len(unit) + 1):
+            piece = unit[at:end]
+            at = end
+            if piece in known:
+                out.append(known[piece])
+            else:
+                out += [self.first_byte + b for b in piece.encode()]
         return out
 
     def table(self, spark: SparkSession) -> DataFrame:
@@ -117,7 +122,9 @@ def met_pieces(units: DataFrame, pieces: DataFrame, least: int) -> DataFrame:
     Lengths are tried as far as some piece goes that begins with the same three characters.
     """
     longest = pieces.where(F.length("piece") > 2).groupBy(F.substring("piece", 1, 3).alias("head")).agg(F.max(F.length("piece")).alias("most"))
-    starts = units.where(F.length("unit") >= least).select("unit", F.explode(F.sequence(F.lit(1), F.length("unit") - least + 1)).alias("s"))
+    # outer, as a filter on units would reach below their grouping and keep its shuffle from being shared
+    every = F.when(F.length("unit") >= least, F.sequence(F.lit(1), F.length("unit") - least + 1))
+    starts = units.select("unit", F.explode_outer(every).alias("s"))
     headed = starts.withColumn("head", F.substring("unit", F.col("s"), F.lit(3))).join(F.broadcast(longest), "head", "left")  # both tables are as small as the vocabulary
     last = F.least(F.greatest(F.coalesce("most", F.lit(2)), F.lit(2)), F.length("unit") - F.col("s") + 1)
     spans = headed.select("unit", "s", F.explode(F.sequence(F.lit(least), last)).alias("n"))
@@ -184,16 +191,16 @@ _FOLDS = {"merge": merged, "viterbi": viterbi}
 
 
 class Numbering(dict):
-    """Numbers of strings: those of the dictionary it starts from, and below zero those met first here."""
+    """Numbers of strings: those of the dictionary it starts from, then those met first here."""
 
     def __init__(self, known: dict[str, int]):
         super().__init__(known)
         self.new: list[str] = []
 
     def __missing__(self, unit: str) -> int:
+        self[unit] = n = len(self)
         self.new.append(unit)
-        self[unit] = -len(self.new)
-        return -len(self.new)
+        return n
 
 
 def joined(flat: np.ndarray, size: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -205,7 +212,7 @@ def joined(flat: np.ndarray, size: np.ndarray, codes: np.ndarray) -> tuple[np.nd
 
 
 def hot_units(docs: DataFrame, pieces: DataFrame, fold: str, hot: int) -> list[tuple[str, str | None]]:
-    """Frequent units with the lengths of their pieces; at most ``hot``."""
+    """Frequent units with the lengths of their pieces, the most frequent first; at most ``hot``."""
     rows = docs.count()
     if not rows:
         return []
@@ -216,9 +223,9 @@ def hot_units(docs: DataFrame, pieces: DataFrame, fold: str, hot: int) -> list[t
                 yield pa.RecordBatch.from_arrays([pa.array(units_in(text.as_py()), pa.string())], ["unit"])
 
     some = docs.sample(min(1.0, SAMPLE / rows), seed=7).select("text").mapInArrow(split, "unit string")
-    top = stored(some.groupBy("unit").count().orderBy(F.desc("count"), "unit").limit(hot).select("unit"), "pieces-hot")
-    known = top.join(_FOLDS[fold](top, pieces), "unit", "left")
-    return [tuple(r) for r in known.select("unit", "lengths").collect()]
+    top = stored(some.groupBy("unit").count().orderBy(F.desc("count"), "unit").limit(hot), "pieces-hot")
+    known = top.join(_FOLDS[fold](top.select("unit"), pieces), "unit", "left")
+    return [(r.unit, r.lengths) for r in sorted(known.collect(), key=lambda r: (-r["count"], r.unit))]
 
 
 def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), fold: str = "merge", hot: int = HOT) -> DataFrame:
@@ -250,15 +257,17 @@ def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), fold
                     found = model.parts(unit)
                     n_parts.append(len(found))
                     of_units.extend(map(parts.__getitem__, found))
-                places = [packed(np.asarray(x, np.int64)) for x in (counts, np.asarray(codes) + len(units.new), n_parts, np.asarray(of_units) + len(parts.new))]
+                places = [packed(np.asarray(x, np.int64)) for x in (counts, codes, n_parts, of_units)]
                 rows = pa.ListArray.from_arrays(pa.array([0, high - low], pa.int32()), batch.column("kept").slice(low, high - low))
                 yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([parts.new], pa.list_(pa.string())), pa.array([places], pa.list_(pa.binary())), rows], ["chunk", "rare", "places", "rows"])
                 chunk += 1
 
     shape = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("rare", T.ArrayType(T.StringType())), T.StructField("places", T.ArrayType(T.BinaryType())), T.StructField("rows", T.ArrayType(kind))])
     chunks = bucketed(kept.mapInArrow(cut, shape), partitions(spark), ["chunk"], "pieces_chunks")
-    asked = chunks.select("chunk", F.posexplode("rare").alias("at", "unit"))
-    known = _FOLDS[fold](asked.select("unit").distinct(), pieces)
+    asked = chunks.select("chunk", F.posexplode("rare").alias("at", "unit")).where("unit is not null").repartition(partitions(spark), "unit")
+    # all columns take part in the grouping, so that it and the join below read one shuffle
+    units = asked.groupBy("unit").agg(F.min("chunk").alias("chunk"), F.min("at").alias("at")).where("chunk is not null and at is not null")
+    known = _FOLDS[fold](units.select("unit"), pieces)
     answers = asked.join(known, "unit", "left").select(F.col("chunk").alias("of"), "at", "lengths")
 
     def assemble(key, held: pa.Table, told: pa.Table) -> pa.Table:
@@ -268,19 +277,16 @@ def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), fold
         if told.num_rows:
             lengths = told.column("lengths").take(pa.array(np.argsort(told.column("at").to_numpy())))
         own, size = array("i"), []
-        for unit, n in zip(reversed(rare), reversed(lengths)):  # the last one has the lowest number
-            found = model.cut(unit.as_py(), n.as_py())
-            own.extend(found)
-            size.append(len(found))
-        flat = np.concatenate([np.asarray(own, np.int32), ids])
-        size = np.concatenate([np.asarray(size, np.int64), np.diff(ends)])
-        counts, codes, n_parts, of_units = (unpacked(x.as_py()).astype(np.int64) for x in held.column("places")[0])
-        # rare units are runs of parts, the last one first
-        values, n = joined(flat, size, of_units)
+        for low in range(0, len(rare), 1 << 16):
+            for unit, n in zip(rare.slice(low, 1 << 16).to_pylist(), lengths.slice(low, 1 << 16).to_pylist()):
+                found = model.cut(unit, n)
+                own.extend(found)
+                size.append(len(found))
+        counts, codes, n_parts, of_units = (unpacked(x.as_py()).astype(np.int32) for x in held.column("places")[0])
+        # a rare unit is a run of parts, and a text a run of units
+        values, n = joined(np.concatenate([ids, np.asarray(own, np.int32)]), np.concatenate([np.diff(ends), np.asarray(size, np.int64)]), of_units)
         each = np.add.reduceat(n, np.cumsum(n_parts) - n_parts) if len(n_parts) else np.zeros(0, np.int64)
-        backward = np.arange(len(each))[::-1]
-        values, each = joined(values, each, backward)
-        values, n = joined(np.concatenate([values, ids]), np.concatenate([each, np.diff(ends)]), codes)
+        values, n = joined(np.concatenate([ids, values]), np.concatenate([np.diff(ends), each]), codes)
         offsets = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(counts)])]
         rows = held.column("rows").combine_chunks().flatten()
         lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))
