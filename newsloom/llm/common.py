@@ -79,8 +79,13 @@ def bucketed(df: DataFrame, n: int, keys: list[str], name: str) -> DataFrame:
 
 
 def aside(docs: DataFrame) -> DataFrame:
-    """``row, text``: all columns of ``docs`` in one struct, whatever their names and types, beside the text."""
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
+    """``row, text``: the other columns of ``docs`` in one struct, whatever their names and types, beside the text."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), F.col("text"))
+
+
+def restored(columns: list[str]) -> list[Column]:
+    """The columns that ``aside`` set aside, in their order, with the text as it is by then."""
+    return [F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in columns]
 
 
 def partitions(spark: SparkSession) -> int:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsloom.llm.common import aside
+from newsloom.llm.common import aside, restored
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban", "ssn", "secret")
@@ -169,7 +169,7 @@ _SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.Struc
 
 
 def find_pii(docs: DataFrame, keep_score: float = 0.7, redact: bool = False) -> DataFrame:
-    """``row, text, spans``: all columns of each row in a struct, its text, and its spans as an array of
+    """``row, text, spans``: the other columns of each row in a struct, its text, and its spans as an array of
     ``kind, start, end, score, base``; with ``redact`` they are replaced in ``text``."""
     rows = aside(docs)
     out = T.StructType([*rows.schema.fields, T.StructField("spans", _SPAN)])
@@ -191,8 +191,7 @@ def find_pii(docs: DataFrame, keep_score: float = 0.7, redact: bool = False) ->
 
 def without_pii(docs: DataFrame, keep_score: float = 0.7) -> DataFrame:
     """``docs`` with each span in ``text`` replaced by its kind; all other columns as they are."""
-    found = find_pii(docs, keep_score, redact=True)
-    return found.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    return find_pii(docs, keep_score, redact=True).select(*restored(docs.columns))
 
 
 def digest(found: DataFrame) -> DataFrame:

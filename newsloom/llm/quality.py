@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import SPACES, aside, words_column
+from newsloom.llm.common import SPACES, aside, restored, words_column
 
 SYMBOLS = "#*$%&|<>"
 #: Frequent function words of the four languages.
@@ -79,7 +79,7 @@ def _measures(docs: DataFrame) -> DataFrame:
 
 
 def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
-    """``row``, all input columns in one struct, with the measures and the verdict beside it."""
+    """``row`` and ``text``, the input with its other columns in one struct, and beside them the measures and the verdict."""
     text = F.col("__text")
     n = F.col("__n")
     counts: dict[str, Column] = {
@@ -106,7 +106,7 @@ def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, min_words: int = 5
     base = (n < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * n)
     out = out.withColumns({"base_failed": base, "failed_rules": F.array_compact(F.array(*broken)) if broken else F.array().cast("array<string>")})
     out = out.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
-    return out.drop("text", *[c for c in out.columns if c.startswith("__")])
+    return out.drop(*[c for c in out.columns if c.startswith("__")])
 
 
 def kept_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -116,4 +116,4 @@ def kept_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFram
     of an array of words would split the text again.
     """
     told = quality(docs, rules).withColumn("at", F.monotonically_increasing_id())
-    return told.where("kept and at >= 0").select("row.*")
+    return told.where("kept and at >= 0").select(*restored(docs.columns))

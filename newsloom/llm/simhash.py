@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsloom.llm.common import aside, bucketed, mixed, partitions, stored, stream
+from newsloom.llm.common import aside, bucketed, mixed, partitions, restored, stored, stream
 from newsloom.llm.graph import components
 
 BITS = 64
@@ -364,14 +364,18 @@ def near_groups(nodes: DataFrame) -> DataFrame:
     links = stored(near_enough(pairs, nodes), "near-copies-links")
     groups = components(links, "a", "b")
 
-    known = stored(held.join(groups.select(F.col("node").alias("key"), "root"), "key", "left").select("key", "value", F.coalesce("root", "key").alias("root")), "near-copies-roots")
+    known = nodes.select("key", "bands").join(held.select("key").distinct(), "key", "left_semi").join(groups.select(F.col("node").alias("key"), "root"), "key", "left")
+    known = known.select("key", "bands", F.coalesce("root", "key").alias("root"), F.explode("bands").alias("value"))
+    known = stored(known.join(several, "value"), "near-copies-roots")
     sizes = known.groupBy("value", "root").agg(F.count("*").alias("c"))
     mixed_values = sizes.groupBy("value").agg(F.max(F.struct("c", "root")).alias("m"), F.count("*").alias("roots")).where("roots > 1")
     mixed_values = stored(mixed_values.select("value", F.col("m.root").alias("top")), "near-copies-mixed")
     # of two nodes in different groups, one at least is outside the value's largest group
-    q = known.join(mixed_values, "value").where("root <> top").select("value", F.col("key").alias("a"), F.col("root").alias("root_a"))
-    x = known.select("value", F.col("key").alias("b"), F.col("root").alias("root_b"))
-    rest = stored(q, "near-copies-open").join(x, "value").where("root_a <> root_b").select("a", "b").distinct()
+    side = lambda df, s: df.select("value", F.col("key").alias(s), F.col("root").alias(f"root_{s}"), F.col("bands").alias(f"bands_{s}"))
+    q = stored(side(known.join(mixed_values, "value").where("root <> top"), "a"), "near-copies-open")
+    # a pair that shares several values is met at the least of them
+    here = F.array_min(F.array_intersect("bands_a", "bands_b")) == F.col("value")
+    rest = q.join(side(known, "b"), "value").where((F.col("root_a") != F.col("root_b")) & here).select("a", "b")
     tried = pairs.union(pairs.select("b", "a"))
     rest = rest.join(tried, ["a", "b"], "left_anti").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = near_enough(stored(rest, "near-copies-second"), nodes)
@@ -393,4 +397,4 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     groups = stored(near_groups(nodes), "near-copies-groups")
     first = groups.join(nodes.select(F.col("key").alias("node"), "order"), "node").groupBy("root").agg(F.min(F.struct("order", "node")).alias("first"))
     gone = groups.select(F.col("node").alias("key")).join(first.select(F.col("first.node").alias("key")), "key", "left_anti")
-    return nodes.join(gone, "key", "left_anti").select("row.*")
+    return nodes.join(gone, "key", "left_anti").select(*restored(docs.columns))

@@ -9,7 +9,8 @@ window around a survivor is judged. The search ends when the full length is judg
 survives. A word is removed if a full window that covers it also starts anywhere else.
 
 Copies of a whole text are folded into one before the search, and a task sends one row for a window
-it has met twice, so a passage that a third of all texts share costs each task one row.
+it has met twice in a chunk of some megabytes, so a passage that a third of all texts share costs one
+row a chunk.
 
 Defined results: a null or blank text has no words and keeps the empty text; texts shorter than a
 window lose nothing; null ids stay null; repeated rows count as copies of each other; an empty table
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import Rolling, aside, bucketed, partitions, row_chunks, stored, text_buffers, word_bounds, word_hashes
+from newsloom.llm.common import Rolling, aside, bucketed, partitions, restored, row_chunks, stored, text_buffers, word_bounds, word_hashes
 
 WINDOW = 35
 _FIRST, _SECOND = Rolling(21), Rolling(22)
@@ -225,4 +226,4 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     texts = folded(docs)
     told = strip(texts, repeated_places(texts, window), window, with_text=True).where("n_removed > 0").select(*_KEY, "kept_text")
     changed = aside(docs).select("row", "text", *text_key()).join(told, _KEY, "left")
-    return changed.select(*[F.coalesce("kept_text", "text").alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    return changed.withColumn("text", F.coalesce("kept_text", "text")).select(*restored(docs.columns))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 _WS = r"\t-\r \x85\xa0  -     　"
 PRE_TOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
 #: Distinct merged strings that a worker remembers between batches.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 18
 
 
 def byte_alphabet() -> dict[str, int]:

@@ -149,7 +149,7 @@ def test_pii_table(docs):
 def test_quality(docs):
     from newsloom.llm.quality import quality
 
-    told = quality(docs).select("row.doc_id", "row.text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept").collect()
+    told = quality(docs).select("row.doc_id", "text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept").collect()
     for r in told:
         w = words(r.text)
         seen = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
