@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import sys
 import unicodedata
-from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -34,24 +32,25 @@ def redact_url(url: Column) -> Column:
 def content_level(content: Column, min_chars: int = 200, min_paragraphs: int = 2) -> Column:
     """Whether a body is full, an excerpt, or absent."""
     long = (F.length(content) >= min_chars) & (F.size(F.split(content, "\n\n")) >= min_paragraphs)
-    return F.when(content.isNull() | (F.length(content) == 0), "metadata").when(long, "full").otherwise("excerpt")
+    return F.when(content.isNull() | (F.length(content) == 0), "metadata_only").when(long, "full").otherwise("excerpt")
 
 
 #: Legal words that do not tell companies apart.
 LEGAL_WORDS = ("sas", "sasu", "sarl", "sa", "inc", "ltd", "gmbh", "france", "group", "groupe")
 
 
-@cache
-def _folds() -> tuple[str, str]:
-    """Characters whose compatibility form is one ASCII character, and that character."""
-    pairs = [(chr(c), unicodedata.normalize("NFKD", chr(c)).encode("ascii", "ignore").decode()) for c in range(128, sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
-    single = [(a, b) for a, b in pairs if len(b) == 1]
-    return "".join(a for a, _ in single), "".join(b for _, b in single)
+@F.pandas_udf(StringType())
+def _decomposed(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode(), na_action="ignore")
 
 
 def ascii_folded(text: Column) -> Column:
-    """ASCII only: accents go, other letters go too. Ligatures that would become two letters are dropped."""
-    return F.regexp_replace(F.translate(text, *_folds()), r"[^\x00-\x7F]", "")
+    """ASCII only: accents go, ligatures and fractions become their letters, what has no ASCII form goes.
+
+    Only texts with other characters leave the JVM.
+    """
+    other = F.when(text.rlike(r"[^\x00-\x7F]"), text)
+    return F.coalesce(_decomposed(other), text)
 
 
 def slug(text: Column) -> Column:
@@ -76,6 +75,7 @@ def _unescaped(text: pd.Series) -> pd.Series:
 
 def strip_html(text: Column) -> Column:
     """Visible text: block ends become lines, tags go, entities are decoded, blanks collapse; null and empty stay."""
+    # fixed values: the tags that end a line
     out = F.regexp_replace(text, r"(?i)<br\s*/?\s*>|</(?:p|div|h[1-6]|li|tr|blockquote)>", "\n")
     out = _unescaped(F.regexp_replace(out, r"<[^>]+>", ""))
     out = F.regexp_replace(F.regexp_replace(out, r"[ \t]+", " "), r"(?U)\n\s*\n+", "\n\n")
@@ -98,6 +98,7 @@ def body_matches_title(title: Column, body: Column) -> Column:
     """Whether at least four fifths of the paragraphs differ and, unless the title has none, one of its words is in the body."""
     paragraphs = F.filter(F.transform(F.split(body, "\n\n"), lambda p: F.lower(collapse_space(p))), lambda p: p != "")
     varied = (F.size(paragraphs) > 0) & (F.size(F.array_distinct(paragraphs)) >= F.size(paragraphs) * 0.8)
+    # fixed values: words too common to tell
     small = ("the", "and", "with", "for", "les", "des", "une", "dans", "pour", "sur", "avec")
     words = F.filter(F.regexp_extract_all(F.lower(title), F.lit(r"(?U)(\w+)"), 1), lambda w: (F.length(w) > 2) & ~w.isin(*small))
     pairs = F.flatten(F.transform(F.regexp_extract_all(title, F.lit("([\u3400-\u9fff]{2,})"), 1), lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.substring(w, i, F.lit(2)))))
@@ -111,3 +112,54 @@ def titles_match(first: Column, second: Column) -> Column:
     a, b = words(first), words(second)
     least = F.least(F.size(a), F.size(b))
     return F.coalesce((least > 0) & (F.size(F.array_intersect(a, b)) * 2 >= least), F.lit(False))
+
+
+@F.pandas_udf(StringType())
+def _casefolded(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: unicodedata.normalize("NFKC", t).casefold(), na_action="ignore")
+
+
+def visible_text_hash(text: Column) -> Column:
+    """SHA-256 of a text after compatibility composition, case folding and collapsing of white space."""
+    other = F.when(text.rlike(r"[^\x00-\x7F]"), text)
+    return F.sha2(collapse_space(F.coalesce(_casefolded(other), F.lower(text))), 256)
+
+
+def canonical_json_hash(columns: dict[str, Column]) -> Column:
+    """SHA-256 of the JSON of some columns with names in order; missing values are null in it."""
+    return F.sha2(F.to_json(F.struct(*[columns[n].alias(n) for n in sorted(columns)]), {"ignoreNullFields": "false"}), 256)
+
+
+def infer_sector(text: Column, sectors: dict[str, list[str]]) -> Column:
+    """The sector with the most keywords in the text, case aside; of equal ones the first; null without any."""
+    low = F.lower(text)
+    scored = []
+    for rank, (name, keywords) in enumerate(sectors.items()):
+        hits = F.lit(0)
+        for word in keywords:
+            hits = hits + F.coalesce(F.contains(low, F.lit(word.lower())), F.lit(False)).cast("int")
+        scored.append(F.struct(hits.alias("hits"), F.lit(-rank).alias("order"), F.lit(name).alias("name")))
+    best = F.array_max(F.array(*scored))
+    return F.when(best["hits"] > 0, best["name"])
+
+
+def website_or_null(url: Column) -> Column:
+    """The address if it is http(s) without user info, on port 80 or 443, with a public host, of at most 500 characters."""
+    host = F.lower(F.regexp_extract(url, r"\A(?i:https?)://([^/?#:@\s]+)(?::(?:80|443))?(?:[/?#]\S*)?\z", 1))
+    private = host.rlike(r"\A(?:localhost|.*\.local|.*\.internal|0\..*|10\..*|127\..*|169\.254\..*|192\.168\..*|172\.(?:1[6-9]|2\d|3[01])\..*)\z")
+    return F.when((F.length(url) <= 500) & F.contains(host, F.lit(".")) & ~private, url)
+
+
+def token_bound(messages: Column, each: int = 8, fixed: int = 64) -> Column:
+    """An upper bound of the tokens of messages: their UTF-8 bytes, ``each`` more for a message, and ``fixed``."""
+    return F.aggregate(messages, F.lit(fixed), lambda n, m: n + F.octet_length(m) + each)
+
+
+#: Characters of a text that each task reads; any other reads the most.
+TASK_CHARS = {"extract_companies": 20_000, "translate": 30_000}
+
+
+def task_input(text: Column, task: Column, most: int = 50_000) -> Column:
+    """The visible text, cut to what the task reads."""
+    limit = F.coalesce(*[F.when(task == k, F.lit(v)) for k, v in TASK_CHARS.items()], F.lit(most))
+    return F.substring(strip_html(text), F.lit(1), limit)

@@ -7,8 +7,10 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsloom.functions.times import moment
+
 #: The weight of each highlight tag; any other tag weighs nothing.
-WEIGHTS = {"breakthrough": 4, "research": 3, "investment": 2, "event": 1}
+WEIGHTS = {"tech_breakthrough": 4, "local_research": 3, "investment": 2, "local_event": 1}
 
 
 def day_range(moment: Column, first: str | None, last: str | None) -> Column:
@@ -30,13 +32,13 @@ def search_articles(articles: DataFrame, source: int | None = None, tag: str | N
 
 
 def folded(text: Column) -> Column:
-    """For search: case does not count."""
-    return F.lower(text)
+    """For search: neither case nor accents count."""
+    return F.collate(text, "UNICODE_CI_AI")
 
 
 def search_text(texts: DataFrame, term: str, columns: list[str], wildcards: bool = False) -> DataFrame:
     """Rows in which one of the columns holds ``term``, literally unless ``wildcards``."""
-    test = (lambda c: folded(F.col(c)).like(f"%{term.lower()}%")) if wildcards else (lambda c: F.contains(folded(F.col(c)), F.lit(term.lower())))
+    test = (lambda c: F.lower(c).like(f"%{term.lower()}%")) if wildcards else (lambda c: F.contains(folded(F.col(c)), folded(F.lit(term))))
     hit = F.lit(False)
     for c in columns:
         hit = hit | F.coalesce(test(c), F.lit(False))
@@ -50,11 +52,11 @@ def highlight_score(tags: Column) -> Column:
 
 def highlight_feed(articles: DataFrame, as_of: datetime, days: int = 30, event_days: int = 7) -> DataFrame:
     """Articles with a priority tag in its window, once each, with their score over all tags."""
-    recent = (F.col("published_at") >= F.lit(as_of - timedelta(days=days))) & (F.col("published_at") <= F.lit(as_of))
+    recent = (F.col("published_at") >= moment(as_of - timedelta(days=days))) & (F.col("published_at") <= moment(as_of))
     ahead = F.col("event_date") >= F.lit(as_of.date())
-    fresh = F.col("event_date").isNull() & (F.col("published_at") >= F.lit(as_of - timedelta(days=event_days)))
-    priority = F.arrays_overlap("highlights", F.array(*map(F.lit, ("breakthrough", "research", "investment")))) & recent
-    event = F.array_contains("highlights", "event") & F.coalesce(ahead | fresh, F.lit(False))
+    fresh = F.col("event_date").isNull() & (F.col("published_at") >= moment(as_of - timedelta(days=event_days)))
+    priority = F.arrays_overlap("highlights", F.array(*map(F.lit, ("tech_breakthrough", "local_research", "investment")))) & recent
+    event = F.array_contains("highlights", "local_event") & F.coalesce(ahead | fresh, F.lit(False))
     return articles.where(priority | event).withColumn("score", highlight_score(F.col("highlights")))
 
 
@@ -64,7 +66,7 @@ def paginate(rows: DataFrame, order: list[Column], page: int, size: int) -> Data
 
 
 def top_insights(articles: DataFrame, as_of: datetime, days: int = 3, n: int = 15) -> DataFrame:
-    scored = articles.where(F.col("published_at") >= F.lit(as_of - timedelta(days=days))).withColumn("score", highlight_score(F.col("highlights")))
+    scored = articles.where(F.col("published_at") >= moment(as_of - timedelta(days=days))).withColumn("score", highlight_score(F.col("highlights")))
     return scored.where("score > 0").orderBy(F.desc("score"), F.desc("published_at"), F.desc("id")).limit(n)
 
 

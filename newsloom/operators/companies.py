@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsloom.operators.reader import holds
+
 SENTIMENTS = ("positive", "neutral", "negative")
 
 
 def search_companies(companies: DataFrame, term: str | None = None, sector: str | None = None, map_only: bool = False, rejected: bool = False) -> DataFrame:
     """Companies by text in name or sector, exact sector, and map flag; rejected ones only if asked."""
     out = companies if rejected else companies.where("review_status <> 'rejected'")
-    out = out.where(F.contains(F.lower("name"), F.lit(term.lower())) | F.contains(F.lower("sector"), F.lit(term.lower()))) if term else out
+    out = out.where(holds(F.col("name"), term) | holds(F.col("sector"), term)) if term else out
     out = out.where(F.col("sector") == sector) if sector else out
     return out.where("is_map") if map_only else out
 

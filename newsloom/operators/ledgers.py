@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsloom.functions.times import moment
 from newsloom.operators.ordered import fold_in_order
 
 #: States in which the actual amount is known.
@@ -60,6 +61,9 @@ def breaker_step(state: tuple, row: tuple) -> tuple[tuple, tuple]:
     """``state``: failures, time of opening, successes since, time of the last write. ``row``: time in seconds, success."""
     failures, opened, successes, written = state
     now, success = row
+    if success is None or success != success:  # a call without an outcome changes nothing
+        is_open = failures >= BREAKER["failures"] and now - written <= BREAKER["lapse"]
+        return state, ("closed" if not is_open else "half_open" if now - opened > BREAKER["rest"] else "open", failures)
     if now - written > BREAKER["lapse"]:
         failures, opened, successes = 0, 0.0, 0
     is_open = failures >= BREAKER["failures"]
@@ -107,8 +111,8 @@ def latest_per_key(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
 def job_state(events: DataFrame, as_of: datetime) -> DataFrame:
     """Current state of each job from its last event: queued for over a day has expired, running past its deadline has failed."""
     last = latest_per_key(events, ["job_id"], "created_at", "id")
-    late = F.lit(as_of)
-    expired = (F.col("state") == "queued") & (F.col("created_at") < F.lit(as_of - timedelta(hours=24)))
+    late = moment(as_of)
+    expired = (F.col("state") == "queued") & (F.col("created_at") < moment(as_of - timedelta(hours=24)))
     broken = (F.col("state") == "running") & (F.col("deadline") < late)
     return last.select("job_id", F.when(expired, "expired").when(broken, "failed").otherwise(F.col("state")).alias("state"))
 
@@ -144,14 +148,22 @@ def prompt_pack(pages: DataFrame, each: int = 4000, total: int = 12000) -> DataF
     return cut.withColumn("room", room).where("room > 0").select("session_id", "position", F.expr("substring(part, 1, cast(room as int))").alias("part"))
 
 
-def next_due(finished: Column, kind: Column, streak: Column, period_minutes: Column, hour: int = 1, zone: str = "Europe/Paris") -> Column:
-    """When a source is due again. After success or a failed extraction: the period, but no later than
-    the first local ``hour`` that is at least half an hour away; retries double from a quarter of an
-    hour up to the period; blocked sources rest for a day."""
+def next_due(started: Column, finished: Column, kind: Column, streak: Column, period_minutes: Column, retry_after: Column | None = None, hour: int = 1, zone: str = "Europe/Paris") -> Column:
+    """When a source is due again; the period is a quarter of an hour at least.
+
+    After success or a failed extraction: the period from the start, but no later than the first local
+    ``hour`` that is more than half an hour after the start. Retries count from the end: as the server
+    asked (a day at most), else a quarter of an hour, doubled for each failure before this one, up to
+    the period. Blocked sources rest for a day. An hour that the clock skips is the first instant after
+    the gap, one that it repeats the first of the two.
+    """
     minutes = lambda n: F.make_dt_interval(mins=n.cast("int"))
-    period = F.greatest(period_minutes, F.lit(15))
-    local = F.from_utc_timestamp(finished + F.expr("interval 30 minutes"), zone)
-    today = F.date_trunc("day", local) + F.expr(f"interval {hour} hours")
-    anchor = F.to_utc_timestamp(F.when(today > local, today).otherwise(today + F.expr("interval 1 day")), zone)
-    again = F.least(period, F.lit(15) * F.pow(F.lit(2), F.least(streak, F.lit(20)) - 1))
-    return F.when(kind == "blocked", finished + F.expr("interval 24 hours")).when(kind == "retry", finished + minutes(again)).otherwise(F.least(finished + minutes(period), anchor))
+    period = F.greatest(F.coalesce(period_minutes, F.lit(0)), F.lit(15))
+    late = started + F.expr("interval 30 minutes")
+    day = F.date_trunc("day", F.from_utc_timestamp(late, zone))
+    at = lambda n: F.to_utc_timestamp(day + F.expr(f"interval {24 * n + hour} hours"), zone)
+    anchor = F.when(at(0) > late, at(0)).when(at(1) > late, at(1)).otherwise(at(2))
+    again = F.least(period, F.lit(15) * F.pow(F.lit(2), F.least(F.greatest(streak - 1, F.lit(0)), F.lit(16))))
+    asked = F.lit(None).cast("int") if retry_after is None else F.when(retry_after > 0, F.least(retry_after, F.lit(86400)))
+    retry = F.coalesce(finished + F.make_dt_interval(secs=asked), finished + minutes(again))
+    return F.when(kind == "blocked", finished + F.expr("interval 24 hours")).when(kind == "retry", retry).otherwise(F.least(started + minutes(period), anchor))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import tempfile
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import name_keys
@@ -40,13 +42,28 @@ def upsert_articles(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     return told.withColumn("source_failed", failed)
 
 
+def resolved(pairs: DataFrame, most: int = 40) -> DataFrame:
+    """``target_id, duplicate_id`` with targets that are no duplicates themselves; the way halves each round."""
+    _with_checkpoints(pairs.sparkSession)
+    at = pairs.select("target_id", "duplicate_id").where("target_id <> duplicate_id").checkpoint()
+    for _ in range(most):
+        onward = at.select(F.col("duplicate_id").alias("target_id"), F.col("target_id").alias("further"))
+        met = at.join(onward, "target_id", "left").checkpoint()
+        at = met.select(F.coalesce("further", "target_id").alias("target_id"), "duplicate_id")
+        if met.where("further is not null").isEmpty():
+            return at
+    raise ValueError("companies merge in a circle")
+
+
 def merge_links(links: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Mentions after companies merge: ``pairs`` says which ``duplicate_id`` goes into which ``target_id``.
+    """Mentions after companies merge: ``pairs`` says which ``duplicate_id`` goes into which ``target_id``,
+    once each; a target that is merged itself passes on what it gets.
 
     Where both knew an article, the target's mention is kept and enriched, duplicates in order of id:
     the larger count, primary if either is, and a duplicate's sentiment with its score where the
     target's says nothing; a missing score is filled where the labels agree.
     """
+    pairs = resolved(pairs)
     moved = links.join(pairs, links["company_id"] == pairs["duplicate_id"], "left")
     target = F.coalesce("target_id", "company_id")
     known = moved.groupBy("article_id", target.alias("company_id")).agg(
@@ -83,11 +100,16 @@ def coverage_diff(expected: DataFrame, found: DataFrame, keys: list[str]) -> Dat
     return a.join(b, keys, "full_outer").select(*keys, verdict.alias("verdict"))
 
 
+def _with_checkpoints(spark: SparkSession) -> None:
+    """Checkpoints go to the folder that the cluster names; only where it names none, to a new one."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        spark.sparkContext.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="spark-checkpoints-"))
+
+
 def _components(edges: DataFrame) -> DataFrame:
     """``node, root``: smallest node that each node of ``edges (a, b)`` reaches; each round halves the way at least for chains."""
-    spark = edges.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/newsloom-checkpoints"))
+    _with_checkpoints(edges.sparkSession)
     both = edges.union(edges.select("b", "a")).toDF("node", "other").distinct().checkpoint()
     roots = both.groupBy("node").agg(F.least(F.min("node"), F.min("other")).alias("root"))
     while True:
@@ -104,9 +126,9 @@ def duplicate_companies(companies: DataFrame) -> DataFrame:
     """``id, keeper_id, group_size`` of companies whose names collide by either key, transitively.
 
     Components are searched among distinct pairs of keys, not companies, so a name that very many
-    share is one node. The keeper was not created automatically if any was not, then has the lowest id.
+    share is one node. Rejected companies take no part. The keeper was not created automatically if any was not, then has the lowest id.
     """
-    keyed = companies.select("id", "is_auto_created", name_keys(F.col("name")).alias("k")).where("k is not null")
+    keyed = companies.where("review_status is null or review_status <> 'rejected'").select("id", "is_auto_created", name_keys(F.col("name")).alias("k")).where("k is not null")
     roots = _components(keyed.select("k.joined", "k.sorted").distinct().toDF("a", "b"))
     member = keyed.join(roots, F.col("k.joined") == F.col("node")).select("id", "is_auto_created", "root")
     group = member.groupBy("root").agg(F.min(F.struct("is_auto_created", "id"))["id"].alias("keeper_id"), F.count("*").alias("group_size")).where("group_size > 1")

@@ -24,6 +24,7 @@ def fold_in_order(rows: DataFrame, keys: list[str], order: list[str], start: Cal
             out = []
             same = list(zip(*[batch[k] for k in keys]))
             for key, row in zip(same, zip(*[batch[c] for c in columns])):
+                key = tuple(None if pd.isna(k) else k for k in key)  # null keys are one key
                 if key != last:
                     last, state = key, start()
                 state, told = step(state, row)

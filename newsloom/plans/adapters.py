@@ -15,7 +15,7 @@ AS_OF = datetime(2001, 8, 1)
 RUNS_AS_OF = datetime(2024, 1, 30, 12)
 
 #: Which tag an order's priority stands for.
-TAGS = {"1-URGENT": "breakthrough", "2-HIGH": "research", "3-MEDIUM": "investment"}
+TAGS = {"1-URGENT": "tech_breakthrough", "2-HIGH": "local_research", "3-MEDIUM": "investment"}
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,8 +25,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``id, source_id, published_at, processed, highlights, event_date``."""
     tag = F.col("o_orderpriority")
-    first = F.coalesce(*[F.when(tag == k, F.lit(v)) for k, v in TAGS.items()], F.when(tag.startswith("4"), F.lit("event")))
-    second = F.when(F.col("o_orderkey") % 7 == 0, F.lit("research"))
+    first = F.coalesce(*[F.when(tag == k, F.lit(v)) for k, v in TAGS.items()], F.when(tag.startswith("4"), F.lit("local_event")))
+    second = F.when(F.col("o_orderkey") % 7 == 0, F.lit("local_research"))
     return read(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("id"),
         (F.col("o_custkey") % 30).alias("source_id"),
@@ -110,8 +110,8 @@ def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = {
     "articles": """articles AS (
   SELECT o_orderkey AS id, o_custkey % 30 AS source_id, o_orderdate AS published_at, o_orderstatus = 'F' AS processed,
-    list_filter([CASE o_orderpriority WHEN '1-URGENT' THEN 'breakthrough' WHEN '2-HIGH' THEN 'research' WHEN '3-MEDIUM' THEN 'investment'
-      ELSE CASE WHEN o_orderpriority LIKE '4%' THEN 'event' END END, CASE WHEN o_orderkey % 7 = 0 THEN 'research' END], lambda x: x IS NOT NULL) AS highlights,
+    list_filter([CASE o_orderpriority WHEN '1-URGENT' THEN 'tech_breakthrough' WHEN '2-HIGH' THEN 'local_research' WHEN '3-MEDIUM' THEN 'investment'
+      ELSE CASE WHEN o_orderpriority LIKE '4%' THEN 'local_event' END END, CASE WHEN o_orderkey % 7 = 0 THEN 'local_research' END], lambda x: x IS NOT NULL) AS highlights,
     CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderdate AS DATE) + CAST(o_orderkey % 30 AS INTEGER) END AS event_date
   FROM orders)""",
     "mentions": """mentions AS (

@@ -29,13 +29,36 @@ def daily_spend(spark, sf_dir):
     return L.daily_spend(T.reservations(spark, sf_dir), usage).withColumn("day", F.col("day").cast("string"))
 
 
-@query(None)
+@query(
+    """WITH RECURSIVE asked AS (SELECT event_id AS id, user_id % 5 AS ledger, CAST(ts AS DATE)::VARCHAR AS day, CAST(floor(value * 100) AS BIGINT) AS amount,
+  row_number() OVER (PARTITION BY user_id % 5, CAST(ts AS DATE) ORDER BY ts, event_id) AS n FROM events),
+s AS (
+  SELECT ledger, day, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS id, false AS admitted, CAST(0 AS BIGINT) AS held FROM (SELECT DISTINCT ledger, day FROM asked)
+  UNION ALL
+  SELECT a.ledger, a.day, a.n, a.id, s.held + a.amount <= 50000, CASE WHEN s.held + a.amount <= 50000 THEN s.held + a.amount ELSE s.held END
+  FROM s JOIN asked a ON a.ledger = s.ledger AND a.day = s.day AND a.n = s.n + 1)
+SELECT id, ledger, day, admitted, held FROM s WHERE n > 0"""
+)
 def admission_replay(spark, sf_dir):
     asked = T.usage(spark, sf_dir).select("id", F.col("config_id").alias("ledger"), F.to_date("created_at").cast("string").alias("day"), "created_at", F.coalesce("cost_cents", F.lit(0)).alias("amount"))
     return L.admission_replay(asked, 50_000).select("id", "ledger", "day", "admitted", "held")
 
 
-@query(None)
+_BREAKER = """WITH RECURSIVE calls AS (SELECT event_id AS id, user_id AS provider, epoch_us(ts) / 1e6::DOUBLE AS sec, event_type <> 'error' AS success,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+s AS (
+  SELECT provider, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS id, CAST(0 AS INTEGER) AS failures, CAST(0 AS DOUBLE) AS opened, CAST(0 AS INTEGER) AS successes, CAST(0 AS DOUBLE) AS written, '' AS status
+  FROM (SELECT DISTINCT provider FROM calls)
+  UNION ALL
+  SELECT provider, n, id, f2, CASE WHEN success THEN CASE WHEN keeps THEN o ELSE 0 END WHEN f2 >= 5 THEN sec ELSE o END, CASE WHEN success THEN CASE WHEN keeps THEN s1 + 1 ELSE 0 END WHEN f2 >= 5 THEN 0 ELSE s1 END, sec, status
+  FROM (SELECT *, success AND f >= 5 AND s1 + 1 < 2 AS keeps, CASE WHEN NOT success THEN f + 1 WHEN f >= 5 AND s1 + 1 < 2 THEN f ELSE 0 END AS f2,
+      CASE WHEN f < 5 THEN 'closed' WHEN sec - o > 300 THEN 'half_open' ELSE 'open' END AS status
+    FROM (SELECT c.provider, c.n, c.id, c.sec, c.success, CASE WHEN c.sec - s.written > 3600 THEN 0 ELSE s.failures END AS f, CASE WHEN c.sec - s.written > 3600 THEN 0 ELSE s.opened END AS o,
+        CASE WHEN c.sec - s.written > 3600 THEN 0 ELSE s.successes END AS s1 FROM s JOIN calls c ON c.provider = s.provider AND c.n = s.n + 1)))
+SELECT id, provider, status, failures AS n_failures FROM s WHERE n > 0"""
+
+
+@query(_BREAKER)
 def failure_breaker(spark, sf_dir):
     calls = T.crawl_runs(spark, sf_dir).select("id", F.col("source_id").alias("provider"), F.col("started_at").alias("created_at"), F.col("ok").alias("success"))
     return L.failure_breaker(calls).select("id", "provider", "status", "n_failures")
@@ -106,14 +129,18 @@ def prompt_pack(spark, sf_dir):
 
 @query(
     with_tables("crawl_runs")
-    + """, told AS (SELECT id, started_at AS t, CASE WHEN ok THEN 'ok' WHEN source_id % 2 = 0 THEN 'retry' ELSE 'blocked' END AS kind, 1 + id % 8 AS streak FROM crawl_runs)
-SELECT id, CAST(CASE kind WHEN 'blocked' THEN t + INTERVAL 24 HOUR WHEN 'retry' THEN t + to_minutes(CAST(least(360, 15 * pow(2, streak - 1)) AS BIGINT))
-  ELSE least(t + INTERVAL 360 MINUTE, CASE WHEN date_trunc('day', t + INTERVAL 30 MINUTE) + INTERVAL 1 HOUR > t + INTERVAL 30 MINUTE THEN date_trunc('day', t + INTERVAL 30 MINUTE) + INTERVAL 1 HOUR
-    ELSE date_trunc('day', t + INTERVAL 30 MINUTE) + INTERVAL 25 HOUR END) END AS TIMESTAMP) AS due FROM told"""
+    + """, told AS (SELECT id, started_at AS t, started_at + to_seconds(valid) AS e, CASE WHEN ok THEN 'ok' WHEN source_id % 2 = 0 THEN 'retry' ELSE 'blocked' END AS kind, id % 8 AS streak,
+    CASE WHEN id % 5 = 0 THEN id % 200000 END AS asked, t + INTERVAL 30 MINUTE AS late FROM crawl_runs),
+-- Paris is an hour ahead of UTC all January, so its one o'clock is midnight
+anchored AS (SELECT *, CASE WHEN date_trunc('day', late) > late THEN date_trunc('day', late) ELSE date_trunc('day', late) + INTERVAL 1 DAY END AS anchor FROM told)
+SELECT id, CAST(CASE WHEN kind = 'blocked' THEN e + INTERVAL 24 HOUR WHEN kind = 'retry' AND asked > 0 THEN e + to_seconds(least(asked, 86400))
+  WHEN kind = 'retry' THEN e + to_minutes(CAST(least(360, 15 * pow(2, greatest(streak - 1, 0))) AS BIGINT)) ELSE least(t + INTERVAL 360 MINUTE, anchor) END AS TIMESTAMP) AS due FROM anchored"""
 )
 def next_due(spark, sf_dir):
     kind = F.when(F.col("ok"), "ok").when(F.col("source_id") % 2 == 0, "retry").otherwise("blocked")
-    due = L.next_due(F.col("started_at"), kind, 1 + F.col("id") % 8, F.lit(360), zone="UTC")
+    finished = F.col("started_at") + F.make_dt_interval(secs=F.col("valid"))
+    asked = F.when(F.col("id") % 5 == 0, F.col("id") % 200000)
+    due = L.next_due(F.col("started_at"), finished, kind, F.col("id") % 8, F.lit(360), asked)
     return T.crawl_runs(spark, sf_dir).select("id", due.alias("due"))
 
 
@@ -172,7 +199,7 @@ def coverage_diff(spark, sf_dir):
 
 
 @query(
-    """WITH RECURSIVE c AS (SELECT p_partkey AS id, p_partkey % 3 = 0 AS auto, list_filter(regexp_extract_all(lower(p_name || ' ' || (p_partkey % 5)), '[a-z0-9]+'), lambda w: w NOT IN ('group', 'groupe')) AS w FROM part),
+    """WITH RECURSIVE c AS (SELECT p_partkey AS id, p_partkey % 3 = 0 AS auto, list_filter(regexp_extract_all(lower(p_name || ' ' || (p_partkey % 5)), '[a-z0-9]+'), lambda w: w NOT IN ('group', 'groupe')) AS w FROM part WHERE p_partkey % 10 <> 9),
 k AS (SELECT id, auto, array_to_string(w, '') AS a, array_to_string(list_sort(w), ' ') AS b FROM c WHERE length(array_to_string(w, '')) >= 4),
 e AS (SELECT DISTINCT a AS x, b AS y FROM k UNION SELECT DISTINCT b, a FROM k), r AS (SELECT x, x AS root FROM e UNION SELECT e.x, r.root FROM r JOIN e ON e.y = r.x),
 m AS (SELECT x, min(root) AS root FROM r GROUP BY x), g AS (SELECT id, auto, root FROM k JOIN m ON a = x)
@@ -180,4 +207,4 @@ SELECT id, first_value(id) OVER (PARTITION BY root ORDER BY auto, id) AS keeper_
 )
 def duplicate_companies(spark, sf_dir):
     k = F.col("p_partkey")
-    return U.duplicate_companies(T.read(spark, sf_dir, "part").select(k.alias("id"), (k % 3 == 0).alias("is_auto_created"), F.concat_ws(" ", "p_name", (k % 5).cast("string")).alias("name")))
+    return U.duplicate_companies(T.read(spark, sf_dir, "part").select(k.alias("id"), (k % 3 == 0).alias("is_auto_created"), F.concat_ws(" ", "p_name", (k % 5).cast("string")).alias("name"), F.when(k % 10 == 9, "rejected").otherwise("approved").alias("review_status")))

@@ -95,11 +95,9 @@ def keyword_alerts(spark, sf_dir):
     return K.keyword_alerts(keyword_matches(spark, sf_dir))
 
 
-@query("SELECT doc_id, trim(regexp_replace(lower(strip_accents(source || ' ' || substring(text, 1, 40))), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM documents WHERE regexp_full_match(substring(text, 1, 40), '[\\x00-\\x7F]*')")
+@query(None)
 def slug(spark, sf_dir):
-    head = F.substring("text", 1, 40)
-    rows = T.read(spark, sf_dir, "documents").where(head.rlike(r"\A[\x00-\x7F]*\z"))
-    return rows.select("doc_id", X.slug(F.concat("source", F.lit(" "), head)).alias("slug"))
+    return T.read(spark, sf_dir, "documents").select("doc_id", X.slug(F.concat("source", F.lit(" "), F.coalesce("text", F.lit("")))).alias("slug"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_type = 'ECONOMY' THEN 'ECONOMY' WHEN regexp_matches(lower(p_type), '(^|[^a-z])widget') THEN 'Widgets' ELSE 'Other' END AS \"group\" FROM (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE p_type || ' ' || p_name END AS p_type FROM part)")

@@ -9,21 +9,21 @@ from newsloom.operators import articles as A
 from newsloom.operators import companies as C
 from newsloom.operators import monitoring as M
 from newsloom.plans import adapters as T
-from newsloom.plans import history_queries, page_queries  # noqa: F401 - they register their queries
+from newsloom.plans import entity_queries, history_queries, page_queries, reader_queries  # noqa: F401 - they register their queries
 from newsloom.plans.adapters import AS_OF, RUNS_AS_OF, with_tables
 from newsloom.plans.registry import QUERIES, SQL, query  # noqa: F401
 from newsloom.streaming.usage import usage_windows
 
-_SCORE = "coalesce(list_max(list_transform(highlights, lambda t: CASE t WHEN 'breakthrough' THEN 4 WHEN 'research' THEN 3 WHEN 'investment' THEN 2 WHEN 'event' THEN 1 ELSE 0 END)), 0)"
+_SCORE = "coalesce(list_max(list_transform(highlights, lambda t: CASE t WHEN 'tech_breakthrough' THEN 4 WHEN 'local_research' THEN 3 WHEN 'investment' THEN 2 WHEN 'local_event' THEN 1 ELSE 0 END)), 0)"
 _FEED = f"""feed AS (
   SELECT id, published_at, {_SCORE} AS score FROM articles
-  WHERE (list_has_any(highlights, ['breakthrough', 'research', 'investment']) AND published_at BETWEEN TIMESTAMP '2001-07-02' AND TIMESTAMP '2001-08-01')
-    OR (list_contains(highlights, 'event') AND coalesce(event_date >= DATE '2001-08-01' OR (event_date IS NULL AND published_at >= TIMESTAMP '2001-07-25'), false)))"""
+  WHERE (list_has_any(highlights, ['tech_breakthrough', 'local_research', 'investment']) AND published_at BETWEEN TIMESTAMP '2001-07-02' AND TIMESTAMP '2001-08-01')
+    OR (list_contains(highlights, 'local_event') AND coalesce(event_date >= DATE '2001-08-01' OR (event_date IS NULL AND published_at >= TIMESTAMP '2001-07-25'), false)))"""
 
 
-@query(with_tables("articles") + " SELECT id, source_id FROM articles WHERE list_contains(highlights, 'research') AND published_at >= TIMESTAMP '1998-03-01' AND published_at < TIMESTAMP '1998-07-01' AND source_id = 7")
+@query(with_tables("articles") + " SELECT id, source_id FROM articles WHERE list_contains(highlights, 'local_research') AND published_at >= TIMESTAMP '1998-03-01' AND published_at < TIMESTAMP '1998-07-01' AND source_id = 7")
 def search_articles(spark, sf_dir):
-    return A.search_articles(T.articles(spark, sf_dir), 7, "research", "1998-03-01", "1998-06-30").select("id", "source_id")
+    return A.search_articles(T.articles(spark, sf_dir), 7, "local_research", "1998-03-01", "1998-06-30").select("id", "source_id")
 
 
 @query(with_tables("articles") + " SELECT CAST(published_at AS DATE)::VARCHAR AS day, count(*) AS n FROM articles WHERE published_at >= TIMESTAMP '1999-01-01' AND published_at < TIMESTAMP '2000-01-01' GROUP BY 1")
@@ -32,7 +32,7 @@ def day_range(spark, sf_dir):
     return rows.groupBy(F.to_date("published_at").cast("string").alias("day")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, lang FROM documents WHERE contains(lower(text), 'tion the')")
+@query("SELECT doc_id, lang FROM documents WHERE contains(lower(strip_accents(text)), 'tion the')")
 def search_text(spark, sf_dir):
     return A.search_text(T.read(spark, sf_dir, "documents"), "Tion the", ["text"]).select("doc_id", "lang")
 
@@ -148,11 +148,11 @@ def failure_streak(spark, sf_dir):
 
 @query(
     with_tables("crawl_runs")
-    + """ SELECT id, count(*) OVER w AS n_before, CASE WHEN count(*) OVER w >= 3 THEN valid < median(valid) OVER w / 2 ELSE false END AS below_baseline
+    + """ SELECT id, count(*) OVER w AS n_before, (count(*) OVER w >= 3 AND valid < median(valid) OVER w / 2) OR (valid + id % 9 > 0 AND valid / (valid + id % 9)::DOUBLE < 0.9) AS below_baseline
 FROM crawl_runs WINDOW w AS (PARTITION BY source_id ORDER BY started_at, id ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING)"""
 )
 def below_baseline(spark, sf_dir):
-    return M.previous_counts(T.crawl_runs(spark, sf_dir)).select("id", "n_before", "below_baseline")
+    return M.previous_counts(T.crawl_runs(spark, sf_dir).withColumn("discovered", F.col("valid") + F.col("id") % 9)).select("id", "n_before", "below_baseline")
 
 
 @query(
@@ -186,7 +186,7 @@ def url_identity(spark, sf_dir):
 
 
 @query(
-    """SELECT doc_id, CASE WHEN text IS NULL OR length(text) = 0 THEN 'metadata' WHEN length(c) >= 200 AND len(string_split(c, chr(10) || chr(10))) >= 2 THEN 'full' ELSE 'excerpt' END AS level
+    """SELECT doc_id, CASE WHEN text IS NULL OR length(text) = 0 THEN 'metadata_only' WHEN length(c) >= 200 AND len(string_split(c, chr(10) || chr(10))) >= 2 THEN 'full' ELSE 'excerpt' END AS level
 FROM (SELECT doc_id, text, replace(text, chr(10), chr(10) || chr(10)) AS c FROM documents)"""
 )
 def content_level(spark, sf_dir):

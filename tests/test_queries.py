@@ -1,13 +1,14 @@
 """Each query of the library's own operators against its SQL, on the smallest tables."""
 
 import datetime
+import os
 
 import duckdb
 import pytest
 
 from newsloom.plans.queries import QUERIES, SQL
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("NEWSLOOM_TEST_SF", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 

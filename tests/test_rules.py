@@ -1,8 +1,6 @@
 """Rules that SQL cannot express, against plain Python, and corner cases."""
 
 import datetime
-import html
-import re
 from collections import defaultdict
 
 from pyspark.sql import functions as F
@@ -73,12 +71,60 @@ def test_quote_rounds_up(spark):
     assert row.q == Decimal("0.000001") and row.bad is None
 
 
-def test_next_due_follows_local_time(spark):
-    at = [datetime.datetime(2026, 1, 10, 12), datetime.datetime(2026, 7, 10, 22, 0), datetime.datetime(2026, 7, 10, 22, 45)]
-    rows = spark.createDataFrame([(t,) for t in at], "t timestamp")
-    due = [r.d for r in rows.select(ledgers.next_due(F.col("t"), F.lit("ok"), F.lit(0), F.lit(1440)).alias("d")).collect()]
-    # one o'clock in Paris is midnight UTC in winter, eleven in the evening in summer
-    assert due == [datetime.datetime(2026, 1, 11, 0), datetime.datetime(2026, 7, 10, 23), datetime.datetime(2026, 7, 11, 22, 45)]
+def test_next_due(spark):
+    d = datetime.datetime
+    cases = [
+        # started, finished, kind, streak, period, asked -> due; one o'clock in Paris is midnight UTC in winter, eleven in the evening in summer
+        (d(2026, 1, 10, 12), d(2026, 1, 10, 13), "ok", 0, 1440, None, d(2026, 1, 11, 0)),
+        (d(2026, 7, 10, 22, 0), d(2026, 7, 10, 22, 1), "ok", 0, 1440, None, d(2026, 7, 10, 23)),
+        (d(2026, 7, 10, 22, 45), d(2026, 7, 10, 22, 50), "extraction", 2, 1440, None, d(2026, 7, 11, 22, 45)),
+        (d(2026, 1, 10, 12), d(2026, 1, 10, 12, 10), "ok", 0, 60, None, d(2026, 1, 10, 13)),
+        (d(2026, 1, 10, 12), d(2026, 1, 10, 12, 10), "ok", 0, None, None, d(2026, 1, 10, 12, 15)),
+        (d(2026, 1, 10, 12), d(2026, 1, 10, 12, 10), "retry", 0, 60, None, d(2026, 1, 10, 12, 25)),
+        (d(2026, 1, 10, 12), d(2026, 1, 10, 12, 10), "retry", 3, 360, None, d(2026, 1, 10, 13, 10)),
+        (d(2026, 1, 10, 12), d(2026, 1, 10, 12, 10), "retry", 30, 360, None, d(2026, 1, 10, 18, 10)),
+        (d(2026, 1, 10, 12), d(2026, 1, 10, 12, 10), "retry", 1, 60, 200_000, d(2026, 1, 11, 12, 10)),
+        (d(2026, 1, 10, 12), d(2026, 1, 10, 12, 10), "blocked", 1, 60, None, d(2026, 1, 11, 12, 10)),
+    ]
+    rows = spark.createDataFrame(cases, "started timestamp, finished timestamp, kind string, streak int, period int, asked int, due timestamp")
+    got = rows.select("due", ledgers.next_due(*map(F.col, ("started", "finished", "kind", "streak", "period", "asked"))).alias("d")).collect()
+    assert [r.d for r in got] == [r.due for r in got]
+    turned = spark.createDataFrame([(d(2026, 3, 28, 12),), (d(2026, 10, 24, 12),)], "t timestamp")
+    two = [r.d for r in turned.select(ledgers.next_due(F.col("t"), F.col("t"), F.lit("ok"), F.lit(0), F.lit(1440), hour=2).alias("d")).collect()]
+    assert two == [d(2026, 3, 29, 1), d(2026, 10, 25, 0)]
+
+
+def test_as_of_does_not_depend_on_the_zone_of_the_driver(spark, monkeypatch):
+    import time
+
+    from newsloom.functions.times import moment
+
+    monkeypatch.setenv("TZ", "America/New_York")
+    time.tzset()
+    try:
+        got = spark.range(1).select(moment(datetime.datetime(2001, 8, 1)).cast("string").alias("a"), moment(datetime.datetime(2001, 8, 1, tzinfo=datetime.timezone.utc)).cast("string").alias("b")).first()
+    finally:
+        monkeypatch.undo()
+        time.tzset()
+    assert tuple(got) == ("2001-08-01 00:00:00", "2001-08-01 00:00:00")
+
+
+def test_null_keys_are_one_key_and_null_outcomes_change_nothing(spark):
+    start = datetime.datetime(2026, 1, 1)
+    rows = [(i, None, start + datetime.timedelta(seconds=i), None if i == 3 else False) for i in range(7)]
+    got = ledgers.failure_breaker(spark.createDataFrame(rows, "id long, provider long, created_at timestamp, success boolean")).collect()
+    assert sorted((r.id, r.status, r.n_failures) for r in got) == [(0, "closed", 1), (1, "closed", 2), (2, "closed", 3), (3, "closed", 3), (4, "closed", 4), (5, "closed", 5), (6, "open", 6)]
+
+
+def test_chained_merges_end_at_the_last_target(spark):
+    links = spark.createDataFrame([(1, 12, "positive", 1, True, 0.5)], "article_id long, company_id long, sentiment string, mention_count long, is_primary boolean, score double")
+    got = merges.merge_links(links, spark.createDataFrame([(11, 12), (10, 11)], "target_id long, duplicate_id long")).collect()
+    assert [r.company_id for r in got] == [10]
+
+
+def test_slug_and_name_keys_fold_as_decomposition_does(spark):
+    names = [("\ufb01nance \u00bd", "finance-12"), ("Été à Grenoble!", "ete-a-grenoble"), ("œuf", "uf"), ("", ""), (None, None), ("日本", "")]
+    assert all(r.s == r.slug for r in spark.createDataFrame(names, "n string, slug string").select("slug", X.slug(F.col("n")).alias("s")).collect())
 
 
 def test_merge_folds_several_duplicates(spark):
@@ -90,23 +136,25 @@ def test_merge_folds_several_duplicates(spark):
 
 def test_duplicate_companies_chain(spark):
     names = ["Soitec SA", "SOITEC", "Grenoble Labo", "labo grenoble", "Labogrenoble", "Été Robotics", "ete-robotics France", "abc", "ABC", None, ""]
-    rows = spark.createDataFrame([(i, i in (0, 2), n) for i, n in enumerate(names)], "id long, is_auto_created boolean, name string")
+    names += ["Soitec"]
+    rows = spark.createDataFrame([(i, i in (0, 2), n, "rejected" if i == 11 else None) for i, n in enumerate(names)], "id long, is_auto_created boolean, name string, review_status string")
     got = {r.id: (r.keeper_id, r.group_size) for r in merges.duplicate_companies(rows).collect()}
     assert got == {0: (1, 2), 1: (1, 2), 2: (3, 3), 3: (3, 3), 4: (3, 3), 5: (5, 2), 6: (5, 2)}
 
 
-def test_strip_html_as_plain_python(spark):
-    def plain(t):
-        if not t:
-            return t
-        t = re.sub(r"(?i)<br\s*/?\s*>|</(?:p|div|h[1-6]|li|tr|blockquote)>", "\n", t)
-        t = re.sub(r"[ \t]+", " ", html.unescape(re.sub(r"<[^>]+>", "", t)))
-        return "\n".join(x.strip() for x in re.sub(r"\n\s*\n+", "\n\n", t).split("\n")).strip()
-
-    made = ["", None, "<p>a &amp; b<br/>c</p>\n\n\n<div> d&nbsp; </div>", "no tags", "<b>", "a\n \n\n b", " &lt;p&gt; "]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(made)], "page_id long, html string").unionByName(adapters.read(spark, SF, "pages").selectExpr("page_id + 1000 as page_id", "html"))
-    for row in df.select("html", X.strip_html(F.col("html")).alias("text")).collect():
-        assert row.text == plain(row.html)
+def test_strip_html(spark):
+    cases = [
+        (None, None),
+        ("", ""),
+        ("<p>a &amp; b<br/>c</p>\n\n\n<div> d&nbsp; </div>", "a & b\nc\n\nd"),
+        ("no tags", "no tags"),
+        ("<b>", ""),
+        ("a\n \n\n b", "a\n\nb"),
+        (" &lt;p&gt; ", "<p>"),
+        ("<ul><li>one</li><li>two  three</li></ul>", "one\ntwo three"),
+    ]
+    for row in spark.createDataFrame(cases, "html string, want string").select("want", X.strip_html(F.col("html")).alias("text")).collect():
+        assert row.text == row.want
 
 
 def test_titles_and_bodies(spark):
