@@ -12,6 +12,7 @@ read whole. Counts do not depend on order, so ties cannot arise.
 from __future__ import annotations
 
 import json
+import os
 
 import pyarrow as pa
 import regex
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 _WS = r"\t-\r \x85\xa0  -     　"
 PRE_TOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
 #: Distinct merged strings that a worker remembers between batches.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 17
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -55,6 +56,8 @@ class Counting:
     def __init__(self, path: str, whole: frozenset[str]):
         from tokenizers import Tokenizer
 
+        # tasks are the parallelism; threads of the library's own would each hold memory
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
