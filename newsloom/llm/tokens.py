@@ -2,7 +2,8 @@
 
 Before any document is read, the vocabulary is proved: each of its strings is encoded alone by the
 library, and those that come out as one token form the whole-token set. A pre-token found in that
-set counts one; only the rest goes through merges, once for each distinct string of a batch.
+set counts one; only the rest goes through merges. The tokens of a word after a blank are worked out once and
+remembered within a bound.
 
 Defined results: a null or empty text has no bytes and no tokens; null ids stay null; repeated rows
 give repeated results; an empty table gives an empty result; other columns take no part. Texts are
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 
 import pyarrow as pa
 import regex
@@ -23,8 +25,9 @@ from pyspark.sql import functions as F
 #: library's class holds no information separators.
 _WS = r"\t-\r \x85\xa0  -     　"
 PRE_TOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
-#: Distinct merged strings that a worker remembers between batches.
-REMEMBERED = 1 << 17
+#: Characters of the words that a worker remembers between batches, and what an entry adds to its word.
+REMEMBERED = 1 << 25
+ENTRY = 96
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -50,44 +53,102 @@ def whole_tokens(path: str) -> frozenset[str]:
     return frozenset(s for s, e in zip(spelled, proved) if s and len(e.ids) == 1)
 
 
+def merge_ranks(path: str) -> dict[bytes, int] | None:
+    """The rank of each vocabulary string, where merging by the rank of the result is proved to equal the library.
+
+    The library merges listed pairs only. Two tokens that join to a string of the vocabulary without being its
+    listed pair could part the two ways, but then the library, given that string alone, ends with these two; so
+    none exists where it gives one token for every string. None where that, or the order of ranks, does not hold.
+    """
+    from tokenizers import Tokenizer
+
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    tokenizer, of = Tokenizer.from_file(path), byte_alphabet()
+    pairs = [tuple(x.split(" ")) if isinstance(x, str) else tuple(x) for x in model["merges"]]
+    made = [a + b for a, b in pairs]
+    if len(set(made)) < len(made) or not set(of) <= set(model["vocab"]) or any(len(tokenizer.model.tokenize(x)) != 1 for x in made):
+        return None
+    spelled = [*sorted(of, key=of.get), *made]
+    return {bytes(of[c] for c in x): i for i, x in enumerate(spelled)}
+
+
 class Counting:
     """Counts tokens of texts; one for each worker process."""
 
-    def __init__(self, path: str, whole: frozenset[str]):
-        from tokenizers import Tokenizer
-
-        # tasks are the parallelism; threads of the library's own would each hold memory
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+    def __init__(self, path: str, whole: frozenset[str], ranks: dict[bytes, int] | None = None):
         with open(path, encoding="utf-8") as f:
-            added = [x["content"] for x in json.load(f)["added_tokens"]]
-        self.special = regex.compile("|".join(map(regex.escape, sorted(added, key=len, reverse=True)))) if added else None
+            self.added = [x["content"] for x in json.load(f)["added_tokens"]]
+        self.special = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True))))
         self.pieces = regex.compile(PRE_TOKEN)
+        if ranks is None:
+            from tokenizers import Tokenizer
+
+            # tasks are the parallelism; threads of the library's own would each hold memory
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            library = Tokenizer.from_file(path)
+            library.no_truncation()
+            library.no_padding()
+            self.merge = lambda x: len(library.encode(x, add_special_tokens=False))
+        else:
+            import tiktoken
+
+            merging = tiktoken.Encoding("merges", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+            self.merge = lambda x: len(merging.encode_ordinary(x))
+        self.blank_after = re.compile(f" [{_WS}]")
+        self.cut = re.compile(f" (?=[^{_WS}])")
         self.whole = whole
-        self.merged: dict[str, int] = {}
+        self.after: dict[str, int] = {}
+        self.held = 0
+
+    def words(self, part: str) -> list[str]:
+        """``part`` cut at blanks; joined by blanks they give it back.
+
+        A pre-token never runs from another character into a white space, and a blank before another character
+        starts one. So a cut before a blank changes no pre-token, but for a blank within a run of white space.
+        """
+        return self.cut.split(part) if self.blank_after.search(part) else part.split(" ")
+
+    def spelled(self, strings: list[str]) -> list[int]:
+        """Tokens of each string: whole tokens count one, merges for the rest, once a call."""
+        merged: dict[str, int] = {}
+        out = []
+        for s in strings:
+            found = self.pieces.findall(s)
+            n = 0
+            for x in found:
+                if x in self.whole:
+                    n += 1
+                else:
+                    if x not in merged:
+                        merged[x] = self.merge(x)
+                    n += merged[x]
+            out.append(n)
+        return out
 
     def counts(self, texts: list[str | None]) -> list[int]:
-        """Tokens of each text; whole tokens first, then merges for the strings that lack a count."""
-        direct, rest = [], []
+        """Tokens of each text; a word after a blank is counted once and remembered."""
+        if self.held > REMEMBERED:
+            self.after.clear()
+            self.held = 0
+        fixed, firsts, follow = [], [], []
         for text in texts:
-            n, others = 0, []
-            for part in self.special.split(text) if text and self.special else [text or ""]:
-                found = self.pieces.findall(part)
-                unknown = [x for x in found if x not in self.whole]
-                n += len(found) - len(unknown)
-                others += unknown
-            if text and self.special:
-                n += sum(1 for _ in self.special.finditer(text))
-            direct.append(n)
-            rest.append(others)
-        if len(self.merged) > REMEMBERED:
-            self.merged.clear()
-        lacking = list(set().union(*rest).difference(self.merged))
-        for s, e in zip(lacking, self.tokenizer.encode_batch_fast(lacking, add_special_tokens=False)):
-            self.merged[s] = len(e)
-        return [n + sum(map(self.merged.__getitem__, others)) for n, others in zip(direct, rest)]
+            parts = [text or ""]
+            if text and any(x in text for x in self.added):
+                parts = self.special.split(text)
+            fixed.append(len(parts) - 1)
+            heads, others = [], []
+            for part in parts:
+                head, *tail = self.words(part)
+                heads.append(head)
+                others += tail
+            firsts.append(heads)
+            follow.append(others)
+        lacking = list(set().union(*follow).difference(self.after))
+        self.after.update(zip(lacking, self.spelled([" " + x for x in lacking])))
+        self.held += sum(map(len, lacking)) + ENTRY * len(lacking)
+        first = iter(self.spelled([x for heads in firsts for x in heads]))
+        return [n + sum(next(first) for _ in heads) + sum(map(self.after.__getitem__, others)) for n, heads, others in zip(fixed, firsts, follow)]
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 1024, group: int = 64) -> DataFrame:
@@ -96,10 +157,10 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, group: int = 64)
     ``path`` is the tokenizer file, which every machine has in the same place. What is broadcast is
     bounded by the vocabulary.
     """
-    whole = docs.sparkSession.sparkContext.broadcast(whole_tokens(path))
+    proved = docs.sparkSession.sparkContext.broadcast((whole_tokens(path), merge_ranks(path)))
 
     def count(batches):
-        counting = Counting(path, whole.value)
+        counting = Counting(path, *proved.value)
         for batch in batches:
             texts, n = batch.column(1), []
             for at in range(0, len(texts), group):

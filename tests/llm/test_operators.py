@@ -114,6 +114,22 @@ def test_simhash_plan_misses_no_pair(spark, radius):
     assert all(len(x) == 1 for x in of.values()) and len({next(iter(x)) for x in of.values()}) == len(of)
 
 
+def test_tokens_of_white_space_and_words_remembered():
+    from tokenizers import Tokenizer
+
+    path = tokenizer("byte_bpe_50k.json")
+    rnd = random.Random(3)
+    parts = [" ", "  ", "\n", "\t", "\xa0", "\x1c", "\x85", "\u2003", "\u3000", "'s", "'", "a", "B", "1", "\u00e9", "<|endoftext|>", ".", "\U0001f600", "word", "\x00"]
+    texts = ["".join(rnd.choices(parts, k=rnd.randint(0, 14))) for _ in range(3000)] + [None, "q" * 50000]
+    library = Tokenizer.from_file(path)
+    want = [len(library.encode(t or "", add_special_tokens=False).ids) for t in texts]
+    whole, ranks = tokens.whole_tokens(path), tokens.merge_ranks(path)
+    assert ranks is not None
+    for given in (ranks, None):
+        counting = tokens.Counting(path, whole, given)
+        assert [n for i in range(0, len(texts), 64) for n in counting.counts(texts[i : i + 64])] == want
+
+
 def test_tokens(docs):
     from tokenizers import Tokenizer
 
