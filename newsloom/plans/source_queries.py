@@ -11,8 +11,6 @@ from newsloom.plans.page_queries import _BARE, _TEXT
 from newsloom.plans.registry import query
 from newsloom.sources import content, feeds, robots
 
-_AT = datetime(2001, 7, 1)
-
 
 def customer_feeds(spark, sf_dir):
     """Feeds of at most 40 customers each; every seventh has no title, every ninth no id, each eleventh feed breaks off, each thirteenth is empty."""
