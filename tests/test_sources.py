@@ -3,7 +3,7 @@
 import datetime
 
 from newsloom.sources import content, feeds, robots
-from newsloom.streaming.streak import streak_step
+from newsloom.streaming.streak import failure_streak_stream, streak_step
 from pyspark.sql import functions as F
 
 
@@ -38,3 +38,17 @@ def test_streak():
         now = streak_step(now, (next(at), category, code))
         seen.append(now)
     assert seen[2:] == [(3, "extraction_failed", 2), (4, "extraction_failed", 2), (5, "captcha", 4), (6, "captcha", 4), (0, None, None)]
+
+
+def test_streak_stream_equals_its_steps(spark, tmp_path):
+    start = datetime.datetime(2026, 1, 1)
+    kinds = [("extraction", "x"), ("blocked", "captcha"), ("extraction", "x"), ("extraction", "x"), ("ok", None), ("retry", "t")]
+    rows = [(i, i % 2, start + datetime.timedelta(minutes=i), *kinds[(i * i) % 6]) for i in range(20)]
+    schema = "id long, source_id long, finished_at timestamp, category string, error_code string"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    out = failure_streak_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+    out.writeStream.format("memory").queryName("streaks").option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start().awaitTermination(60)
+    want, now = {}, {0: (0, None, None), 1: (0, None, None)}
+    for i, source, at, category, code in rows:
+        want[i] = now[source] = streak_step(now[source], (at, category, code))
+    assert {r.id: (r.failures, r.reason, r.since) for r in spark.table("streaks").collect()} == want
