@@ -6,9 +6,11 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from newsloom.llm import pieces
+from newsloom.llm import pieces, turns
 from newsloom.llm.ann import nearest
+from newsloom.llm.common import stored
 from newsloom.llm.lm import score
 from newsloom.llm.packing import pack
 from newsloom.llm.pii import digest, find_pii
@@ -75,6 +77,29 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), path=tokenizer("byte_bpe_50k.json"))
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """``conv_id, turn, role, text`` with one turn in five dropped, emptied, cut, repeated or given to the user."""
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    how = F.crc32(F.concat_ws(":", blank("conv_id"), blank("turn")).cast("binary")) % 20
+    hurt = conversations.select("conv_id", "turn", blank("role").alias("role"), blank("text").alias("text"), how.alias("how")).where("how <> 0")
+    text = F.when(F.col("how") == 1, "").when(F.col("how") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    role = F.when(F.col("how") == 4, "user").otherwise(F.col("role"))
+    twice = F.explode(F.when(F.col("how") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    return hurt.select("conv_id", "turn", role.alias("role"), text.alias("text"), twice.alias("copy")).drop("copy")
+
+
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    rows = damaged(conversations)
+    told = stored(turns.audits(turns.judged(rows)), "turn-audits")
+    marks = turns.digests(turns.repaired(rows, told))
+    out = conversations.select(F.col("conv_id").alias("id")).distinct()
+    out = out.join(told, F.col("id").eqNullSafe(told.conv_id), "left").drop("conv_id")
+    out = out.join(marks, F.col("id").eqNullSafe(marks.conv_id), "left").drop("conv_id")
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", *turns.FAULTS, "illegal", "cost")]
+    return out.select(F.col("id").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -82,7 +107,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    each = (op1_substring_dedup, op2_lm_scoring, op3_token_counts, op4_simhash, op5_nearest_neighbours, op6_pii, op7_warc, op8_sentencepiece, op9_quality, op10_packing, pipeline)
+    each = (op1_substring_dedup, op2_lm_scoring, op3_token_counts, op4_simhash, op5_nearest_neighbours, op6_pii, op7_warc, op8_sentencepiece, op9_quality, op10_packing, op11_turn_repair, pipeline)
     return {f.__name__: f for f in each}
 
 
@@ -133,5 +158,63 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(chars AS BIGINT) AS word_chars
 FROM base
 """
 
+
+_CRC_ITEMS = "list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(k, ''), lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])))"
+_CRC = f"xor(list_reduce({_CRC_ITEMS}, lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END), 4294967295)"
+
+#: The edits as a walk over states (0 no role yet, 1 system, 2 user, 3 assistant) instead of an alignment. One insertion
+#: between two turns is enough: two of them cost 10 and lead back to the same role, or from no role where deleting is cheaper.
+OP11_SQL = f"""
+WITH RECURSIVE keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+hit AS (SELECT *, {_CRC} % 20 AS how FROM keyed),
+hurt AS (
+  SELECT conv_id, turn, CASE WHEN how = 4 THEN 'user' ELSE role END AS role, CASE WHEN how = 1 THEN '' WHEN how = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(CASE WHEN how = 3 THEN [0, 1] ELSE [0] END) AS n FROM hit WHERE how <> 0
+),
+seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, n) > 1 AS again, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS shown FROM hurt),
+told AS (
+  SELECT *, CASE WHEN shown = '' THEN 1 WHEN again THEN 2 WHEN right(shown, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+    CASE WHEN role = '' THEN ' ' ELSE left(role, 1) END AS i, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), again) AS pos
+  FROM seen
+),
+pairs AS (SELECT conv_id, i || lead(i) OVER (PARTITION BY conv_id ORDER BY pos) AS p FROM told),
+bad AS (SELECT conv_id, count(*) AS illegal FROM pairs WHERE p NOT IN ('su', 'ua', 'au') GROUP BY conv_id),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 1) AS blank,
+    count(*) FILTER (WHERE fault = 2) AS duplicate, count(*) FILTER (WHERE fault = 3) AS truncated, max(pos) AS n FROM told GROUP BY conv_id
+),
+moves(state, role, goes) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+walk AS (
+  SELECT conv_id, 0 AS pos, 0 AS state, {{'cost': 0, 'audit': '', 'said': CAST([] AS VARCHAR[])}} AS w FROM counts
+  UNION ALL
+  SELECT conv_id, pos, state, min(w) AS w FROM (
+    SELECT f.conv_id, t.pos, m.goes AS state, {{'cost': f.w.cost + m.cost, 'audit': f.w.audit || m.edit, 'said': list_concat(f.w.said, m.said)}} AS w
+    FROM (
+      SELECT conv_id, pos, state, w FROM walk
+      UNION ALL
+      SELECT conv_id, pos, goes, {{'cost': w.cost + 5, 'audit': w.audit || 'I', 'said': list_append(w.said, CASE role WHEN 'u' THEN 'user:' ELSE 'assistant:' END)}} FROM walk JOIN moves USING (state) WHERE role <> 's'
+    ) f JOIN told t ON t.conv_id IS NOT DISTINCT FROM f.conv_id AND t.pos = f.pos + 1
+    CROSS JOIN LATERAL (
+      SELECT f.state AS goes, 2 AS cost, 'D' AS edit, CAST([] AS VARCHAR[]) AS said
+      UNION ALL
+      SELECT goes, CASE WHEN t.i = role THEN 0 ELSE 1 END + CASE t.fault WHEN 3 THEN 5 ELSE 0 END, CASE WHEN t.i = role THEN 'K' ELSE 'R' END,
+        [CASE WHEN t.i = role THEN t.role WHEN role = 'u' THEN 'user' ELSE 'assistant' END || ':' || t.text]
+      FROM moves WHERE moves.state = f.state AND t.fault IN (0, 3) AND (role <> 's' OR t.i = 's')
+    ) m
+  ) GROUP BY conv_id, pos, state
+),
+last AS (
+  SELECT conv_id, min(w) AS w FROM (
+    SELECT w.conv_id, CASE WHEN w.state = 2 THEN {{'cost': w.w.cost + 5, 'audit': w.w.audit || 'I', 'said': list_append(w.w.said, 'assistant:')}} ELSE w.w END AS w
+    FROM walk w JOIN counts c ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND c.n = w.pos WHERE w.state IN (0, 2, 3)
+  ) GROUP BY conv_id
+)
+SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(last.w.cost, 0) AS BIGINT) AS cost, coalesce(last.w.audit, '') AS audit, sha256(coalesce(array_to_string(last.w.said, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN bad ON bad.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN last ON last.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op9_quality": OP9_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op9_quality": OP9_SQL, "op11_turn_repair": OP11_SQL}
