@@ -121,9 +121,9 @@ def row_chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES):
         at = to
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each word in ``data``, and the number of words of each row."""
-    inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
+def word_bounds(data: np.ndarray, offsets: np.ndarray, within: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each word in ``data``, and the number of words of each row; ``within`` tells for each byte whether words hold it."""
+    inside = ~((data == 32) | ((data >= 9) & (data <= 13))) if within is None else within[data]
     before = np.empty_like(inside)
     after = np.empty_like(inside)
     if len(inside):

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import pieces, turns
+from newsloom.llm import licenses, pieces, turns
 from newsloom.llm.ann import nearest
 from newsloom.llm.common import stored
 from newsloom.llm.lm import score
@@ -100,6 +100,10 @@ def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
 
 
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.find_licenses(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -107,7 +111,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    each = (op1_substring_dedup, op2_lm_scoring, op3_token_counts, op4_simhash, op5_nearest_neighbours, op6_pii, op7_warc, op8_sentencepiece, op9_quality, op10_packing, op11_turn_repair, pipeline)
+    each = (op1_substring_dedup, op2_lm_scoring, op3_token_counts, op4_simhash, op5_nearest_neighbours, op6_pii, op7_warc, op8_sentencepiece, op9_quality, op10_packing, op11_turn_repair, op13_license_scan, pipeline)
     return {f.__name__: f for f in each}
 
 
@@ -215,6 +219,45 @@ FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts ON counts.c
 LEFT JOIN bad ON bad.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN last ON last.conv_id IS NOT DISTINCT FROM o.conv_id
 """
 
+_NOTICE = " (released|licensed|distributed|available) under( the terms of)? the"
+_CC = " (released|licensed|distributed|available) under( a)?( the)?"
+_CC_VERSION = " (2 0|2 5|3 0|4 0) "
+_AS_IS_SQL = " the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall( [^ ]+){1,8} be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software "
+_BSD_SQL = " redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met( 1)? redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer( 2)? redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+_BSD_LAST = " this software is provided by( [^ ]+){1,12} as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed "
+_GPL_SQL = " this (program|library|software) is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version {} of the license or at your option any later version "
+#: The templates written as patterns over words joined by blanks.
+_PATTERNS = {
+    "mit-text": " permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice( including the next paragraph)? shall be included in all copies or substantial portions of the software" + _AS_IS_SQL,
+    "isc-text": " permission to use copy modify and( or)? distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies ",
+    "bsd-2-clause-text": _BSD_SQL + _BSD_LAST,
+    "bsd-3-clause-text": _BSD_SQL + "( 3)? neither the name of( [^ ]+){1,12} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission" + _BSD_LAST,
+    "apache-2.0-text": " licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at( http)?( https)? www apache org licenses license 2 0( html)?( txt)? unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied ",
+    "gpl-2.0-or-later-text": _GPL_SQL.format(2),
+    "gpl-3.0-or-later-text": _GPL_SQL.format(3),
+    "mit-notice": _NOTICE + " mit license ",
+    "apache-2.0-notice": _NOTICE + " apache license( version)? 2 0 ",
+    "gpl-2.0-notice": _NOTICE + " gnu general public license (version 2|v2) ",
+    "gpl-3.0-notice": _NOTICE + " gnu general public license (version 3|v3) ",
+    "cc-by-notice": _CC + " (cc by|creative commons attribution)" + _CC_VERSION,
+    "cc-by-sa-notice": _CC + " (cc by sa|creative commons attribution sharealike)" + _CC_VERSION,
+    "cc-by-nc-notice": _CC + " (cc by nc|creative commons attribution noncommercial)" + _CC_VERSION,
+    "rights-reserved": " copyright( c)?( [^ ]+){1,12} all rights reserved ",
+}
+_METHOD = ", ".join(f"CASE WHEN regexp_matches(t, '{p}') THEN '{k}' END" for k, p in _PATTERNS.items())
+_BASES = "list_concat(list_transform(list_filter(ix, lambda i: w[i] = 'mit' AND w[i + 1] = 'license'), lambda i: {'p': i - 1, 'l': 'mit'}), list_transform(list_filter(ix, lambda i: w[i] = 'apache' AND w[i + 1] = 'license'), lambda i: {'p': i - 1, 'l': 'apache'}), list_transform(list_filter(ix, lambda i: w[i] = 'general' AND w[i + 1] = 'public' AND w[i + 2] = 'license'), lambda i: {'p': i - 1, 'l': 'gpl'}))"
+
+OP13_SQL = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT doc_id, w, range(1, len(w) + 1) AS ix, ' ' || array_to_string(w, ' ') || ' ' AS t FROM d),
+m AS (SELECT doc_id, len(w) AS n, {_BASES} AS b, list_filter([{_METHOD}], lambda x: x IS NOT NULL) AS own FROM t)
+SELECT doc_id, n AS n_words, len(b) AS n_base, list_min(list_transform(b, lambda x: x.p)) AS first_word, list_max(list_transform(b, lambda x: x.p)) AS last_word,
+  array_to_string(list_sort(list_distinct(list_transform(b, lambda x: x.l))), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(own, list_transform(b, lambda x: x.l)))), ',') AS labels,
+  CASE WHEN len(own) > 0 THEN 1.0::DOUBLE WHEN len(b) > 0 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS score
+FROM m
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op9_quality": OP9_SQL, "op11_turn_repair": OP11_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op9_quality": OP9_SQL, "op11_turn_repair": OP11_SQL, "op13_license_scan": OP13_SQL}
