@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import licenses, pieces, turns
+from newsloom.llm import crosstok, licenses, pieces, turns
 from newsloom.llm.ann import nearest
 from newsloom.llm.common import stored
 from newsloom.llm.lm import score
@@ -100,6 +100,10 @@ def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
 
 
+def op12_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosstok.align(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
 def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.find_licenses(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -111,7 +115,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    each = (op1_substring_dedup, op2_lm_scoring, op3_token_counts, op4_simhash, op5_nearest_neighbours, op6_pii, op7_warc, op8_sentencepiece, op9_quality, op10_packing, op11_turn_repair, op13_license_scan, pipeline)
+    each = (op1_substring_dedup, op2_lm_scoring, op3_token_counts, op4_simhash, op5_nearest_neighbours, op6_pii, op7_warc, op8_sentencepiece, op9_quality, op10_packing, op11_turn_repair, op12_cross_tokenizer, op13_license_scan, pipeline)
     return {f.__name__: f for f in each}
 
 
