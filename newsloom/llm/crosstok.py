@@ -40,9 +40,11 @@ from newsloom.llm.lm import packed, unpacked
 from newsloom.llm.pieces import MARK, Model, joined
 from newsloom.llm.tokens import _WS, PRE_TOKEN, byte_alphabet, merge_ranks
 
-CHUNK = 16 << 20
+CHUNK = 8 << 20
 #: Units that a worker remembers, and characters of them, before it starts anew.
-REMEMBERED, CHARACTERS = 1 << 19, 1 << 25
+REMEMBERED, CHARACTERS = 1 << 18, 1 << 23
+#: Units that are encoded and aligned at once.
+TOGETHER = 1 << 15
 #: White space with what follows it, going on over white space other than blanks and line ends.
 UNIT = re.compile(f"[{_WS}]*[^{_WS}]+(?:(?![ \\n])[{_WS}]+[^{_WS}]+)*|[{_WS}]+")
 
@@ -165,13 +167,18 @@ class Units(dict):
             self._forget()
 
     def learn(self) -> None:
-        """Encode and align the units met since the last call, all of them in one product."""
-        if not self.new:
-            return
-        ids, sizes, n, wrong = [], [], [], np.zeros(len(self.new), np.int64)
-        whole = [x.encode() for x in self.new]
+        """Encode and align the units met since the last call."""
+        for low in range(0, len(self.new), TOGETHER):
+            self._learn(self.new[low : low + TOGETHER])
+        self.held += sum(map(len, self.new))
+        self.new = []
+
+    def _learn(self, units: list[str]) -> None:
+        """Encode and align ``units``, all of them in one product."""
+        ids, sizes, n, wrong = [], [], [], np.zeros(len(units), np.int64)
+        whole = [x.encode() for x in units]
         # texts that hold the mark itself are spelled with blanks in their place
-        for spelled, size, told in zip((self.a.spelled, self.b.spelled), self.sizes, ([self.a.encode(x) for x in self.new], self.b.encode(self.new))):
+        for spelled, size, told in zip((self.a.spelled, self.b.spelled), self.sizes, ([self.a.encode(x) for x in units], self.b.encode(units))):
             wrong |= np.fromiter((b"".join(map(spelled.__getitem__, x)) != w for x, w in zip(told, whole)), bool, len(whole))
             told = [x if not bad else [] for x, bad in zip(told, wrong)]
             n.append(np.fromiter(map(len, told), np.int64, len(told)))
@@ -194,8 +201,6 @@ class Units(dict):
         self.counts = np.hstack([self.counts, np.stack([n[0], n[1], n_groups, links, summed(together), wrong])])
         self.pairs = np.concatenate([self.pairs, ids[0][rows] << 32 | ids[1][columns]])
         self._write(ids, of_a, of_b, n_groups)
-        self.held += sum(map(len, self.new))
-        self.new = []
 
     def _write(self, ids: list[np.ndarray], of_a: Incidence, of_b: Incidence, n_groups: np.ndarray) -> None:
         """The groups of each unit as text."""
@@ -240,9 +245,9 @@ def align(docs: DataFrame, path_a: str, path_b: str, keep: tuple[str, ...] = ("d
                 codes, n = codes[np.repeat(~bad, n)], np.where(bad, 0, n)
                 bounds = np.concatenate([[0], np.cumsum(n)])
                 totals = [np.diff(np.concatenate([[0], np.cumsum(x[codes])])[bounds]) for x in units.counts[:5]]
-                marks, groups, listed = [], units.groups, codes.tolist()
+                marks, groups = [], units.groups
                 for at, to in zip(bounds.tolist(), bounds[1:].tolist()):
-                    marks.append(hashlib.sha256(";".join([groups[c] for c in listed[at:to]]).encode()).hexdigest() if to > at else "")
+                    marks.append(hashlib.sha256(";".join([groups[c] for c in codes[at:to].tolist()]).encode()).hexdigest() if to > at else "")
                 used, codes, times = np.unique(codes, return_inverse=True, return_counts=True)
                 flat, links = joined(units.pairs, units.counts[3], used)
                 pairs, places = np.unique(flat, return_inverse=True)
