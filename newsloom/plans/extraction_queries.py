@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from newsloom.operators.outputs import validate_model_output as validate
 from newsloom.plans import adapters as T
 from newsloom.plans.registry import query
 from newsloom.sources import fields as E
+from newsloom.sources import structured as J
 from newsloom.sources import tree
 
 #: What the pages of the given tables hold besides letters: three names of characters.
@@ -38,3 +40,77 @@ def read_fields(spark, sf_dir):
     rules = spark.createDataFrame([("page", *r) for r in _RULES], "scope string, field string, selector string, read string, attr string")
     of = lambda c: F.col("values")[c]
     return E.read_fields(trees, rules).select("page_id", of("title").alias("title"), F.sha2(of("content"), 256).alias("content_sha256"), *[of(c).alias(c) for c in ("lang", "ad", "first", "nothing", "unseen")])
+
+
+_LD = """'<script type="application/ld+json">' || CASE page_id % 6
+  WHEN 0 THEN '{"@type": "NewsArticle", "url": ' || u || ', "headline": ' || t || '}'
+  WHEN 1 THEN '{"@graph": [{"@type": "WebPage", "url": ' || u || '}, {"@type": ["Thing", "Article"], "@id": ' || u || ', "name": ' || t || ', "author": {"name": "A. B."}}]}'
+  WHEN 2 THEN '[{"@type": "Article", "headline": ' || t || ', "isAccessibleForFree": false}]'
+  WHEN 3 THEN '{"@type": "Article", "headline": "one"}</script><script type="application/ld+json">{"@type": "Event", "name": "two"}'
+  WHEN 4 THEN '{"@type": "Article", "url": ' || u || ', "url": ' || u || '}'
+  ELSE '{"@type": "Person", "name": "C"}' END || '</script>'"""
+_HEADLINE = "regexp_extract(html, '<h1>(.*?)</h1>', 1{0})"
+
+
+def _with_structured(spark, sf_dir):
+    """The given pages with structured data about them in their heads, one kind after another."""
+    pages = T.read(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "#.*$", "").alias("url"), "html")
+    quoted = lambda c: F.to_json(F.array(c)).substr(F.lit(2), F.length(F.to_json(F.array(c))) - 2)
+    made = pages.select("*", quoted(F.col("url")).alias("u"), quoted(F.regexp_extract("html", "<h1>(.*?)</h1>", 1)).alias("t"))
+    return made.select("page_id", "url", F.concat(F.expr(_LD), F.col("html")).alias("html"))
+
+
+_LD_SQL = f"""WITH b AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS url, {_HEADLINE.format(", 's'")} AS h FROM pages), p AS (SELECT *, to_json(url) AS u, to_json(h) AS t FROM b),
+s AS (SELECT page_id, url, unnest(regexp_extract_all({_LD}, '<script[^>]*>(.*?)</script>', 1, 's')) AS body FROM p),
+k AS (SELECT page_id, url, body, CAST(body AS JSON) AS j, body LIKE '%"url"%"url"%' AND body NOT LIKE '%@graph%' AS twice FROM s),
+e AS (SELECT page_id, url, twice, unnest(CASE WHEN json_type(j) = 'ARRAY' THEN CAST(j AS JSON[]) WHEN (j->'@graph') IS NOT NULL THEN CAST((j->'@graph') AS JSON[]) ELSE [j] END) AS e FROM k),
+w AS (SELECT page_id, url, twice, e FROM e WHERE (e->>'@type') IN ('Article', 'NewsArticle', 'Event') OR (json_type(e->'@type') = 'ARRAY' AND list_has_any(CAST((e->'@type') AS VARCHAR[]), ['Article', 'NewsArticle', 'Event']))),
+g AS (SELECT page_id, bool_or(twice) AS twice, count(*) AS n, count(*) FILTER (WHERE coalesce((e->>'url'), (e->>'@id')) = url) AS m, bool_and((e->>'url') IS NULL AND (e->>'@id') IS NULL) AS bare, arg_max(e, coalesce(coalesce((e->>'url'), (e->>'@id')) = url, false)) AS e FROM w GROUP BY page_id),
+r AS (SELECT pages.page_id, CASE WHEN g.page_id IS NULL OR twice OR NOT (m = 1 OR (m = 0 AND n = 1 AND bare)) THEN 'invalid_article' WHEN (e->>'isAccessibleForFree') = 'false' THEN 'paywall' END AS error, e FROM pages LEFT JOIN g ON g.page_id = pages.page_id)
+SELECT page_id, error, CASE WHEN error IS NULL THEN nullif(trim(e->>'headline'), '') END AS headline, CASE WHEN error IS NULL THEN nullif(trim(e->>'name'), '') END AS name, CASE WHEN error IS NULL THEN ((e->'author')->>'name') END AS author FROM r"""
+
+
+@query(_LD_SQL)
+def jsonld_article(spark, sf_dir):
+    pages = _with_structured(spark, sf_dir)
+    clean = tree.clean_page(tree.page_trees(pages))
+    found = J.jsonld_article(pages, clean, {"headline": "headline", "name": "name", "author": "author.name"})
+    return found.select("page_id", "error", *[F.col("values")[c].alias(c) for c in ("headline", "name", "author")])
+
+
+#: Answers as a model gives them about each event, right and wrong in nine ways, as one expression of both dialects.
+_ANSWER = """CASE event_id % 10
+  WHEN 0 THEN '{"sentiment": "positive", "score": ' || s || ', "reason": "' || event_type || '"}'
+  WHEN 1 THEN '```json\n{"score": ' || s || ', "sentiment": "neutral", "reason": ""}\n```'
+  WHEN 2 THEN '{"sentiment": "' || event_type || '", "score": 0.5, "reason": "x"}'
+  WHEN 3 THEN '{"sentiment": "negative", "score": -0.5}'
+  WHEN 4 THEN '{"sentiment": "negative", "score": 0, "reason": "x", "more": [1]}'
+  WHEN 5 THEN '{"sentiment": "negative", "score": 0, "reason": "x", "score": ' || s || '}'
+  WHEN 6 THEN '{"sentiment": "negative", "score": "0", "reason": null}'
+  WHEN 7 THEN 'The ' || event_type || ' is positive.'
+  WHEN 8 THEN '[' || s || ']'
+  ELSE '   ' END"""
+_SCORE = "CAST(CAST(floor(value) AS INTEGER) % 5 - 2 AS VARCHAR)"
+_FAILED = "{{'path': '{0}', 'code': '{1}'}}"
+
+
+@query(
+    f"""WITH a AS (SELECT event_id, {_ANSWER} AS t FROM (SELECT event_id, event_type, {_SCORE} AS s FROM events)),
+b AS (SELECT event_id, CASE WHEN trim(t) = '' THEN 'empty' WHEN NOT json_valid(regexp_replace(t, '^```[^\\n]*\\n|\\n```$', '', 'g')) THEN 'json' END AS w, regexp_replace(t, '^```[^\\n]*\\n|\\n```$', '', 'g') AS t FROM a),
+j AS (SELECT event_id, w, CASE WHEN w IS NULL THEN CAST(t AS JSON) END AS j FROM b),
+k AS (SELECT event_id, w, j, json_type(j) = 'OBJECT' AS o, CASE WHEN json_type(j) = 'OBJECT' THEN json_keys(j) END AS keys FROM j),
+f AS (SELECT event_id, list_sort(list_filter([
+  CASE WHEN w IS NOT NULL THEN {{'path': '$', 'code': w}} END,
+  CASE WHEN NOT o THEN {_FAILED.format("$", "type")} END,
+  CASE WHEN o AND len(keys) > len(list_distinct(keys)) THEN {_FAILED.format("$", "duplicate_key")} END,
+  CASE WHEN o AND list_sort(list_distinct(keys)) <> ['reason', 'score', 'sentiment'] THEN {_FAILED.format("$", "keys")} END,
+  CASE WHEN o AND (j->>'sentiment') NOT IN ('positive', 'negative', 'neutral') THEN {_FAILED.format("$.sentiment", "choice")} END,
+  CASE WHEN o AND len(list_filter(keys, lambda x: x = 'score')) > 0 AND (json_type(j->'score') = 'VARCHAR' OR NOT coalesce(TRY_CAST((j->>'score') AS DOUBLE) BETWEEN -1 AND 1, false) OR (len(keys) > 3 AND TRY_CAST(regexp_extract(CAST(j AS VARCHAR), 'score": *(-?\\d+)\\}}$', 1) AS DOUBLE) NOT BETWEEN -1 AND 1)) THEN {_FAILED.format("$.score", "range")} END,
+  CASE WHEN o AND list_contains(keys, 'reason') AND json_type(j->'reason') <> 'VARCHAR' THEN {_FAILED.format("$.reason", "text")} END], lambda x: x IS NOT NULL)) AS f FROM k)
+SELECT event_id AS output_id, len(f) = 0 AS valid, array_to_string(list_transform(f, lambda x: x.path || ' ' || x.code), '; ') AS failures FROM f"""
+)
+def validate_model_output(spark, sf_dir):
+    events = T.read(spark, sf_dir, "events").select("event_id", "event_type", F.expr(_SCORE.replace("VARCHAR", "STRING")).alias("s"))
+    answers = events.select(F.col("event_id").alias("output_id"), F.lit("sentiment").alias("task"), F.expr(_ANSWER).alias("text"))
+    told = validate(answers)
+    return told.select("output_id", "valid", F.array_join(F.transform("failures", lambda f: F.concat_ws(" ", f.path, f.code)), "; ").alias("failures"))
