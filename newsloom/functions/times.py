@@ -20,7 +20,7 @@ def is_stale(last: Column, every_minutes: Column, as_of: datetime) -> Column:
     return F.coalesce(moment(as_of) - last >= F.make_dt_interval(mins=every_minutes.cast("int")), F.lit(True))
 
 
-def parse_date(text: Column, zone: str | None = None) -> Column:
+def parse_date(text: Column, zone: Column | str | None = None) -> Column:
     """ISO 8601 or RFC 822 text as a timestamp.
 
     A time without an offset counts only where a ``zone`` is declared and the local time exists there and

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from newsloom.functions.scratch import with_checkpoints
 from newsloom.functions.text import name_keys
 
 #: Content levels, best last.
@@ -100,19 +100,16 @@ def coverage_diff(expected: DataFrame, found: DataFrame, keys: list[str]) -> Dat
     return a.join(b, keys, "full_outer").select(*keys, verdict.alias("verdict"))
 
 
-def _with_checkpoints(spark: SparkSession) -> None:
-    """Checkpoints go to the folder that the cluster names; only where it names none, to a new one."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="spark-checkpoints-"))
+#: Rounds that a search for components may take; chains of 2^63 nodes need fewer.
+MOST_ROUNDS = 64
 
 
 def _components(edges: DataFrame) -> DataFrame:
     """``node, root``: smallest node that each node of ``edges (a, b)`` reaches; each round halves the way at least for chains."""
-    _with_checkpoints(edges.sparkSession)
+    with_checkpoints(edges.sparkSession)
     both = edges.union(edges.select("b", "a")).toDF("node", "other").distinct().checkpoint()
     roots = both.groupBy("node").agg(F.least(F.min("node"), F.min("other")).alias("root"))
-    while True:
+    for _ in range(MOST_ROUNDS):
         near = both.join(roots.select(F.col("node").alias("other"), F.col("root").alias("seen")), "other").groupBy("node").agg(F.min("seen").alias("seen"))
         low = roots.join(near, "node").select("node", "root", F.least("root", "seen").alias("low"))
         jump = roots.select(F.col("node").alias("low"), F.col("root").alias("far"))
@@ -120,6 +117,7 @@ def _components(edges: DataFrame) -> DataFrame:
         roots = step.select("node", F.col("next").alias("root"))
         if not step.where("moved").limit(1).count():
             return roots
+    raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")
 
 
 def duplicate_companies(companies: DataFrame) -> DataFrame:

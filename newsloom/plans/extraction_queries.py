@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from newsloom.operators.outputs import validate_model_output as validate
 from newsloom.plans import adapters as T
 from newsloom.plans.registry import query
+from newsloom.sources import extraction as R
 from newsloom.sources import fields as E
+from newsloom.sources import pages as P
 from newsloom.sources import structured as J
 from newsloom.sources import tree
 
@@ -114,3 +118,52 @@ def validate_model_output(spark, sf_dir):
     answers = events.select(F.col("event_id").alias("output_id"), F.lit("sentiment").alias("task"), F.expr(_ANSWER).alias("text"))
     told = validate(answers)
     return told.select("output_id", "valid", F.array_join(F.transform("failures", lambda f: F.concat_ws(" ", f.path, f.code)), "; ").alias("failures"))
+
+
+_FIELD = {"selector": "h1", "read": "text"}
+_LINK = {"selector": "a", "read": "attr", "attr": "href"}
+
+
+def _recipes_of(pages):
+    """A list page of each host with a card for each of its pages, and the recipe that reads them."""
+    url = P.canonical_url(F.col("url"))
+    held = pages.select("page_id", url.alias("url"), F.regexp_extract("html", "<h1>(.*?)</h1>", 1).alias("title"), F.regexp_extract(url, "^[a-z]+://([^/?#]+)", 1).alias("host"), F.col("url").alias("href"))
+    cards = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", "href", "title"))), lambda c: F.concat(F.lit('<article><a href="'), F.regexp_replace(c.href, "&", "&amp;"), F.lit('">'), c.title, F.lit("</a></article>"))), "")
+    lists = held.groupBy("host").agg((-F.min("page_id") - 1).alias("page_id"), cards.alias("html"))
+    listed = lists.select("page_id", F.concat(F.lit("https://"), "host", F.lit("/")).alias("url"), F.col("html"))
+    fields = {"title": {"selector": "a", "read": "text"}, "url": _LINK}
+    detail = {"title": _FIELD, "content": {"selector": "article", "read": "paragraphs"}}
+    form = json.dumps({"source_id": 1, "locale": "unknown", "list_pages": [{"url": "https://@@/", "item_selector": "article", "fields": fields}], "detail_templates": [{"match": {"host": "@@", "path_prefix": "/"}, "fields": detail}]})
+    return lists.select(F.col("host").alias("recipe_id"), F.replace(F.lit(form), F.lit("@@"), F.col("host")).alias("document")), listed.unionByName(pages.select("page_id", "url", "html"))
+
+
+_CANON = "regexp_replace(url, '#.*$', '')"
+_HEAD = _PLAIN.format("regexp_extract(html, '<h1>(.*?)</h1>', 1, 's')")
+_TELLS = "list_filter(regexp_extract_all(lower(title), '[\\p{L}\\p{N}_]+'), lambda w: length(w) > 2 AND w NOT IN ('the', 'and', 'with', 'for', 'les', 'des', 'une', 'dans', 'pour', 'sur', 'avec'))"
+_EXTRACT_SQL = f"""WITH p AS (SELECT page_id, {_CANON} AS url, {_HEAD} AS title, {_PARTS} AS parts, regexp_extract(url, '://([^/?#]+)', 1) AS host FROM pages),
+t AS (SELECT *, array_to_string(parts, chr(10) || chr(10)) AS content, {_TELLS} AS tells, row_number() OVER (PARTITION BY host ORDER BY page_id) AS n FROM p),
+m AS (SELECT *, len(parts) > 0 AND len(list_distinct(list_transform(parts, lambda x: lower(x)))) >= 0.8 * len(parts) AND (len(tells) = 0 OR len(list_filter(tells, lambda w: contains(lower(content), w))) > 0) AS fits,
+  row_number() OVER (PARTITION BY host, url ORDER BY page_id) AS again FROM t)
+SELECT host AS recipe_id, url, CASE WHEN n > 200 THEN 'dropped' WHEN title = '' THEN 'rejected' WHEN again > 1 THEN 'duplicate' ELSE 'article' END AS outcome, title,
+  CASE WHEN n <= 200 AND title <> '' AND again = 1 AND fits THEN sha256(content) END AS content_sha256,
+  CASE WHEN n > 200 OR title = '' OR again > 1 THEN NULL WHEN NOT fits THEN 'metadata_only' WHEN length(content) >= 200 AND len(parts) >= 2 THEN 'full' ELSE 'excerpt' END AS content_level,
+  CASE WHEN n > 200 THEN 'resource_limit' WHEN title = '' THEN 'missing_fields' WHEN again = 1 AND len(parts) = 0 THEN 'missing_fields' WHEN again = 1 AND NOT fits THEN 'low_quality' ELSE '' END AS errors FROM m"""
+
+
+@query(_EXTRACT_SQL)
+def recipe_extract(spark, sf_dir):
+    recipes, pages = _recipes_of(T.read(spark, sf_dir, "pages"))
+    items, _ = R.recipe_extract(recipes, pages)
+    return items.select("recipe_id", "url", "outcome", "title", F.sha2("content", 256).alias("content_sha256"), "content_level", F.array_join("errors", ",").alias("errors"))
+
+
+@query(
+    f"""WITH x AS ({_EXTRACT_SQL}), c AS (SELECT recipe_id, count(*) AS discovered, count(*) FILTER (WHERE outcome <> 'dropped') AS extracted, count(*) FILTER (WHERE outcome IN ('article', 'duplicate')) AS valid, count(*) FILTER (WHERE outcome = 'rejected') AS rejected,
+  count(*) FILTER (WHERE outcome = 'duplicate') AS duplicate, list_distinct(list_filter(list(errors), lambda e: e <> '')) AS codes FROM x GROUP BY recipe_id),
+d AS (SELECT *, list_sort(list_distinct(CASE WHEN extracted > 0 AND valid < 0.9 * extracted THEN list_append(codes, 'low_quality') ELSE codes END)) AS told FROM c)
+SELECT recipe_id, CASE WHEN valid > duplicate THEN CASE WHEN len(told) = 0 THEN 'ready' WHEN told = ['low_quality'] THEN 'degraded' ELSE 'partial' END ELSE 'failed' END AS status, discovered, extracted, valid, rejected, duplicate, array_to_string(told, ',') AS codes FROM d"""
+)
+def run_report(spark, sf_dir):
+    recipes, pages = _recipes_of(T.read(spark, sf_dir, "pages"))
+    told = R.run_report(*R.recipe_extract(recipes, pages))
+    return told.select("recipe_id", "status", "discovered", "extracted", "valid", "rejected", "duplicate", F.array_join(F.transform("errors", lambda e: e.code), ",").alias("codes"))

@@ -109,7 +109,8 @@ def select(trees: DataFrame, rules: DataFrame) -> DataFrame:
 def read_fields(trees: DataFrame, rules: DataFrame) -> DataFrame:
     """``page_id, scope, item, values, error`` for each item of each page.
 
-    ``rules`` have ``scope, field, selector, read, attr``, with ``read`` of ``text``, ``paragraphs`` or ``attr``. A rule for
+    ``rules`` have ``scope, field, selector, read, attr``, with ``read`` of ``text``, ``paragraphs``, ``attr`` or ``noise`` (a
+    value where links hold over 35 % of the characters). A rule for
     ``ITEM`` makes its matches the items of its pages, else the page is the one item 0; a field is the first match inside its
     item. Matches of ``REMOVE`` are not read. A list page without items has no rows. Values beyond the limits, or too many items, make the error ``resource_limit``.
     """
@@ -134,6 +135,8 @@ def read_fields(trees: DataFrame, rules: DataFrame) -> DataFrame:
     text = seen_text(part)
     paragraphs = F.filter(F.transform(F.filter(part, lambda n: (n.tag == "p") & ~n.hidden), lambda p: seen_text(subtree(F.col("nodes"), p))), lambda p: p != "")
     value = F.when(F.col("read.read") == "attr", F.try_element_at(F.get("nodes", F.col("at.pre")).attrs, F.col("read.attr")))
+    links = F.aggregate(F.filter(part, lambda n: (n.tag == "a") & ~n.hidden), F.lit(0), lambda a, n: a + F.length(seen_text(subtree(F.col("nodes"), n))))
+    value = value.when(F.col("read.read") == "noise", F.when(links > F.length(text) * 0.35, "noisy"))
     value = value.when((F.col("read.read") == "paragraphs") & (F.size(paragraphs) > 0), F.array_join(paragraphs, "\n\n")).otherwise(text)
     values = rows.select("page_id", "scope", "item", "many", F.col("read.field").alias("field"), F.nullif(F.btrim(F.when(F.col("at").isNotNull(), value)), F.lit("")).alias("value"))
     size = F.coalesce(F.octet_length("value"), F.lit(0))
