@@ -46,7 +46,7 @@ def _stage(code: Column) -> Column:
     return F.when(code.isin(*ACCESS, "redirect_limit"), "transport").when(code.isin("low_quality", "no_evidence"), "quality").otherwise("extraction")
 
 
-def list_chains(lists: DataFrame, links: DataFrame, pages: DataFrame) -> DataFrame:
+def list_chains(lists: DataFrame, links: DataFrame, pages: DataFrame, rounds: int = MOST_PAGES) -> DataFrame:
     """``recipe_id, list, page, page_id, url, code``: the list pages of each recipe in the order of their next links.
 
     A page that was not captured ends its chain with ``no_evidence``, one seen before with ``redirect_limit``. ``links`` are
@@ -56,7 +56,7 @@ def list_chains(lists: DataFrame, links: DataFrame, pages: DataFrame) -> DataFra
     captured = pages.select("page_id", "url")
     now = lists.select("recipe_id", "list", "most", canonical_url(F.col("url")).alias("url"), F.array().cast("array<string>").alias("seen"))
     out = None
-    for page in range(MOST_PAGES):
+    for page in range(rounds):
         allowed = F.coalesce(F.col("url").isNotNull(), F.lit(False))
         met = now.join(captured, "url", "left")
         code = F.when(~allowed, "unsafe_url").when(F.array_contains("seen", F.col("url")), "redirect_limit").when(F.col("page_id").isNull(), "no_evidence")
@@ -93,8 +93,10 @@ def recipe_extract(recipes: DataFrame, pages: DataFrame) -> tuple[DataFrame, Dat
     near = captured.where("error is null").join(hosts, "host").join(paged.select("recipe_id", "list", "scope"), "recipe_id").select("page_id", "url", "recipe_id", "list", "scope")
     next_rules = paged.select("scope", F.lit("next").alias("field"), F.col("l.pagination.selector").alias("selector"), F.lit("attr").alias("read"), F.lit("href").alias("attr"))
     told = read_fields(near.select("page_id", "scope").join(trees.select("page_id", "nodes"), "page_id"), next_rules)
-    links = told.select("page_id", "scope", F.col("values")["next"].alias("next")).join(near, ["page_id", "scope"]).select("recipe_id", "list", "page_id", resolve_url(F.col("url"), F.col("next")).alias("next"))
-    chains = kept(list_chains(lists, links.where("next is not null"), captured))
+    links = told.select("page_id", "scope", F.col("values")["next"].alias("next")).join(near, ["page_id", "scope"]).select("recipe_id", "list", "page_id", resolve_url(F.col("url"), F.col("next")).alias("next")).where("next is not null")
+    longest = min(lists.agg(F.max("most")).first()[0] or 1, MOST_PAGES)
+    # small rows, written once, as every round reads them
+    chains = kept(list_chains(lists, kept(links) if longest > 1 else links, captured.select("page_id", "url"), longest))
 
     walked = chains.where("code is null").join(lists.select("recipe_id", "list", "scope"), ["recipe_id", "list"]).join(captured.select("page_id", "error"), "page_id")
     item_rules = _rules(lists, F.col("l.fields")).unionByName(lists.select("scope", F.lit(ITEM).alias("field"), F.col("l.item_selector").alias("selector"), F.lit("text").alias("read"), F.lit(None).cast("string").alias("attr")))
