@@ -347,6 +347,18 @@ def near_enough(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(text("a", "x"), "a").join(there, "b").select("a", "b", "x", "y").mapInArrow(judge, "a binary, b binary")
 
 
+def spanning(links: DataFrame) -> DataFrame:
+    """``a, b``: fewer links with the same components. A node keeps the link to its least neighbour, which takes over its
+    other ones; drawn members are neighbours of many nodes, so these fall together.
+
+    A node has at most ``DRAWN`` neighbours for each band, so its set is bounded.
+    """
+    held = links.groupBy("a").agg(F.collect_set("b").alias("several"))
+    least = F.array_min("several")
+    moved = F.concat(F.array(F.struct("a", least.alias("b"))), F.transform("several", lambda x: F.struct(x.alias("a"), least.alias("b"))))
+    return held.select(F.explode(moved).alias("x")).select("x.a", "x.b").where("a <> b").distinct()
+
+
 def near_groups(nodes: DataFrame) -> DataFrame:
     """``node, root`` of ``nodes`` (distinct ``key``, ``bands``, ``text``) that link to another, directly or by others.
 
@@ -361,7 +373,7 @@ def near_groups(nodes: DataFrame) -> DataFrame:
     ends = stored(held.groupBy("value").agg(*drawn).select("value", some.alias("some")), "near-copies-drawn")
     met = held.join(ends, "value").select(F.col("key").alias("a"), F.explode("some").alias("b")).where("a <> b")
     pairs = stored(met.distinct(), "near-copies-first")
-    links = stored(near_enough(pairs, nodes), "near-copies-links")
+    links = stored(spanning(near_enough(pairs, nodes)), "near-copies-links")
     groups = components(links, "a", "b")
 
     known = nodes.select("key", "bands").join(held.select("key").distinct(), "key", "left_semi").join(groups.select(F.col("node").alias("key"), "root"), "key", "left")
