@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions.scratch import with_checkpoints
@@ -42,9 +41,43 @@ def upsert_articles(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     return told.withColumn("source_failed", failed)
 
 
+#: What an article keeps from before where the new row says nothing, and what a better body makes void.
+KEPT = ("author", "image_url", "published_at")
+VOID = ("content_zh", "content_en", "insight_zh", "insight_en", "summary_fr", "summary_zh", "summary_en")
+
+
+def merged_articles(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """The rows, new and updated, that an upsert leaves, in the columns of ``stored``, with their ``action``.
+
+    An update takes title, content, level and language from the new row, keeps author, image and date where that has none, and
+    voids what was made from the old body: it is not processed, translations and summaries go, translated titles too if the
+    title differs. Rows of sources with a conflict change nothing. A new row has no ``id`` yet; other columns of it are null.
+    """
+    told = upsert_articles(stored, incoming).where("not source_failed and action in ('new', 'updated')").select("source_id", "external_id", "stored_id", "action")
+    old = stored.select(F.col("id").alias("stored_id"), F.struct(*stored.columns).alias("old"))
+    new = incoming.select("source_id", "external_id", F.struct(*incoming.columns).alias("new"))
+    both = told.join(new, ["source_id", "external_id"]).join(old, "stored_id", "left")
+
+    def column(c: str) -> Column:
+        given = F.col(f"new.{c}") if c in incoming.columns else F.lit(None)
+        if c in ("id", "external_id"):
+            return F.col(f"old.{c}") if c == "id" else F.coalesce(F.col("old.external_id"), given)
+        if c == "processed":
+            return F.lit(False)
+        if c in KEPT:
+            return F.coalesce(given, F.col(f"old.{c}"))
+        if c in VOID:
+            return F.lit(None)
+        if c in ("title_zh", "title_en"):
+            return F.when(F.col("old.title").eqNullSafe(F.col("new.title")), F.col(f"old.{c}"))
+        return given if c in incoming.columns else F.col(f"old.{c}")
+
+    return both.select(*[column(f.name).cast(f.dataType).alias(f.name) for f in stored.schema], "action")
+
+
 def resolved(pairs: DataFrame, most: int = 40) -> DataFrame:
     """``target_id, duplicate_id`` with targets that are no duplicates themselves; the way halves each round."""
-    _with_checkpoints(pairs.sparkSession)
+    with_checkpoints(pairs.sparkSession)
     at = pairs.select("target_id", "duplicate_id").where("target_id <> duplicate_id").checkpoint()
     for _ in range(most):
         onward = at.select(F.col("duplicate_id").alias("target_id"), F.col("target_id").alias("further"))
