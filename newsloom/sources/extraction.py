@@ -212,3 +212,61 @@ def run_report(items: DataFrame, page_errors: DataFrame, recent: DataFrame | Non
     without = F.when(any_(lambda c: c.isin(*ACCESS)), "blocked").when(any_(lambda c: c != "no_evidence"), "failed").otherwise("inconclusive")
     errors = F.transform("codes", lambda c: F.struct(_stage(c).alias("stage"), c.alias("code")))
     return both.select("recipe_id", F.when(F.col("articles") > 0, with_articles).otherwise(without).alias("status"), *names[:5], errors.alias("errors"))
+
+
+def extraction_report(items: DataFrame, page_errors: DataFrame, samples: int = 5, most: int = 1000) -> DataFrame:
+    """``run_report`` with ``levels`` (articles by content level), the first ``samples`` articles (``title, url, excerpt, truncated, content_level``)
+    and ``samples_truncated``. An excerpt has at most ``most`` characters."""
+    articles = items.where("outcome = 'article'")
+    content = F.coalesce("content", F.lit(""))
+    row = F.struct("list", "page", "item", "title", "url", F.substring(content, 1, most).alias("excerpt"), (F.length(content) > most).alias("truncated"), "content_level")
+    first = articles.withColumn("n", F.row_number().over(Window.partitionBy("recipe_id").orderBy("list", "page", "item"))).where(F.col("n") <= samples)
+    shown = first.groupBy("recipe_id").agg(F.transform(F.array_sort(F.collect_list(row)), lambda r: F.struct(*[r[c].alias(c) for c in ("title", "url", "excerpt", "truncated", "content_level")])).alias("samples"))
+    levels = articles.groupBy("recipe_id", "content_level").count().groupBy("recipe_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("content_level", "count")))).alias("levels"), F.sum("count").alias("n"))
+    told = run_report(items, page_errors).join(levels, "recipe_id", "left").join(shown, "recipe_id", "left")
+    return told.withColumn("samples_truncated", F.coalesce(F.col("n") > samples, F.lit(False))).drop("n")
+
+
+def holdout_check(base: DataFrame, candidate: DataFrame, pages: DataFrame) -> DataFrame:
+    """``recipe_id, status, reason, details``: whether a candidate's recipe reads the same pages as well as it must.
+
+    ``base`` and ``candidate`` have ``recipe_id, document``. The base recipe without templates gives the inventory: under three
+    articles, a run that is not ready, or an article whose page was not captured is ``inconclusive``. The candidate has to read exactly
+    these articles, each in full from the page that it leads to by the template that fits; each of its lists and templates has to be used,
+    lists with next links beyond their first page. All recipes are judged at once.
+    """
+    spec = F.from_json("document", _SPEC)
+    bare = base.select("recipe_id", F.to_json(spec.dropFields("detail_templates")).alias("document"))
+    inventory, inventory_errors = recipe_extract(bare, pages)
+    found, found_errors = recipe_extract(candidate, pages)
+    captured = pages.select(canonical_url(F.col("url")).alias("url")).distinct().withColumn("captured", F.lit(True))
+    expected = inventory.where("outcome = 'article'").select("recipe_id", "url").join(captured, "url", "left")
+    first = expected.groupBy("recipe_id").agg(F.count("*").alias("details"), F.bool_and(F.coalesce("captured", F.lit(False))).alias("held"))
+    of_base = run_report(inventory, inventory_errors).select("recipe_id", F.col("status").alias("base_status"))
+    of_candidate = run_report(found, found_errors).select("recipe_id", F.col("status").alias("own_status"))
+
+    articles = found.where("outcome = 'article'").join(captured, "url", "left")
+    origin = F.get(F.filter("provenance", lambda p: p.field == "content"), F.lit(0)).locator
+    template = F.regexp_extract(origin, r":detail:(\d+):content\z", 1)
+    own = F.startswith(origin, F.concat(F.lit("doc:"), F.sha2("url", 256), F.lit(":detail:")))
+    judged = articles.select("recipe_id", "url", "list", "page", (F.col("captured") & (F.col("content_level") == "full")).alias("full"), F.coalesce(own, F.lit(False)).alias("own"), F.nullif(template, F.lit("")).cast("int").alias("template"))
+    each = judged.groupBy("recipe_id").agg(F.bool_and(F.coalesce("full", F.lit(False))).alias("full"), F.bool_and("own").alias("own"), F.count_distinct("template").alias("templates"))
+    same = expected.select("recipe_id", "url").withColumn("e", F.lit(True)).join(judged.select("recipe_id", "url").withColumn("f", F.lit(True)), ["recipe_id", "url"], "full_outer").groupBy("recipe_id").agg(F.bool_and(F.col("e").isNotNull() & F.col("f").isNotNull()).alias("same"))
+    lists = candidate.select("recipe_id", F.posexplode(spec["list_pages"]).alias("list", "l")).select("recipe_id", "list", F.col("l.pagination").isNotNull().alias("paged"))
+    used = lists.join(judged.groupBy("recipe_id", "list").agg(F.max("page").alias("last")), ["recipe_id", "list"], "left").groupBy("recipe_id").agg(F.bool_and(F.col("last").isNotNull() & (~F.col("paged") | (F.col("last") >= 1))).alias("lists"))
+    wanted = candidate.select("recipe_id", F.coalesce(F.size(spec["detail_templates"]), F.lit(0)).alias("n_templates"))
+    both = wanted
+    for other in (of_base, of_candidate, first, each, same, used):
+        both = both.join(other, "recipe_id", "left")
+    lacking = (F.coalesce("base_status", F.lit("")) != "ready") | (F.coalesce("details", F.lit(0)) < 3) | ~F.coalesce("held", F.lit(False))
+    reason = (
+        F.when(lacking, "insufficient_independent_details")
+        .when(~F.coalesce("full", F.lit(False)), "detail_quality_failed")
+        .when(~F.coalesce("own", F.lit(False)), "detail_provenance_failed")
+        .when((F.coalesce("own_status", F.lit("")) != "ready") | ~F.coalesce("same", F.lit(False)), "inventory_or_template_coverage_failed")
+        .when(~F.coalesce("lists", F.lit(False)), "insufficient_list_coverage")
+        .when(F.coalesce("templates", F.lit(0)) != F.greatest("n_templates", F.lit(0)), "insufficient_template_coverage")
+        .otherwise("controlled_holdout_checks_passed")
+    )
+    status = F.when(reason.startswith("insufficient"), "inconclusive").when(reason == "controlled_holdout_checks_passed", "passed").otherwise("failed")
+    return both.select("recipe_id", status.alias("status"), reason.alias("reason"), F.coalesce("details", F.lit(0)).alias("details"))
