@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.functions.times import moment
+
 #: Lengths of anchors in bytes, each twice the one before.
 ANCHORS = (1, 2, 4, 8, 16)
 #: The bit table has this many bits (a power of two): its size does not depend on how many keywords there are.
@@ -127,7 +129,7 @@ def keyword_matches(subscriptions: DataFrame, articles: DataFrame, columns: tupl
     With ``as_of``, only articles that were crawled (``crawled_at``) in the ``hours`` before it count. Users join last.
     """
     if as_of is not None:
-        articles = articles.where(F.col("crawled_at") >= F.lit(as_of) - F.make_interval(hours=F.lit(hours)))
+        articles = articles.where(F.col("crawled_at") >= moment(as_of) - F.make_interval(hours=F.lit(hours)))
     subs = subscriptions.where(F.length("keyword") > 0).select("user_id", "subscription_id", F.lower("keyword").alias("word"), F.col("keyword"))
     anchored = _anchored(subs.select("word").distinct())
     texts = articles.select("article_id", F.explode(F.array(*columns)).alias("body")).where(F.length("body") > 0).select("article_id", F.lower("body").alias("body"))

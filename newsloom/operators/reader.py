@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions.times import moment
@@ -98,21 +98,23 @@ def article_document() -> Column:
     return api_document(plain | {"published_at": time, "llm_processed": F.col("processed"), "content_level": unknown("content_level"), "source_language": unknown("source_language")})
 
 
-def daily_digest(articles: DataFrame, subscribers: DataFrame, as_of: datetime, hours: int = 24, languages: tuple[str, ...] = ("zh", "fr", "en")) -> DataFrame:
-    """``user_id, n_articles, top, rest`` of each active subscriber who wants the digest, none if there is no article.
+def daily_digest(articles: DataFrame, as_of: datetime, hours: int = 24, languages: tuple[str, ...] = ("zh", "fr", "en")) -> DataFrame:
+    """``language, section, rank, id, title``: the articles of a day in each language, once, whoever reads them.
 
-    ``top`` has the scored articles by score and time, ``rest`` the others by time, each as ``id, title``
-    in the reader's language. The day's articles are put in order once for each language, of which there
-    are few, and readers join on theirs.
+    Section ``top`` has the scored articles by score and time, ``rest`` the others by time.
     """
     recent = articles.where((F.col("crawled_at") >= moment(as_of - timedelta(hours=hours))) & (F.col("crawled_at") <= moment(as_of)))
-    scored = recent.withColumn("score", highlight_score(F.col("highlights")))
+    scored = recent.withColumn("score", highlight_score(F.col("highlights"))).withColumn("section", F.when(F.col("score") > 0, "top").otherwise("rest"))
+    order = Window.partitionBy("section").orderBy(F.desc("score"), F.desc("published_at"), F.desc("id"))
+    ranked = scored.withColumn("rank", F.row_number().over(order))
+    told = ranked.withColumn("language", F.explode(F.array(*map(F.lit, languages))))
+    return told.select("language", "section", "rank", "id", localized("title", F.col("language")).alias("title"))
+
+
+def digest_readers(digest: DataFrame, subscribers: DataFrame) -> DataFrame:
+    """``user_id, language, n_articles`` of each active subscriber who wants the digest, none if there is no article in the reader's language."""
     wanted = subscribers.where("is_active and wants_digest").select("user_id", F.coalesce("language", F.lit("zh")).alias("language"))
-    told = scored.withColumn("language", F.explode(F.array(*map(F.lit, languages)))).withColumn("title", localized("title", F.col("language")))
-    item = F.struct((-F.col("score")).alias("a"), (-F.unix_micros("published_at")).alias("b"), (-F.col("id")).alias("c"), "id", "title")
-    listed = lambda keep: F.transform(F.array_sort(F.collect_list(F.when(keep, item))), lambda x: F.struct(x["id"].alias("id"), x["title"].alias("title")))
-    by = told.groupBy("language").agg(F.count("*").alias("n_articles"), listed(F.col("score") > 0).alias("top"), listed(F.col("score") == 0).alias("rest"))
-    return wanted.join(by, "language").drop("language")
+    return wanted.join(digest.groupBy("language").agg(F.count("*").alias("n_articles")), "language").select("user_id", "language", "n_articles")
 
 
 def dashboard(articles: DataFrame, companies: DataFrame, sources: DataFrame, usage: DataFrame, as_of: datetime) -> DataFrame:

@@ -9,7 +9,7 @@ from newsloom.operators import articles as A
 from newsloom.operators import companies as C
 from newsloom.operators import monitoring as M
 from newsloom.plans import adapters as T
-from newsloom.plans import entity_queries, extraction_queries, history_queries, page_queries, reader_queries, source_queries  # noqa: F401 - they register their queries
+from newsloom.plans import audit_queries, entity_queries, extraction_queries, history_queries, page_queries, reader_queries, source_queries  # noqa: F401 - they register their queries
 from newsloom.plans.adapters import AS_OF, RUNS_AS_OF, with_tables
 from newsloom.plans.registry import QUERIES, SQL, query  # noqa: F401
 from newsloom.streaming.usage import usage_windows

@@ -96,21 +96,31 @@ def api_documents(spark, sf_dir):
     return rows.select("id", R.article_document().alias("document"))
 
 
-@query(
+_DIGEST = (
     with_tables("articles")
     + """, a AS (SELECT *, coalesce(list_max(list_transform(highlights, lambda t: CASE t WHEN 'tech_breakthrough' THEN 4 WHEN 'local_research' THEN 3 WHEN 'investment' THEN 2 WHEN 'local_event' THEN 1 ELSE 0 END)), 0) AS score
   FROM articles WHERE published_at BETWEEN TIMESTAMP '2001-07-25' AND TIMESTAMP '2001-08-01'),
-t AS (SELECT language, a.*, CASE WHEN language = 'zh' AND id % 2 = 0 THEN 'z' || id ELSE 'f' || id END AS title FROM a, (SELECT unnest(['zh', 'en', 'fr']) AS language)),
-d AS (SELECT language, count(*) AS n_articles, coalesce(string_agg(id || ' ' || title, ',' ORDER BY score DESC, published_at DESC, id DESC) FILTER (score > 0), '') AS top,
-  coalesce(string_agg(id || ' ' || title, ',' ORDER BY published_at DESC, id DESC) FILTER (score = 0), '') AS rest FROM t GROUP BY language)
-SELECT c_custkey AS user_id, n_articles, top, rest FROM customer JOIN d ON language = CASE c_custkey % 4 WHEN 1 THEN 'en' WHEN 2 THEN 'fr' ELSE 'zh' END WHERE c_custkey % 3 <> 0 AND c_custkey % 5 <> 0"""
+d AS (SELECT language, CASE WHEN score > 0 THEN 'top' ELSE 'rest' END AS section, CAST(row_number() OVER (PARTITION BY language, score > 0 ORDER BY score DESC, published_at DESC, id DESC) AS INTEGER) AS rank,
+  id, CASE WHEN language = 'zh' AND id % 2 = 0 THEN 'z' || id ELSE 'f' || id END AS title FROM a, (SELECT unnest(['zh', 'en', 'fr']) AS language))"""
 )
+
+
+@query(_DIGEST + " SELECT * FROM d")
 def daily_digest(spark, sf_dir):
-    k, a = F.col("c_custkey"), F.col("id")
-    readers = T.read(spark, sf_dir, "customer").select(k.alias("user_id"), (k % 3 != 0).alias("is_active"), (k % 5 != 0).alias("wants_digest"), F.when(k % 4 == 1, "en").when(k % 4 == 2, "fr").when(k % 4 == 3, "zh").alias("language"))
+    a = F.col("id")
     articles = T.articles(spark, sf_dir).withColumns({"crawled_at": F.col("published_at"), "title_fr": F.concat(F.lit("f"), a), "title_zh": F.when(a % 2 == 0, F.concat(F.lit("z"), a)), "title_en": F.lit("")})
-    told = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(" ", x["id"], x["title"])), ",").alias(c)
-    return R.daily_digest(articles, readers, AS_OF, hours=168).select("user_id", "n_articles", told("top"), told("rest"))
+    return R.daily_digest(articles, AS_OF, hours=168)
+
+
+@query(
+    _DIGEST
+    + """, n AS (SELECT language, count(*) AS n_articles FROM d GROUP BY language)
+SELECT c_custkey AS user_id, language, n_articles FROM customer JOIN n ON language = CASE c_custkey % 4 WHEN 1 THEN 'en' WHEN 2 THEN 'fr' ELSE 'zh' END WHERE c_custkey % 3 <> 0 AND c_custkey % 5 <> 0"""
+)
+def digest_readers(spark, sf_dir):
+    k = F.col("c_custkey")
+    readers = T.read(spark, sf_dir, "customer").select(k.alias("user_id"), (k % 3 != 0).alias("is_active"), (k % 5 != 0).alias("wants_digest"), F.when(k % 4 == 1, "en").when(k % 4 == 2, "fr").when(k % 4 == 3, "zh").alias("language"))
+    return R.digest_readers(daily_digest(spark, sf_dir), readers)
 
 
 @query(

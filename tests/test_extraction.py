@@ -270,3 +270,29 @@ def test_recipe_item_limit(spark):
     items, _ = extraction.recipe_extract(spark.createDataFrame([(1, json.dumps(recipe(detail_templates=[])))], "recipe_id long, document string"), pages)
     counts = {r.outcome: r["count"] for r in items.groupBy("outcome").count().collect()}
     assert counts == {"article": 200, "dropped": 10}
+
+
+def test_holdout_and_report(spark):
+    names = ("alpha", "beta", "gamma")
+    captured = {"https://e.org/list": "".join(card(f"{n.title()} rises", f"/n/{n}") for n in names) + "<a class=next href='/list2'>x</a>", "https://e.org/list2": card("Delta rises", "/m/delta")}
+    captured |= {f"https://e.org/{'m' if n == 'delta' else 'n'}/{n}": detail(f"{n.title()} rises", f"{n.title()} has risen") for n in (*names, "delta")}
+    pages = spark.createDataFrame([(i, u, b) for i, (u, b) in enumerate(captured.items())], "page_id long, url string, html string").repartition(3)
+    template = recipe()["detail_templates"][0]
+    both = [template, template | {"match": {"host": "e.org", "path_prefix": "/m/"}}]
+    plain = recipe(detail_templates=[])
+    one_page = recipe(detail_templates=both, list_pages__0__pagination__max_pages=1)
+    made = {
+        1: (plain, recipe(detail_templates=both), ("passed", "controlled_holdout_checks_passed")),
+        2: (plain, recipe(), ("failed", "detail_quality_failed")),
+        3: (plain, one_page, ("failed", "inventory_or_template_coverage_failed")),
+        4: (plain, recipe(detail_templates=[*both, template | {"match": {"host": "e.org", "path_prefix": "/z/"}}]), ("inconclusive", "insufficient_template_coverage")),
+        5: (recipe(list_pages__0__url="https://gone.org/"), recipe(detail_templates=both), ("inconclusive", "insufficient_independent_details")),
+    }
+    base, candidate = (spark.createDataFrame([(k, json.dumps(v[i])) for k, v in made.items()], "recipe_id long, document string") for i in (0, 1))
+    got = {r.recipe_id: (r.status, r.reason) for r in extraction.holdout_check(base, candidate, pages).collect()}
+    assert got == {k: v[2] for k, v in made.items()}
+
+    items, errors = extraction.recipe_extract(candidate.where("recipe_id = 1"), pages)
+    [told] = extraction.extraction_report(items, errors, samples=3, most=20).collect()
+    assert (told.status, told.levels, told.samples_truncated) == ("ready", {"full": 4}, True)
+    assert [(s.title, s.excerpt, s.truncated) for s in told.samples] == [(f"{n.title()} rises", f"{n.title()} has risen and enough"[:20], True) for n in names]
