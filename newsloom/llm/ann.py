@@ -32,6 +32,8 @@ from newsloom.llm.common import stored
 
 #: Rows of a shard: the least, the most, and between them this many times the square root of all rows.
 LEAST_ROWS, MOST_ROWS, ROOT_ROWS = 4096, 65536, 32
+#: Bytes of the vectors of a shard as doubles; with the graph it stays far below the 2 GB that one value may have.
+MOST_BYTES = 1 << 29
 LINKS = 16
 NEAREST = 96
 BEAM = 128
@@ -195,7 +197,8 @@ def search_index(index: DataFrame, queries: DataFrame, k: int = 20, beam: int =
 
     def look(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):  # one at a time, as each holds a whole shard
+                [row] = batch.slice(i, 1).to_pylist()
                 dim, sizes = row["dim"], row["layers"]
                 cut = np.cumsum(sizes)[:-1]
                 nodes = np.split(np.frombuffer(row["nodes"], np.int32), cut)
@@ -216,11 +219,13 @@ def search_index(index: DataFrame, queries: DataFrame, k: int = 20, beam: int =
                         out[2] += [s] * len(mine)
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["query_id", "vec_id", "score"])
 
-    n = queries.count()
-    blocks = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(-(-n // block) or 1)).cast("int"))
-    blocks = blocks.groupBy("dim", "block").agg(F.collect_list(F.struct("query_id", "v")).alias("queries"))
-    pairs = index.join(blocks, "dim")
-    met = pairs.repartition(F.col("shard"), F.col("block")).mapInArrow(look, "query_id long, vec_id long, score double")
+    blocks = -(-queries.count() // block) or 1
+    shards = (index.agg(F.max("shard")).first()[0] or 0) + 1
+    held = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).groupBy("dim", "block").agg(F.collect_list(F.struct("query_id", "v")).alias("queries"))
+    # each side is dealt by shard and block, so that no key has more than one shard and one block of queries
+    there = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    asked = held.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
+    met = there.join(asked, ["dim", "shard", "block"]).mapInArrow(look, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -230,7 +235,9 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, shard_rows: int |
     rows = usable(vectors)
     distinct = stored(distinct_vectors(rows, k), "ann-vectors")
     n = distinct.count()
-    shards = max(1, -(-n // (shard_rows or min(MOST_ROWS, max(LEAST_ROWS, int(ROOT_ROWS * n**0.5))))))
+    widest = distinct.agg(F.max("dim")).first()[0] or 1
+    most = max(1, min(MOST_ROWS, MOST_BYTES // (8 * widest)))
+    shards = max(1, -(-n // (shard_rows or min(most, max(LEAST_ROWS, int(ROOT_ROWS * n**0.5))))))
     index = stored(build_index(distinct, shards), "ann-index")
     queries = rows.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min(F.struct("dim", "v")).alias("q"))
     return search_index(index, stored(queries.select("query_id", "q.dim", "q.v"), "ann-queries"), k, beam)

@@ -16,13 +16,12 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import shared_dir, stored
+from newsloom.llm.common import scratch, shared_dir, stored
 
 MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
@@ -202,6 +201,6 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 def round_trip(pages: DataFrame) -> DataFrame:
     """Write a record per page, read the archives back."""
     spark = pages.sparkSession
-    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = scratch(spark, "warc")
     write_warc(typed(pages), path)
     return read_warc(spark, path)
