@@ -14,6 +14,7 @@ from newsloom.sources import fields as E
 from newsloom.sources import pages as P
 from newsloom.sources import structured as J
 from newsloom.sources import tree
+from newsloom.sources.recipes import recipe_check as check
 
 #: What the pages of the given tables hold besides letters: three names of characters.
 _DECODED = "replace(replace(replace({0}, '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
@@ -167,3 +168,28 @@ def run_report(spark, sf_dir):
     recipes, pages = _recipes_of(T.read(spark, sf_dir, "pages"))
     told = R.run_report(*R.recipe_extract(recipes, pages))
     return told.select("recipe_id", "status", "discovered", "extracted", "valid", "rejected", "duplicate", F.array_join(F.transform("errors", lambda e: e.code), ",").alias("codes"))
+
+
+#: A recipe for each page, sound or broken in one of seven ways, as one expression of both dialects; its checks are read from the text again.
+_RECIPE = """'{"format_version": 1, "output_contract": "article.v1", "target_kind": "news", "source_id": ' || page_id || ', "locale": "' || lang || '", "transport": "http", "identity_policy": "legacy-compatible-url-v1", '
+  || CASE WHEN page_id % 8 = 3 THEN '"more": 1, ' WHEN page_id % 8 = 5 THEN '"locale": "fr", ' ELSE '' END
+  || '"list_pages": [{"url": "' || CASE WHEN page_id % 8 = 1 THEN 'ftp://' ELSE '' END || url || '", "item_selector": "' || CASE WHEN page_id % 8 = 7 THEN 'a:hover' ELSE 'article > p' END
+  || '", "fields": {"title": {"selector": "h2", "read": "text"}, "url": {"selector": "a", "read": "attr"' || CASE WHEN page_id % 8 = 4 THEN '' ELSE ', "attr": "href"' END
+  || '}}, "pagination": {"kind": "next_link", "selector": "a.next", "max_pages": ' || (page_id % 12) || '}}]' || CASE WHEN page_id % 8 = 6 THEN '' ELSE '}' END"""
+_LANG = "regexp_extract(html, '<html lang=\"([^\"]*)\"', 1)"
+
+
+@query(
+    f"""WITH d AS (SELECT page_id AS recipe_id, {_RECIPE} AS t FROM (SELECT page_id, url, {_LANG} AS lang FROM pages)),
+j AS (SELECT recipe_id, t, json_valid(t) AS ok, CASE WHEN json_valid(t) THEN CAST(t AS JSON) END AS j FROM d), k AS (SELECT *, json_keys(j) AS keys, json_extract(j, '$.list_pages[0]') AS l FROM j),
+f AS (SELECT recipe_id, unnest([CASE WHEN NOT ok THEN 'invalid_json $' END, CASE WHEN len(keys) > len(list_distinct(keys)) THEN 'duplicate_key $' END,
+  CASE WHEN len(list_filter(list_distinct(keys), lambda x: x NOT IN ('format_version', 'output_contract', 'target_kind', 'source_id', 'locale', 'transport', 'identity_policy', 'list_pages'))) > 0 THEN 'invalid_fields $' END,
+  CASE WHEN json_extract(j, '$.source_id')::BIGINT < 1 THEN 'invalid_integer $.source_id' END, CASE WHEN json_extract(l, '$.pagination.max_pages')::BIGINT NOT BETWEEN 1 AND 10 THEN 'invalid_integer $.list_pages[0].pagination.max_pages' END,
+  CASE WHEN NOT regexp_matches(json_extract_string(l, '$.url'), '^https?://[^/?#@ ]+') THEN 'invalid_url $.list_pages[0].url' END, CASE WHEN contains(json_extract_string(l, '$.item_selector'), ':') THEN 'invalid_selector $.list_pages[0].item_selector' END,
+  CASE WHEN json_extract_string(l, '$.fields.url.read') = 'attr' AND json_extract_string(l, '$.fields.url.attr') IS NULL THEN 'unsupported_value $.list_pages[0].fields.url.attr' END]) AS f FROM k)
+SELECT recipe_id, f AS failure FROM f WHERE f IS NOT NULL"""
+)
+def recipe_check(spark, sf_dir):
+    pages = T.read(spark, sf_dir, "pages").select("page_id", "url", F.regexp_extract("html", '<html lang="([^"]*)"', 1).alias("lang"))
+    told = check(pages.select(F.col("page_id").alias("recipe_id"), F.expr(_RECIPE).alias("document")))
+    return told.select("recipe_id", F.concat_ws(" ", "code", "path").alias("failure"))
