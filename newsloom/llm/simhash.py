@@ -273,6 +273,10 @@ _PICKS = stream(21, BANDS * ROWS) | np.uint64(1)
 _BAND_MARKS = stream(22, BANDS)
 
 
+#: Bits of a set's sketch, a power of two: a bit is set where one of the set's hashes begins with its number.
+SKETCH = 1024
+
+
 #: Members of a value, drawn by hash, that the first round compares with each other member.
 DRAWN = 16
 
@@ -298,21 +302,40 @@ def band_values(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def sketched(hashes: np.ndarray) -> tuple[int, list[int]]:
+    """The size of a set and its sketch, as longs."""
+    bits = np.zeros(SKETCH, np.uint8)
+    bits[hashes >> np.uint64(65 - SKETCH.bit_length())] = 1
+    return len(hashes), np.packbits(bits).view(np.int64).tolist()
+
+
+def may_be_near(a: Column, b: Column) -> Column:
+    """Whether two sets, by ``size`` and ``sketch``, can have cosine ``STAGE_COSINE`` or more; never false for two that have.
+
+    Each bit that one sketch lacks of the other stands for a hash that the sets do not share.
+    """
+    lacks = lambda x, y: F.aggregate(F.zip_with(x.sketch, y.sketch, lambda u, v: F.bit_count(u.bitwiseAND(F.bitwise_not(v)))), F.lit(0), lambda n, m: n + m)
+    most = F.least(a["size"] - lacks(a, b), b["size"] - lacks(b, a))
+    return most >= STAGE_COSINE * F.sqrt(a["size"].cast("double") * b["size"])
+
+
 def with_bands(rows: DataFrame, group: int = 256) -> DataFrame:
-    """``rows`` (with a ``text``) with ``key``, equal for texts of equal words, and ``bands``; a text without words has none."""
+    """``rows`` (with a ``text``) with ``key``, equal for texts of equal words, ``bands`` and ``sketch`` (size and bits of the set); a text without words has no bands."""
     names = rows.columns
-    out = T.StructType([*rows.schema.fields, T.StructField("key", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    out = T.StructType([*rows.schema.fields, T.StructField("key", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.StructType([T.StructField("size", T.IntegerType()), T.StructField("sketch", T.ArrayType(T.LongType()))]))])
+    told = pa.struct([("size", pa.int32()), ("sketch", pa.list_(pa.int64()))])
 
     def mark(batches):
         for batch in batches:
-            texts, keys, bands = batch.column(names.index("text")), [], []
+            texts, keys, bands, sketches = batch.column(names.index("text")), [], [], []
             for at in range(0, len(texts), group):
                 made = [shingle_set(t.as_py()) for t in texts.slice(at, group)]
                 keys += [k for k, _ in made]
                 full = [s for _, s in made if len(s)]
                 found = iter(band_values(full).view(np.int64) if full else ())
                 bands += [next(found) if len(s) else [] for _, s in made]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], [*names, "key", "bands"])
+                sketches += [dict(zip(("size", "sketch"), sketched(s))) for _, s in made]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, told)], [*names, "key", "bands", "sketch"])
 
     return rows.mapInArrow(mark, out)
 
@@ -360,10 +383,10 @@ def spanning(links: DataFrame) -> DataFrame:
 
 
 def near_groups(nodes: DataFrame) -> DataFrame:
-    """``node, root`` of ``nodes`` (distinct ``key``, ``bands``, ``text``) that link to another, directly or by others.
+    """``node, root`` of ``nodes`` (distinct ``key``, ``bands``, ``sketch``, ``text``) that link to another, directly or by others.
 
     A first round compares each node with ``DRAWN`` members of each value that it has; a second,
-    complete one compares the nodes of a value that are in different groups.
+    complete one compares the nodes of a value that are in different groups, but for pairs that their sketches rule out.
     """
     held = nodes.select("key", F.explode("bands").alias("value"))
     several = stored(held.groupBy("value").agg(F.count("*").alias("n")).where("n > 1").select("value"), "near-copies-values")
@@ -383,11 +406,13 @@ def near_groups(nodes: DataFrame) -> DataFrame:
     mixed_values = sizes.groupBy("value").agg(F.max(F.struct("c", "root")).alias("m"), F.count("*").alias("roots")).where("roots > 1")
     mixed_values = stored(mixed_values.select("value", F.col("m.root").alias("top")), "near-copies-mixed")
     # of two nodes in different groups, one at least is outside the value's largest group
-    side = lambda df, s: df.select("value", F.col("key").alias(s), F.col("root").alias(f"root_{s}"), F.col("bands").alias(f"bands_{s}"))
-    q = stored(side(known.join(mixed_values, "value").where("root <> top"), "a"), "near-copies-open")
+    side = lambda df, s: df.select("value", F.col("key").alias(s), F.col("root").alias(f"root_{s}"), F.col("bands").alias(f"bands_{s}"), F.col("sketch").alias(f"sketch_{s}"))
+    known = stored(known.join(mixed_values, "value").join(nodes.select("key", "sketch"), "key"), "near-copies-mixed-roots")
+    q = stored(side(known.where("root <> top"), "a"), "near-copies-open")
     # a pair that shares several values is met at the least of them
     here = F.array_min(F.array_intersect("bands_a", "bands_b")) == F.col("value")
-    rest = q.join(side(known, "b"), "value").where((F.col("root_a") != F.col("root_b")) & here).select("a", "b")
+    able = may_be_near(F.col("sketch_a"), F.col("sketch_b"))
+    rest = q.join(side(known, "b"), "value").where((F.col("root_a") != F.col("root_b")) & here & able).select("a", "b")
     tried = pairs.union(pairs.select("b", "a"))
     rest = rest.join(tried, ["a", "b"], "left_anti").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = near_enough(stored(rest, "near-copies-second"), nodes)
@@ -404,7 +429,7 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     n = partitions(docs.sparkSession)
     marked = with_bands(aside(docs).withColumn("at", F.monotonically_increasing_id()))
     order = F.struct(F.col("row.doc_id").isNull().alias("none"), F.col("row.doc_id").alias("doc_id"), F.col("at"))
-    best = F.min_by(F.struct(order.alias("order"), "row", "text", "bands"), order)
+    best = F.min_by(F.struct(order.alias("order"), "row", "text", "bands", "sketch"), order)
     nodes = bucketed(marked.groupBy("key").agg(best.alias("best")).select("key", "best.*").repartition(n, "key"), n, ["key"], "near_copies")
     groups = stored(near_groups(nodes), "near-copies-groups")
     first = groups.join(nodes.select(F.col("key").alias("node"), "order"), "node").groupBy("root").agg(F.min(F.struct("order", "node")).alias("first"))

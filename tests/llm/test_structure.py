@@ -254,3 +254,34 @@ def test_license_wording(spark):
 def test_bad_markup(bad):
     with pytest.raises(ValueError):
         licenses.Automaton({"x": (bad,)})
+
+
+def test_sketches_rule_out_no_near_pair(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from newsloom.llm import simhash
+
+    rnd = np.random.default_rng(3)
+    rows, near = [], []
+    for n in (0, 1, 3, 40, 300, 5000):
+        for _ in range(30):
+            a = rnd.integers(0, 1 << 63, n).astype(np.uint64)
+            b = np.concatenate([a[: int(n * rnd.uniform(0.5, 1))], rnd.integers(0, 1 << 63, int(n * rnd.uniform(0, 0.6))).astype(np.uint64)])
+            near.append(len(a) > 0 and len(b) > 0 and len(np.intersect1d(a, b)) >= simhash.STAGE_COSINE * np.sqrt(len(a) * len(b)))
+            rows.append((len(rows), simhash.sketched(np.unique(a)), simhash.sketched(np.unique(b))))
+    kind = "struct<size:int,sketch:array<bigint>>"
+    table = spark.createDataFrame(rows, f"i int, a {kind}, b {kind}").select("i", simhash.may_be_near(F.col("a"), F.col("b")).alias("able"))
+    able = {r.i: r.able for r in table.collect()}
+    assert any(near) and all(able[i] for i, x in enumerate(near) if x)
+    assert not all(able.values())
+
+
+def test_spanning_keeps_components(spark):
+    from newsloom.llm import simhash
+    from newsloom.llm.graph import components
+
+    rnd = random.Random(1)
+    links = spark.createDataFrame([(a, b) for a, b in ((rnd.randint(0, 300), rnd.randint(0, 40)) for _ in range(260)) if a != b], "a long, b long").distinct()
+    groups = lambda x: sorted(tuple(r) for r in components(x, "a", "b").collect())
+    assert groups(simhash.spanning(links)) == groups(links)
