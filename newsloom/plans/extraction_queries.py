@@ -16,8 +16,10 @@ from newsloom.sources import structured as J
 from newsloom.sources import tree
 from newsloom.sources.recipes import recipe_check as check
 
-#: What the pages of the given tables hold besides letters: three names of characters.
-_DECODED = "replace(replace(replace({0}, '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+#: Names of characters that the pages of the given tables may hold; that of the ampersand is read last.
+_DECODED = "{0}"
+for _name, _character in (("copy", "©"), ("middot", "·"), ("quot", '"'), ("#x27", "''"), ("#39", "''"), ("lt", "<"), ("gt", ">"), ("amp", "&")):
+    _DECODED = f"replace({_DECODED}, '&{_name};', '{_character}')"
 _PLAIN = "trim(regexp_replace(" + _DECODED.format("regexp_replace({0}, '<[^>]*>', ' ', 'g')") + ", '[\\s\\x0B\\x85\\p{{Z}}]+', ' ', 'g'))"
 _BODY = "regexp_replace(regexp_extract(html, '<body>(.*)$', 1, 's'), '<!--.*?-->|<nav>.*?</nav>|<footer>.*?</footer>|<script>.*?</script>', ' ', 'gs')"
 _TITLE = _PLAIN.format("regexp_extract(html, '<title>(.*?)</title>', 1, 's')")
