@@ -123,11 +123,14 @@ def article_cards(trees: DataFrame, part: str = "/article/", least: int = 10, mo
     """``page_id, title, url, external_id, content, image_url`` of ``<article>`` cards: first link (whose address holds ``part``),
     first heading, first paragraph, image; the first card of each link on a page, before titles are looked at."""
     nodes = F.col("nodes")
-    cards = trees.where("nodes is not null").select("page_id", "nodes", F.explode(F.filter(nodes, lambda n: (n.tag == "article") & ~n.hidden)).alias("card"))
-    inside = F.slice(nodes, F.col("card.pre") + 2, F.col("card.end") - F.col("card.pre"))
+    # each card takes along its own part of the page only
+    own = F.transform(F.filter(nodes, lambda n: (n.tag == "article") & ~n.hidden), lambda n: F.struct(n.pre.alias("pre"), subtree(nodes, n).alias("nodes")))
+    cards = trees.where("nodes is not null").select("page_id", F.explode(own).alias("card"))
+    inside = F.slice("card.nodes", F.lit(2), F.size("card.nodes"))
     first = lambda test: F.get(F.filter(inside, lambda n: F.coalesce(test(n), F.lit(False)) & ~n.hidden), F.lit(0))
     cards = cards.withColumns({"a": first(lambda n: (n.tag == "a") & F.map_contains_key(n.attrs, "href")), "h": first(lambda n: n.tag.isin("h1", "h2", "h3")), "p": first(lambda n: n.tag == "p"), "i": first(lambda n: n.tag == "img")})
-    told = lambda c: F.nullif(seen_text(subtree(nodes, F.col(c))), F.lit(""))
+    below = lambda n: F.slice("card.nodes", n.pre - F.col("card.pre") + 1, n.end - n.pre + 1)
+    told = lambda c: F.nullif(seen_text(below(F.col(c))), F.lit(""))
     image = F.coalesce(F.nullif(F.try_element_at("i.attrs", F.lit("src")), F.lit("")), F.try_element_at("i.attrs", F.lit("data-src")))
     rows = cards.select("page_id", F.col("card.pre").alias("pre"), F.col("a.attrs")["href"].alias("url"), told("h").alias("title"), told("p").alias("content"), image.alias("image_url")).where(F.contains("url", F.lit(part)))
     one = rows.groupBy("page_id", "url").agg(F.min_by(F.struct("title", "content", "image_url"), "pre").alias("c"))
@@ -144,7 +147,7 @@ def scan_html_items(trees: DataFrame, selectors: DataFrame) -> DataFrame:
     plan += [(c, c, "text", None) for c in ("title", "content", "author")]
     rows = F.array(*[F.struct(F.lit(f).alias("field"), F.col(s).alias("selector"), F.lit(r).alias("read"), F.lit(a).cast("string").alias("attr")) for f, s, r, a in plan])
     rules = selectors.select("scope", F.inline(rows)).where("selector is not null")
-    read = read_fields(trees.select("page_id", "scope", "nodes"), rules).where("error is null").join(trees.select("page_id", "scope", F.col("url").alias("page_url")), ["page_id", "scope"])
+    read = read_fields(trees.select("page_id", "scope", "nodes"), rules, None).where("error is null").join(trees.select("page_id", "scope", F.col("url").alias("page_url")), ["page_id", "scope"])
     of = lambda c: F.try_element_at("values", F.lit(c))
     url = resolve_url(F.col("page_url"), of("link"))
     found = read.select("page_id", "scope", "item", of("title").alias("title"), url.alias("url"), url_identity(url).alias("external_id"), of("content").alias("content"), of("author").alias("author"), F.coalesce(of("image"), of("later_image")).alias("image_url"), F.coalesce(parse_date(of("date"), "UTC"), parse_date(of("date_text"), "UTC")).alias("published_at"))

@@ -25,3 +25,23 @@ def test_read_fields_and_cards_keep_loose_names(spark):
     rules = spark.createDataFrame([("page", "title", "article > a", "text", None)], "scope string, field string, selector string, read string, attr string")
     assert fields.read_fields(trees, rules).first()["values"]["title"] == "Title of it&amp"
     assert directories.article_cards(trees, part="/").first().title == "Title of it&amp"
+
+
+def test_list_pages_give_all_their_items(spark):
+    trees = tree.page_trees(pages_of(spark, LIST)).withColumn("scope", F.lit("list"))
+    selectors = spark.createDataFrame([("list", "article", "a[href]", "a", None, None, None, None)], "scope string, item string, link string, title string, content string, author string, image string, date string")
+    found = sorted((r["item"], r.title, r.url) for r in directories.scan_html_items(trees, selectors).collect())
+    assert found == [(i, f"Item {i}", f"https://e.org/i/{i}") for i in range(320)]
+
+
+def test_items_beyond_the_most_of_a_run_are_dropped_one_by_one(spark):
+    import json
+
+    from newsloom.sources.extraction import recipe_extract, run_report
+
+    rule = {"title": {"selector": "a", "read": "text"}, "url": {"selector": "a", "read": "attr", "attr": "href"}}
+    form = {"source_id": 1, "locale": "fr", "list_pages": [{"url": "https://e.org/0", "item_selector": "article", "fields": rule}], "detail_templates": []}
+    items, errors = recipe_extract(spark.createDataFrame([("r", json.dumps(form))], "recipe_id string, document string"), pages_of(spark, LIST))
+    assert sorted((r["item"], r.outcome) for r in items.collect()) == [(i, "article" if i < 200 else "dropped") for i in range(320)]
+    told = run_report(items, errors).first()
+    assert (told.status, told.discovered, told.extracted, told.valid) == ("partial", 320, 200, 200) and [e.code for e in told.errors] == ["resource_limit"]
