@@ -76,15 +76,15 @@ def directory_entries(trees: DataFrame) -> DataFrame:
     blocks = F.filter(blocks, lambda r: (r["name"] != "") & ~has(F.lower(r["name"]), NOISE) & F.substring(r.description, 1, 20).rlike(r"\p{L}"))
 
     each = trees.where("nodes is not null").select("source_id", "page", items.alias("b0"), links.alias("b1"), blocks.alias("b2"))
-    rows = None
-    for branch in range(3):
-        own = each.select("source_id", F.lit(branch).alias("branch"), "page", F.inline(f"b{branch}"))
-        rows = own if rows is None else rows.unionByName(own)
-    structured = rows.where("branch < 2").select("source_id").distinct()
-    kept = rows.where("branch < 2").unionByName(rows.where("branch = 2").join(structured, "source_id", "left_anti"))
+    names = ("pre", "name", "description", "website", "year")
+    marked = lambda i: F.transform(f"b{i}", lambda r: F.struct(F.lit(i).alias("branch"), *[r[c].alias(c) for c in names]))
+    rows = each.select("source_id", "page", F.inline(F.concat(*map(marked, range(3)))))
     order = F.struct("branch", "page", "pre")
-    first = kept.groupBy("source_id", F.lower("name").alias("key")).agg(F.min_by(F.struct("name", "description", "website", "year"), order).alias("e"), F.min(order).alias("order"))
-    ranked = first.withColumn("n", F.row_number().over(Window.partitionBy("source_id").orderBy("order"))).where(F.col("n") <= MOST_ENTRIES)
+    first = rows.groupBy("source_id", F.lower("name").alias("key")).agg(F.min_by(F.struct("name", "description", "website", "year"), order).alias("e"), F.min(order).alias("order"))
+    # by branch first, so what blocks add comes last and goes where the source has anything else
+    of_source = Window.partitionBy("source_id").orderBy("order")
+    ranked = first.withColumns({"n": F.row_number().over(of_source), "least": F.first("order.branch").over(of_source)})
+    ranked = ranked.where((F.col("n") <= MOST_ENTRIES) & ((F.col("order.branch") < 2) | (F.col("least") == 2)))
     return ranked.select("source_id", "e.*")
 
 

@@ -58,3 +58,23 @@ def test_sources_without_state_at_any_zone(spark, tmp_path):
     con.execute(f"CREATE VIEW supplier AS SELECT * FROM '{tmp_path}/supplier.parquet/*.parquet'")
     got = sorted((r.source_id, r.next_due_at) for r in QUERIES["sources_without_state"](spark, str(tmp_path)).collect())
     assert got == sorted(con.execute(SQL["sources_without_state"]).fetchall())
+
+
+def test_directories_over_several_pages(spark, tmp_path):
+    import duckdb
+
+    from newsloom.plans import audit_queries
+    from newsloom.plans.queries import QUERIES, SQL
+
+    # more than one page of 512 KB can hold of a nation's suppliers
+    rows = spark.range(24_000).select(F.col("id").alias("s_suppkey"), (F.col("id") % 3).cast("int").alias("s_nationkey"), F.concat(F.lit("Supplier#"), F.lpad(F.col("id").cast("string"), 9, "0")).alias("s_name"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW supplier AS SELECT * FROM '{tmp_path}/supplier.parquet/*.parquet'")
+    for name in ("directory_entries", "portfolio_items"):
+        df = QUERIES[name](spark, str(tmp_path))
+        found = con.execute(SQL[name])
+        order = [d[0] for d in found.description]
+        assert sorted(map(repr, (tuple(r[c] for c in order) for r in df.collect()))) == sorted(map(repr, found.fetchall()))
+    sizes = audit_queries._directories(spark, str(tmp_path)).select(F.size("nodes").alias("n")).collect()
+    assert len(sizes) == 15 and max(r.n for r in sizes) <= 3 * audit_queries.LISTED_KEYS
