@@ -17,11 +17,13 @@ def session_spend(reservations: DataFrame, usage: DataFrame) -> DataFrame:
     Closed reservations count at their actual amount, open ones in full; tokens are those used, or what
     was reserved where usage is missing.
     """
-    used = usage.select(F.col("id").alias("usage_id"), "input_tokens", "output_tokens")
-    rows = reservations.join(used, "usage_id", "left")
+    used = usage.select(F.col("id").alias("usage_id"), (F.col("input_tokens") + F.col("output_tokens")).alias("used"))
     money = F.when(F.col("state").isin(*CLOSED), F.col("actual")).otherwise(F.col("reserved"))
-    tokens = F.coalesce(F.col("input_tokens") + F.col("output_tokens"), F.col("input_limit") + F.col("output_limit"))
-    told = rows.select("session_id", "source_id", "day", money.alias("money"), tokens.alias("tokens"))
+    rows = reservations.select("usage_id", "session_id", "source_id", "day", money.alias("money"), (F.col("input_limit") + F.col("output_limit")).alias("limit"))
+    # rows without usage have one key, the null, and would all meet in one task of the join
+    bare = rows.where("usage_id is null").select("session_id", "source_id", "day", "money", F.col("limit").alias("tokens"))
+    met = rows.where("usage_id is not null").join(used, "usage_id", "left").select("session_id", "source_id", "day", "money", F.coalesce("used", "limit").alias("tokens"))
+    told = met.unionByName(bare)
     by = told.groupingSets([[F.col("session_id")], [F.col("source_id"), F.col("day")], [F.col("day")]], F.col("session_id"), F.col("source_id"), F.col("day"))
     return by.agg(F.grouping_id().alias("level"), F.count("*").alias("calls"), F.sum("money").alias("spent"), F.sum("tokens").alias("tokens"))
 
