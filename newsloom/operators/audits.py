@@ -69,10 +69,30 @@ def cache_lookup(requests: DataFrame, cache: DataFrame, as_of: datetime, days: i
     return requests.join(last, "key", "left")
 
 
+#: Buckets of hashes in which keys are counted; one that holds this many times the mean is heavy, so fewer than one in ``HEAVY`` are.
+KEY_BUCKETS, HEAVY = 1 << 16, 100
+
+
+def left_join_spread(rows: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    """The left join of ``rows`` with ``other`` on ``key``, without one task for a key that very many rows have.
+
+    Rows are counted by buckets of hashes of their keys. Those of heavy buckets stay where they are, and what
+    ``other`` has in these few buckets (under one in ``HEAVY`` of them all) goes to them; the rest is joined by key.
+    """
+    bucket = F.pmod(F.xxhash64(F.col(key).cast(rows.schema[key].dataType)), F.lit(KEY_BUCKETS))
+    counts = rows.groupBy(bucket.alias("bucket")).count()
+    mean = F.sum("count").over(Window.partitionBy()) / KEY_BUCKETS
+    heavy = [r.bucket for r in counts.withColumn("mean", mean).where((F.col("count") > HEAVY * F.col("mean")) & (F.col("count") > KEY_BUCKETS)).select("bucket").collect()]
+    if not heavy:
+        return rows.join(other, key, "left")
+    here = bucket.isin(heavy)
+    spread = rows.where(here).join(F.broadcast(other.where(here)), key, "left")
+    return spread.unionByName(rows.where(~here).join(other.where(~here), key, "left"))
+
+
 def stale_inputs(results: DataFrame, current: DataFrame, key: str, bindings: list[str]) -> DataFrame:
     """``id, stale``: results with the bindings that no longer match the current row; all of them where the row is gone."""
-    now = current.select(key, F.struct(*bindings).alias("now"))
-    both = results.join(now, key, "left")
+    both = left_join_spread(results, current.select(key, F.struct(*bindings).alias("now")), key)
     differ = F.array_compact(F.array(*[F.when(F.col("now").isNull() | ~F.col(b).eqNullSafe(F.col(f"now.{b}")), F.lit(b)) for b in bindings]))
     return both.select("id", differ.alias("stale")).where(F.size("stale") > 0)
 

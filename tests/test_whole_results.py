@@ -78,3 +78,28 @@ def test_directories_over_several_pages(spark, tmp_path):
         assert sorted(map(repr, (tuple(r[c] for c in order) for r in df.collect()))) == sorted(map(repr, found.fetchall()))
     sizes = audit_queries._directories(spark, str(tmp_path)).select(F.size("nodes").alias("n")).collect()
     assert len(sizes) == 15 and max(r.n for r in sizes) <= 3 * audit_queries.LISTED_KEYS
+
+
+def test_session_spend_of_rows_without_usage(spark):
+    from newsloom.operators.spending import session_spend
+
+    rows = spark.createDataFrame([(1, 1, "d", "settled", 10, 4, 5, 5, None), (1, 1, "d", "reserved", 10, 4, 5, 5, 7), (2, 1, "d", "reserved", 3, 1, 2, 2, 8), (2, 2, "e", "reserved", 1, 1, 1, 1, None)], "session_id int, source_id int, day string, state string, reserved long, actual long, input_limit long, output_limit long, usage_id long")
+    usage = spark.createDataFrame([(7, 20, 30)], "id long, input_tokens long, output_tokens long")
+    found = session_spend(rows, usage)
+    assert {(r.session_id, r.calls, r.spent, r.tokens) for r in found.where("session_id is not null").collect()} == {(1, 2, 14, 60), (2, 2, 4, 6)}
+    # nulls are no key of the join
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "isnotnull(usage_id" in plan and "Union" in plan
+
+
+def test_left_join_spreads_heavy_keys(spark, monkeypatch):
+    from newsloom.operators import audits
+
+    monkeypatch.setattr(audits, "KEY_BUCKETS", 256)
+    rows = spark.range(4_000).select("id", F.when(F.col("id") % 4 == 0, F.lit(-1)).when(F.col("id") % 4 == 1, F.lit(None)).when(F.col("id") % 4 == 2, F.lit(5)).otherwise(F.col("id")).cast("long").alias("k"))
+    other = spark.range(3_000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    monkeypatch.setattr(audits, "HEAVY", 50)
+    plan = audits.left_join_spread(rows, other, "k")
+    assert "Union" in plan._jdf.queryExecution().analyzed().toString()
+    assert sorted(((r.id, r.k, r.v) for r in plan.collect()), key=repr) == sorted(((r.id, r.k, r.v) for r in rows.join(other, "k", "left").collect()), key=repr)
+    assert rows.join(other, "k", "left").count() == 4_000
