@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions.times import moment
-from newsloom.sources.documents import Rule, broken_rules, duplicate_keys, json_nodes, rules_table
+from newsloom.sources.documents import Rule, broken_rules, duplicate_keys, json_nodes
 
 #: Most rounds and retries of a session, states, and the keys of results by format.
 MOST_ROUNDS, MOST_NOTE = 3, 300
@@ -208,7 +208,7 @@ def manifest_check(manifests: DataFrame) -> DataFrame:
     own = F.array_compact(F.array(failure(~known, "json"), failure(~F.coalesce(F.sha2("document", 256) == F.col("document_hash"), F.lit(False)), "hash"), failure(known & ~bound, "binding"), failure(known & (size > 2 * 1024 * 1024), "size")))
     twice = F.transform(duplicate_keys(nodes), lambda p: F.struct(F.lit("duplicate_key").alias("code"), p.alias("path")))
     across = read.select(F.col("manifest_id").alias("id"), F.explode(F.concat(own, F.coalesce(twice, F.array().cast("array<struct<code:string,path:string>>")))).alias("f")).select("id", "f.code", "f.path")
-    each = broken_rules(read.where(known).select(F.col("manifest_id").alias("id"), F.lit("manifest").alias("contract"), "nodes"), rules_table(manifests.sparkSession, {"manifest": MANIFEST}))
+    each = broken_rules(read.where(known).select(F.col("manifest_id").alias("id"), F.lit("manifest").alias("contract"), "nodes"), {"manifest": MANIFEST})
     return across.unionByName(each).withColumnRenamed("id", "manifest_id")
 
 

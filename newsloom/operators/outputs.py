@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.sources.documents import Rule, broken_rules, duplicate_keys, json_nodes, rules_table
+from newsloom.sources.documents import Rule, broken_rules, duplicate_keys, json_nodes
 from newsloom.sources.recipes import RECIPE, recipe_failures
 
 #: What the tasks may answer.
@@ -82,10 +82,12 @@ def validate_model_output(outputs: DataFrame) -> DataFrame:
     first = F.when(F.length("text") > MOST_CHARS, "size").when(~F.coalesce(F.col("text").rlike(r"(?U)\S"), F.lit(False)), "empty")
     read = held.withColumn("code", first).withColumn("nodes", json_nodes(F.when(bound & F.col("code").isNull(), F.col("body"))))
     whole = F.when(F.col("code").isNotNull(), F.col("code")).when(bound & F.col("nodes").isNull(), "json")
-    told = read.select("output_id", F.explode(F.array_compact(F.concat(F.array(F.when(whole.isNotNull(), F.struct(whole.alias("code"), F.lit("$").alias("path")))), F.coalesce(F.transform(duplicate_keys(F.col("nodes")), lambda p: F.struct(F.lit("duplicate_key").alias("code"), p.alias("path"))), F.array().cast("array<struct<code:string,path:string>>"))))).alias("f")).select("output_id", "f.code", "f.path")
-    documents = read.where(F.col("nodes").isNotNull()).select(F.col("output_id").alias("id"), F.col("task").alias("contract"), "nodes", F.octet_length("body").alias("size"))
-    broken = broken_rules(documents.where(F.col("contract") != RECIPE), rules_table(outputs.sparkSession, CONTRACTS))
-    broken = broken.unionByName(recipe_failures(documents.where(F.col("contract") == RECIPE)))
-    every = told.unionByName(broken.withColumnRenamed("id", "output_id")).distinct().groupBy("output_id").agg(F.sort_array(F.collect_list(F.struct("path", "code"))).alias("found"))
+    none = F.array().cast("array<struct<code:string,path:string>>")
+    failure = lambda code, path: F.struct(code.alias("code"), path.alias("path"))
+    told = F.concat(F.when(whole.isNotNull(), F.array(failure(whole, F.lit("$")))).otherwise(none), F.coalesce(F.transform(duplicate_keys(F.col("nodes")), lambda p: failure(F.lit("duplicate_key"), p)), none))
+    # one reading of each text: what is told of the whole goes along with its nodes
+    broken = broken_rules(read.select(F.col("output_id").alias("id"), F.col("task").alias("contract"), "nodes", told.alias("told")), CONTRACTS)
+    recipes = read.where((F.col("task") == RECIPE) & F.col("nodes").isNotNull()).select(F.col("output_id").alias("id"), "nodes", F.octet_length("body").alias("size"))
+    every = broken.unionByName(recipe_failures(recipes)).withColumnRenamed("id", "output_id").groupBy("output_id").agg(F.sort_array(F.collect_set(F.struct("path", "code"))).alias("found"))
     failures = F.transform(F.coalesce("found", F.array().cast("array<struct<path:string,code:string>>")), lambda x: F.struct(x.code.alias("code"), x.path.alias("path")))
     return outputs.select("output_id").join(every, "output_id", "left").select("output_id", F.col("found").isNull().alias("valid"), failures.alias("failures"))

@@ -103,3 +103,26 @@ def test_left_join_spreads_heavy_keys(spark, monkeypatch):
     assert "Union" in plan._jdf.queryExecution().analyzed().toString()
     assert sorted(((r.id, r.k, r.v) for r in plan.collect()), key=repr) == sorted(((r.id, r.k, r.v) for r in rows.join(other, "k", "left").collect()), key=repr)
     assert rows.join(other, "k", "left").count() == 4_000
+
+
+def test_json_is_read_in_bounded_parts(spark):
+    from newsloom.sources import documents
+
+    assert list(documents._cut([1] * 130)) == [(0, 64), (64, 128), (128, 130)]
+    assert list(documents._cut([10, documents.READ_CHARS + 1, 10, 10])) == [(0, 1), (1, 2), (2, 4)] and list(documents._cut([])) == []
+    texts = [(i, None if i % 7 == 0 else "{" if i % 7 == 1 else f'{{"a": [{i}, "x"]}}') for i in range(1_000)]
+    rows = spark.createDataFrame(texts, "id int, t string").coalesce(1)
+    found = {r.id: r.n for r in rows.select("id", documents.json_nodes("t").alias("n")).collect()}
+    assert len(found) == 1_000 and all((found[i] is None) == (i % 7 < 2) for i in found)
+    assert [n.text for n in found[999]] == [None, None, "999", "x"]
+
+
+def test_outputs_are_read_once(spark):
+    from newsloom.operators.outputs import validate_model_output
+
+    rows = spark.createDataFrame([(1, "sentiment", '{"sentiment": "x", "score": 0, "reason": "", "score": 2}'), (2, "sentiment", "["), (3, "other", "free")], "output_id int, task string, text string")
+    got = {r.output_id: (r.valid, [tuple(f) for f in r.failures]) for r in validate_model_output(rows).collect()}
+    assert got[1][0] is False and sorted(got[1][1]) == [("choice", "$.sentiment"), ("duplicate_key", "$"), ("range", "$.score")]
+    assert got[2] == (False, [("json", "$")]) and got[3] == (True, [])
+    plan = validate_model_output(rows.withColumn("task", F.lit("sentiment")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("json_nodes(") == 1 and "_is_selector" not in plan
