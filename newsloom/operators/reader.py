@@ -117,6 +117,16 @@ def digest_readers(digest: DataFrame, subscribers: DataFrame) -> DataFrame:
     return wanted.join(digest.groupBy("language").agg(F.count("*").alias("n_articles")), "language").select("user_id", "language", "n_articles")
 
 
+def digest_with_readers(digest: DataFrame, subscribers: DataFrame) -> DataFrame:
+    """The whole digest of every subscriber: the rows of ``daily_digest`` and, as section ``reader``, a row for each subscriber.
+
+    A reader's digest is what the reader's language has in the other sections, ``n_articles`` in all; readers of one language get
+    the same lists, so these are not repeated for each.
+    """
+    readers = digest_readers(digest, subscribers).withColumn("section", F.lit("reader"))
+    return digest.unionByName(readers, allowMissingColumns=True)
+
+
 def dashboard(articles: DataFrame, companies: DataFrame, sources: DataFrame, usage: DataFrame, as_of: datetime) -> DataFrame:
     """One row of counts, and the cost of the day so far."""
     day = as_of.replace(hour=0, minute=0, second=0, microsecond=0)

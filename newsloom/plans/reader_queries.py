@@ -105,11 +105,25 @@ d AS (SELECT language, CASE WHEN score > 0 THEN 'top' ELSE 'rest' END AS section
 )
 
 
-@query(_DIGEST + " SELECT * FROM d")
-def daily_digest(spark, sf_dir):
-    a = F.col("id")
+def _digest(spark, sf_dir):
+    """The articles of a week in each language, and the readers of the digest."""
+    a, k = F.col("id"), F.col("c_custkey")
     articles = T.articles(spark, sf_dir).withColumns({"crawled_at": F.col("published_at"), "title_fr": F.concat(F.lit("f"), a), "title_zh": F.when(a % 2 == 0, F.concat(F.lit("z"), a)), "title_en": F.lit("")})
-    return R.daily_digest(articles, AS_OF, hours=168)
+    readers = T.read(spark, sf_dir, "customer").select(k.alias("user_id"), (k % 3 != 0).alias("is_active"), (k % 5 != 0).alias("wants_digest"), F.when(k % 4 == 1, "en").when(k % 4 == 2, "fr").when(k % 4 == 3, "zh").alias("language"))
+    return R.daily_digest(articles, AS_OF, hours=168), readers
+
+
+#: What every reader gets: the lists of each language once, and each reader with the language whose lists these are.
+_READERS = """SELECT c_custkey AS user_id, language, n_articles FROM customer JOIN n ON language = CASE c_custkey % 4 WHEN 1 THEN 'en' WHEN 2 THEN 'fr' ELSE 'zh' END WHERE c_custkey % 3 <> 0 AND c_custkey % 5 <> 0"""
+
+
+@query(
+    _DIGEST
+    + f""", n AS (SELECT language, count(*) AS n_articles FROM d GROUP BY language)
+SELECT language, section, rank, id, title, CAST(NULL AS BIGINT) AS user_id, CAST(NULL AS BIGINT) AS n_articles FROM d UNION ALL SELECT language, 'reader', NULL, NULL, NULL, user_id, n_articles FROM ({_READERS})"""
+)
+def daily_digest(spark, sf_dir):
+    return R.digest_with_readers(*_digest(spark, sf_dir))
 
 
 @query(
@@ -118,9 +132,7 @@ def daily_digest(spark, sf_dir):
 SELECT c_custkey AS user_id, language, n_articles FROM customer JOIN n ON language = CASE c_custkey % 4 WHEN 1 THEN 'en' WHEN 2 THEN 'fr' ELSE 'zh' END WHERE c_custkey % 3 <> 0 AND c_custkey % 5 <> 0"""
 )
 def digest_readers(spark, sf_dir):
-    k = F.col("c_custkey")
-    readers = T.read(spark, sf_dir, "customer").select(k.alias("user_id"), (k % 3 != 0).alias("is_active"), (k % 5 != 0).alias("wants_digest"), F.when(k % 4 == 1, "en").when(k % 4 == 2, "fr").when(k % 4 == 3, "zh").alias("language"))
-    return R.digest_readers(daily_digest(spark, sf_dir), readers)
+    return R.digest_readers(*_digest(spark, sf_dir))
 
 
 @query(
