@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from newsloom.functions.times import moment
 
@@ -25,6 +26,8 @@ ANCHORS = (1, 2, 4, 8, 16)
 TABLE_BITS = 26
 #: Bytes of text that are scanned at once.
 SCANNED = 1 << 20
+#: Articles of a block, as bits of their number: a place in a block is two bytes.
+BLOCK_BITS = 12
 
 
 def unique_keywords(lists: DataFrame, most: int = 50, longest: int = 200, stored: DataFrame | None = None) -> DataFrame:
@@ -134,8 +137,38 @@ def keyword_matches(subscriptions: DataFrame, articles: DataFrame, columns: tupl
     anchored = _anchored(subs.select("word").distinct())
     texts = articles.select("article_id", F.explode(F.array(*columns)).alias("body")).where(F.length("body") > 0).select("article_id", F.lower("body").alias("body"))
     met = text_places(texts, anchored).join(anchored.select("anchor", "word"), "anchor")
-    held = met.where(F.startswith("ahead", F.col("word").cast("binary"))).select("article_id", "word").distinct()
-    return held.join(subs, "word").groupBy("user_id", "article_id").agg(F.min_by("keyword", "subscription_id").alias("keyword"))
+    held = met.where(F.startswith("ahead", F.col("word").cast("binary"))).select("article_id", "word")
+    return _first_keywords(held, subs)
+
+
+def _first_keywords(held: DataFrame, subs: DataFrame) -> DataFrame:
+    """``user_id, article_id, keyword`` of the words that articles hold (``article_id, word``) and users wait for.
+
+    Articles go in blocks: of each word, a block's articles are one short array, and a user meets whole blocks. So what is
+    shuffled are two bytes for each match, not a row, and the first keyword is chosen inside one user's block.
+    """
+    kind = held.schema["article_id"].dataType
+    whole = isinstance(kind, (T.LongType, T.IntegerType, T.ShortType))
+    a = F.col("article_id")
+    if whole:
+        block, at = F.shiftright(a.cast("long"), BLOCK_BITS), a.bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).cast("short")
+        back = lambda x: F.col("block") * (1 << BLOCK_BITS) + x
+    else:
+        block, at, back = F.pmod(F.xxhash64(a), F.lit(1 << BLOCK_BITS)), a, lambda x: x
+    # in order, so that equal blocks look alike
+    blocks = held.groupBy("word", block.alias("block")).agg(F.array_sort(F.collect_set(at)).alias("at"))
+    met = blocks.join(subs, "word").groupBy("user_id", "block").agg(F.array_sort(F.collect_list(F.struct("subscription_id", "keyword", "at"))).alias("words"))
+    listed = T.ArrayType(blocks.schema["at"].dataType.elementType)
+    part = T.StructType([T.StructField("keyword", T.StringType()), T.StructField("at", listed)])
+    start = F.struct(F.array().cast(listed).alias("seen"), F.array().cast(T.ArrayType(part)).alias("parts"))
+
+    def take(state, w):
+        new = F.array_except(w["at"], state.seen)
+        return F.struct(F.concat(state.seen, new).alias("seen"), F.concat(state.parts, F.array(F.struct(w.keyword.alias("keyword"), new.alias("at")))).alias("parts"))
+
+    parts = met.select("user_id", "block", F.explode(F.aggregate("words", start, take, lambda s: s.parts)).alias("p"))
+    told = parts.select("user_id", "block", F.col("p.keyword").alias("keyword"), F.explode("p.at").alias("x"))
+    return told.select("user_id", back(F.col("x")).cast(kind).alias("article_id"), "keyword")
 
 
 def keyword_alerts(matches: DataFrame) -> DataFrame:

@@ -126,3 +126,28 @@ def test_outputs_are_read_once(spark):
     assert got[2] == (False, [("json", "$")]) and got[3] == (True, [])
     plan = validate_model_output(rows.withColumn("task", F.lit("sentiment")))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("json_nodes(") == 1 and "_is_selector" not in plan
+
+
+def test_blocks_of_matches(spark):
+    from newsloom.operators.alerts import keyword_matches
+
+    subs = spark.createDataFrame([(1, 9, "beta"), (1, 4, "alpha"), (2, 1, "BETA"), (3, 2, "none")], "user_id int, subscription_id int, keyword string")
+    ids = [-5_000, -1, 0, 4_095, 4_096, 10**12]
+    want = [(1, "alpha" if i % 2 == 0 else "beta") for i in range(6)]
+    for kind, key in (("long", lambda i: ids[i]), ("string", lambda i: f"a{ids[i]}")):
+        texts = spark.createDataFrame([(key(i), "beta and alpha" if i % 2 == 0 else "Beta") for i in range(6)], f"article_id {kind}, text string")
+        found = keyword_matches(subs, texts)
+        assert found.schema["article_id"].dataType.simpleString() == {"long": "bigint"}.get(kind, kind)
+        got = sorted(map(tuple, found.collect()))
+        assert got == sorted([(u, key(i), w) for i, (u, w) in enumerate(want)] + [(2, key(i), "BETA") for i in range(6)])
+        assert "min_by" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_digest_names_every_reader(spark):
+    from newsloom.operators.reader import digest_with_readers
+
+    digest = spark.createDataFrame([("fr", "top", 1, 7, "t"), ("fr", "rest", 1, 8, "u"), ("en", "top", 1, 7, "v")], "language string, section string, rank int, id long, title string")
+    users = spark.createDataFrame([(1, True, True, "fr"), (2, True, True, None), (3, True, False, "fr"), (4, True, True, "en")], "user_id long, is_active boolean, wants_digest boolean, language string")
+    rows = digest_with_readers(digest, users)
+    assert rows.where("section <> 'reader'").count() == 3
+    assert sorted((r.user_id, r.language, r.n_articles) for r in rows.where("section = 'reader'").collect()) == [(1, "fr", 2), (4, "en", 1)]
