@@ -14,8 +14,8 @@ Defined results: a null or empty text has fingerprint zero and links like any ot
 named by the smallest doc_id that is not null (null if there is none); repeated rows give repeated
 results; an empty table gives an empty result; other columns take no part. Texts are read whole.
 
-The pipeline's stage (``drop_near_copies``) finds near copies by the least hashes of their shingle sets and
-verifies each candidate by the exact similarity.
+The pipeline's stage (``drop_near_copies``) makes the same search over fingerprints of its shingle sets and verifies
+what it meets by the exact similarity. Near copies beyond the radius are found after it, by the least hashes of the sets.
 """
 
 from __future__ import annotations
@@ -217,9 +217,11 @@ def near(pairs: dict[str, tuple[Column, Column]], limits: dict[str, int]) -> Col
     return told
 
 
-def linked_groups(nodes: DataFrame, limits: dict[str, int]) -> DataFrame:
-    """``fp, root`` for nodes (distinct ``fp``, maybe further fingerprints) that link to another.
+def search(nodes: DataFrame, limits: dict[str, int]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links between nodes (distinct ``fp``, maybe further fingerprints) in two rounds, and the groups between them.
 
+    The first links (``a, b``) are those to drawn members; the groups that they make are ``root`` of each node; the
+    second links (``a, b, root_a, root_b``) are all between different groups, so both together leave no link's ends apart.
     ``limits['fp']`` is the search radius; further fingerprints only verify.
     """
     marks = list(limits)
@@ -243,8 +245,14 @@ def linked_groups(nodes: DataFrame, limits: dict[str, int]) -> DataFrame:
     asking = asking.select("part", "value", *marks, "root", F.explode(sides).alias("is_top"))
     there = held.join(top, ["part", "value"]).select("part", "value", *marks, "root", (F.col("root") == F.col("top")).alias("is_top"))
     meets = asking.alias("q").join(there.alias("x"), ["part", "value", "is_top"])
-    second = meets.where((F.col("q.root") != F.col("x.root")) & near({c: (F.col(f"q.{c}"), F.col(f"x.{c}")) for c in marks}, limits)).select(F.col("q.root").alias("a"), F.col("x.root").alias("b"))
-    over = components(second, "a", "b")
+    second = meets.where((F.col("q.root") != F.col("x.root")) & near({c: (F.col(f"q.{c}"), F.col(f"x.{c}")) for c in marks}, limits))
+    return first, known, second.select(F.col("q.fp").alias("a"), F.col("x.fp").alias("b"), F.col("q.root").alias("root_a"), F.col("x.root").alias("root_b"))
+
+
+def linked_groups(nodes: DataFrame, limits: dict[str, int]) -> DataFrame:
+    """``fp, root`` of all nodes; nodes that link, directly or by others, have one root."""
+    _, known, second = search(nodes, limits)
+    over = components(second.select("root_a", "root_b"), "root_a", "root_b")
     joined = known.join(over.select(F.col("node").alias("root"), F.col("root").alias("over")), "root", "left")
     return joined.select("fp", F.coalesce("over", "root").alias("root"))
 
@@ -265,8 +273,10 @@ def simhash_components(docs: DataFrame, radius: int = 3, shingle: int = 3) -> Da
 
 #: Two texts are near copies when the cosine of their sets of distinct five-word shingles is at least this.
 STAGE_SHINGLE, STAGE_COSINE = 5, 0.8
+#: Bits within which the stage searches its fingerprints, as ``simhash_components`` does.
+STAGE_RADIUS = 3
 #: At cosine 0.8 a 64-bit SimHash differs in 13 bits on average and in over 20 for some pairs, which no
-#: pigeonhole plan can search. The sets' least hashes find the candidates instead: a cosine of 0.8 means a
+#: pigeonhole plan can search. Candidates beyond the radius come from the sets' least hashes: a cosine of 0.8 means a
 #: Jaccard share of 0.64 or more, so a pair meets in none of 32 bands of 3 with odds (1 - 0.64 ** 3) ** 32 = 0.00006 at most.
 BANDS, ROWS = 32, 3
 _PICKS = stream(21, BANDS * ROWS) | np.uint64(1)
@@ -277,8 +287,8 @@ _BAND_MARKS = stream(22, BANDS)
 SKETCH = 1024
 
 
-#: Members of a value, drawn by hash, that the first round compares with each other member.
-DRAWN = 16
+#: Members of a value, drawn by hash, that the first round of bands compares with each other member.
+DRAWN = 4
 
 
 def shingle_set(text: str | None) -> tuple[bytes, np.ndarray]:
@@ -320,22 +330,23 @@ def may_be_near(a: Column, b: Column) -> Column:
 
 
 def with_bands(rows: DataFrame, group: int = 256) -> DataFrame:
-    """``rows`` (with a ``text``) with ``key``, equal for texts of equal words, ``bands`` and ``sketch`` (size and bits of the set); a text without words has no bands."""
+    """``rows`` (with a ``text``) with ``key``, equal for texts of equal words, ``fp`` (the SimHash of the set), ``bands`` and ``sketch`` (size and bits of the set); a text without words has no bands."""
     names = rows.columns
-    out = T.StructType([*rows.schema.fields, T.StructField("key", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.StructType([T.StructField("size", T.IntegerType()), T.StructField("sketch", T.ArrayType(T.LongType()))]))])
+    out = T.StructType([*rows.schema.fields, T.StructField("key", T.BinaryType()), T.StructField("fp", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.StructType([T.StructField("size", T.IntegerType()), T.StructField("sketch", T.ArrayType(T.LongType()))]))])
     told = pa.struct([("size", pa.int32()), ("sketch", pa.list_(pa.int64()))])
 
     def mark(batches):
         for batch in batches:
-            texts, keys, bands, sketches = batch.column(names.index("text")), [], [], []
+            texts, keys, marks, bands, sketches = batch.column(names.index("text")), [], [], [], []
             for at in range(0, len(texts), group):
                 made = [shingle_set(t.as_py()) for t in texts.slice(at, group)]
                 keys += [k for k, _ in made]
+                marks += [signed(majority_bits(s)) for _, s in made]
                 full = [s for _, s in made if len(s)]
                 found = iter(band_values(full).view(np.int64) if full else ())
                 bands += [next(found) if len(s) else [] for _, s in made]
                 sketches += [dict(zip(("size", "sketch"), sketched(s))) for _, s in made]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, told)], [*names, "key", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary()), pa.array(marks, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, told)], [*names, "key", "fp", "bands", "sketch"])
 
     return rows.mapInArrow(mark, out)
 
@@ -382,21 +393,40 @@ def spanning(links: DataFrame) -> DataFrame:
     return held.select(F.explode(moved).alias("x")).select("x.a", "x.b").where("a <> b").distinct()
 
 
+def bit_pairs(nodes: DataFrame) -> DataFrame:
+    """``a, b``: keys of ``nodes`` whose ``fp`` differ in at most ``STAGE_RADIUS`` bits, by the pigeonhole search.
+
+    Nodes of one ``fp`` meet its least key, which stands for them towards other fingerprints.
+    """
+    marks = stored(nodes.select("key", "fp"), "near-copies-marks")
+    first = stored(marks.groupBy("fp").agg(F.min("key").alias("key")), "near-copies-fps")
+    drawn, _, across = search(first.select("fp"), {"fp": STAGE_RADIUS})
+    met = drawn.union(across.select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    key = lambda fp, name: first.select(F.col("fp").alias(fp), F.col("key").alias(name))
+    met = met.join(key("a", "key_a"), "a").join(key("b", "key_b"), "b").select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
+    equal = marks.select(F.col("key").alias("a"), "fp").join(key("fp", "b"), "fp").where("a <> b").select("a", "b")
+    return met.union(equal)
+
+
 def near_groups(nodes: DataFrame) -> DataFrame:
-    """``node, root`` of ``nodes`` (distinct ``key``, ``bands``, ``sketch``, ``text``) that link to another, directly or by others.
+    """``node, root`` of ``nodes`` (distinct ``key``, ``fp``, ``bands``, ``sketch``, ``text``) that link to another, directly or by others.
 
-    A first round compares each node with ``DRAWN`` members of each value that it has; a second,
-    complete one compares the nodes of a value that are in different groups, but for pairs that their sketches rule out.
+    The pigeonhole search over fingerprints comes first. A first round of bands compares each node with ``DRAWN``
+    members of each value that it has; a second, complete one compares the nodes of a value that are in different
+    groups, but for pairs that their sketches rule out.
     """
+    either = lambda df: df.union(df.select("b", "a"))
+    close = stored(bit_pairs(nodes), "near-copies-bits")
+    links = stored(near_enough(close, nodes), "near-copies-by-bits")
     held = nodes.select("key", F.explode("bands").alias("value"))
     several = stored(held.groupBy("value").agg(F.count("*").alias("n")).where("n > 1").select("value"), "near-copies-values")
     held = stored(held.join(several, "value"), "near-copies-held")  # few values are shared at all
     drawn = [F.min(F.struct(F.xxhash64("key", F.lit(salt)).alias("order"), "key")).alias(f"m{salt}") for salt in range(DRAWN)]
     some = F.array_distinct(F.array(*[F.col(f"m{salt}")["key"] for salt in range(DRAWN)]))
     ends = stored(held.groupBy("value").agg(*drawn).select("value", some.alias("some")), "near-copies-drawn")
-    met = held.join(ends, "value").select(F.col("key").alias("a"), F.explode("some").alias("b")).where("a <> b")
-    pairs = stored(met.distinct(), "near-copies-first")
-    links = stored(spanning(near_enough(pairs, nodes)), "near-copies-links")
+    met = held.join(ends, "value").select(F.col("key").alias("a"), F.explode("some").alias("b")).where("a <> b").distinct()
+    pairs = stored(met.join(either(close), ["a", "b"], "left_anti"), "near-copies-first")
+    links = links.union(stored(spanning(near_enough(pairs, nodes)), "near-copies-links"))
     groups = components(links, "a", "b")
 
     known = nodes.select("key", "bands").join(held.select("key").distinct(), "key", "left_semi").join(groups.select(F.col("node").alias("key"), "root"), "key", "left")
@@ -413,8 +443,7 @@ def near_groups(nodes: DataFrame) -> DataFrame:
     here = F.array_min(F.array_intersect("bands_a", "bands_b")) == F.col("value")
     able = may_be_near(F.col("sketch_a"), F.col("sketch_b"))
     rest = q.join(side(known, "b"), "value").where((F.col("root_a") != F.col("root_b")) & here & able).select("a", "b")
-    tried = pairs.union(pairs.select("b", "a"))
-    rest = rest.join(tried, ["a", "b"], "left_anti").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rest = rest.join(either(close.union(pairs)), ["a", "b"], "left_anti").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = near_enough(stored(rest, "near-copies-second"), nodes)
     return components(links.union(stored(more, "near-copies-more")), "a", "b")
 
@@ -429,7 +458,7 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     n = partitions(docs.sparkSession)
     marked = with_bands(aside(docs).withColumn("at", F.monotonically_increasing_id()))
     order = F.struct(F.col("row.doc_id").isNull().alias("none"), F.col("row.doc_id").alias("doc_id"), F.col("at"))
-    best = F.min_by(F.struct(order.alias("order"), "row", "text", "bands", "sketch"), order)
+    best = F.min_by(F.struct(order.alias("order"), "row", "text", "fp", "bands", "sketch"), order)
     nodes = bucketed(marked.groupBy("key").agg(best.alias("best")).select("key", "best.*").repartition(n, "key"), n, ["key"], "near_copies")
     groups = stored(near_groups(nodes), "near-copies-groups")
     first = groups.join(nodes.select(F.col("key").alias("node"), "order"), "node").groupBy("root").agg(F.min(F.struct("order", "node")).alias("first"))

@@ -285,3 +285,51 @@ def test_spanning_keeps_components(spark):
     links = spark.createDataFrame([(a, b) for a, b in ((rnd.randint(0, 300), rnd.randint(0, 40)) for _ in range(260)) if a != b], "a long, b long").distinct()
     groups = lambda x: sorted(tuple(r) for r in components(x, "a", "b").collect())
     assert groups(simhash.spanning(links)) == groups(links)
+
+
+def test_near_dedup_searches_fingerprints_by_the_pigeonhole_plan(spark, monkeypatch):
+    from newsloom.llm import simhash
+    from newsloom.llm.graph import components
+
+    rnd = random.Random(5)
+    base = [rnd.getrandbits(64) for _ in range(30)]
+    marks = [m ^ sum(1 << b for b in rnd.sample(range(64), rnd.randint(0, 5))) for m in base for _ in range(8)]
+    keys = [i.to_bytes(16, "big") for i in range(len(marks))]
+    nodes = spark.createDataFrame([(k, simhash.signed(m)) for k, m in zip(keys, marks)], "key binary, fp long")
+    pairs = simhash.bit_pairs(nodes)
+    near = lambda i, j: (marks[i] ^ marks[j]).bit_count() <= simhash.STAGE_RADIUS
+    assert all(near(keys.index(r.a), keys.index(r.b)) for r in pairs.collect())
+    root = {k: k for k in keys} | {bytes(r.node): bytes(r.root) for r in components(pairs, "a", "b").collect()}
+    assert any(near(i, j) for i in range(len(marks)) for j in range(i))
+    assert all(root[keys[i]] == root[keys[j]] for i in range(len(marks)) for j in range(i) if near(i, j))
+
+    texts = [" ".join(f"w{rnd.randrange(9999)}" for _ in range(90)) for _ in range(5)]
+    met, search = [], simhash.bit_pairs
+    monkeypatch.setattr(simhash, "bit_pairs", lambda n: met.append([r.fp for r in n.select("fp").collect()]) or search(n))
+    simhash.drop_near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert [sorted(x) for x in met] == [sorted(simhash.signed(simhash.fingerprint(t, simhash.STAGE_SHINGLE, distinct=True)) for t in texts)]
+
+
+def test_a_large_group_of_near_copies_meets_few_pairs(spark, monkeypatch):
+    from newsloom.llm import simhash
+
+    rnd = random.Random(2)
+    words = [f"w{i}" for i in range(200)]
+    texts = []
+    for _ in range(250):  # two of them have a cosine of 0.65 or so, so many pairs that meet are no near copies
+        copy = list(words)
+        for at in rnd.sample(range(200), rnd.randint(3, 10)):
+            copy[at] = f"x{rnd.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    met, judged = [], simhash.near_enough
+    monkeypatch.setattr(simhash, "near_enough", lambda pairs, nodes: met.append(pairs.count()) or judged(pairs, nodes))
+    got = [r.doc_id for r in simhash.drop_near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()]
+    sets = [set(simhash.shingle_set(t)[1].tolist()) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= simhash.STAGE_COSINE * (len(sets[i]) * len(sets[j])) ** 0.5:
+                a, b = root[i], root[j]
+                root = [min(a, b) if x in (a, b) else x for x in root]
+    assert sorted(got) == sorted({*root})
+    assert sum(met) < 50 * len(texts)
