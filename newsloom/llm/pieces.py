@@ -25,10 +25,11 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,10 +43,12 @@ MARK = "▁"
 ALONE = r"\t\n\x0b\f"
 UNITS = re.compile(f"[{ALONE}]|{MARK}{{16}}(?={MARK})|{MARK}*[^{MARK}{ALONE}]+|{MARK}+")
 _UNUSUAL = re.compile(f"[{MARK}\\t\\x0b\\f]")
-HOT = 1 << 17
+HOT = 1 << 18
 #: Rows that the hot units are told from.
 SAMPLE = 1 << 14
 CHUNK = 8 << 20
+#: Rows that are spelled at once.
+_ROWS = 1 << 8
 #: Bits of an edge: its length (of marks alone: how much it lacks to the most), and below its rank its start.
 _LENGTH, _START = 7, 26
 _MOST = (1 << _LENGTH) - 1
@@ -88,8 +91,8 @@ class Model:
         for end in accumulate(map(ord, lengths)) if lengths is not None else range(1, len(unit) + 1):
             piece = unit[at:end]
             at = end
-            if piece in known:
-                out.append(known[piece])
+            if (i := known.get(piece)) is not None:
+                out.append(i)
             else:
                 out += [self.first_byte + b for b in piece.encode()]
         return out
@@ -299,14 +302,20 @@ def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), fold
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """``encoded`` with ``decoded``, the text that its ``ids`` spell; null ids give the empty text."""
     spelled = Model(path).spelled
+    flat, size = np.frombuffer(b"".join(spelled), np.uint8), np.array([len(x) for x in spelled])
     out = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())])
 
     def spell(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            texts = []
-            for ids in batch.column("ids"):
-                text = b"".join(map(spelled.__getitem__, ids.as_py() or ()))
-                texts.append(text.removeprefix(b" ").decode("utf-8", "replace"))
+            held, texts = batch.column("ids"), []
+            for low in range(0, len(held), _ROWS):
+                some = held.slice(low, _ROWS)
+                data, n = joined(flat, size, some.flatten().to_numpy())
+                # the bytes of each row end where its last piece does; null rows have no pieces
+                ends = np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(some), 0).to_numpy())
+                ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], ends])].tolist()
+                data = data.tobytes()
+                texts += [data[a:z].removeprefix(b" ").decode("utf-8", "replace") for a, z in pairwise(ends)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
     return encoded.mapInArrow(spell, out)
