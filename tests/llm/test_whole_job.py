@@ -146,3 +146,45 @@ def test_op10_counts_tokens(spark):
     sf = "/root/testdata/sf0.001"
     count = lambda q: sorted((r.doc_id, r.n_tokens) for r in q(spark, sf).collect())
     assert count(op10_packing) == count(op3_token_counts)
+
+
+GROWTH = """
+from newsloom.llm import tokens
+def held():
+    with open("/proc/self/statm") as f:
+        return int(f.read().split()[1]) * 4096 >> 20
+sizes = []
+for _ in range(5):
+    proved = tokens.whole_tokens({path!r}), tokens.merge_ranks({path!r})
+    del proved
+    sizes.append(held())
+print(sizes[-1] - sizes[0])
+"""
+
+
+def test_proofs_of_a_tokenizer_leave_the_driver_no_larger():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    told = subprocess.run([sys.executable, "-c", GROWTH.format(path=tokenizer("byte_bpe_50k.json"))], capture_output=True, text=True, check=True, cwd=Path(__file__).resolve().parents[2])
+    assert int(told.stdout) < 30  # MB; 80 and more when each call proves anew
+
+
+def test_a_changed_tokenizer_is_proved_anew(tmp_path):
+    import json
+
+    from newsloom.llm import tokens
+
+    with open(tokenizer("byte_bpe_50k.json"), encoding="utf-8") as f:
+        made = json.load(f)
+    path, ranks = tmp_path / "own.json", []
+    for n in (50, 40):
+        model = made["model"]
+        alone = [x for x in model["vocab"] if len(x) == 1]
+        merges = [m for m in model["merges"] if len("".join(m.split(" ") if isinstance(m, str) else m)) == 2][:n]
+        joined = ["".join(m.split(" ") if isinstance(m, str) else m) for m in merges]
+        vocab = {x: i for i, x in enumerate([*alone, *joined])}
+        path.write_text(json.dumps({**made, "added_tokens": [], "model": {**model, "vocab": vocab, "merges": merges}}), encoding="utf-8")
+        ranks.append((len(tokens.merge_ranks(str(path))), len(tokens.merge_ranks(str(path)))))
+    assert ranks == [(306, 306), (296, 296)]
