@@ -7,6 +7,9 @@ UTF-8 because the separators are ASCII.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -43,12 +46,26 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Folders that this process has written to the shared folder and not discarded.
 MADE: list[str] = []
+_NOTED: ContextVar[tuple[list[str], ...]] = ContextVar("noted", default=())
+
+
+@contextmanager
+def noted() -> Iterator[list[str]]:
+    """The folders, in order, that this thread writes to the shared folder inside the block."""
+    paths: list[str] = []
+    outer = _NOTED.get()
+    _NOTED.set((*outer, paths))
+    try:
+        yield paths
+    finally:
+        _NOTED.set(outer)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    MADE.append(path)
+    for paths in (MADE, *_NOTED.get()):
+        paths.append(path)
     return path
 
 
@@ -68,6 +85,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What ``make`` returns, ``stored``; the folders that it wrote on the way go."""
+    with noted() as paths:
+        made = make()
+    out = stored(made, name)
+    discard(spark, [p for p in paths if p in MADE])
+    return out
+
+
 def bucketed(df: DataFrame, n: int, keys: list[str], name: str) -> DataFrame:
     """``df`` in the shared folder, in ``n`` buckets of ``keys``, so that later joins on them read it in place.
 

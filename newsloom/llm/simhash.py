@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsloom.llm.common import aside, bucketed, mixed, partitions, restored, stored, stream
+from newsloom.llm.common import aside, bucketed, mixed, partitions, restored, settled, stored, stream
 from newsloom.llm.graph import components
 
 BITS = 64
@@ -232,9 +232,8 @@ def search(nodes: DataFrame, limits: dict[str, int]) -> tuple[DataFrame, DataFra
     met = probed_values(nodes, parts).join(ends, ["part", "value"])
     links = F.filter("some", lambda m: (m["fp"] != F.col("fp")) & near({c: (F.col(c), m[c]) for c in marks}, limits))
     first = met.select(F.col("fp").alias("a"), F.explode(F.transform(links, lambda m: m["fp"])).alias("b"))
-    groups = components(first, "a", "b")
-    known = nodes.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    known = stored(known.select(*marks, "root"), "simhash-groups")
+    named = lambda: nodes.join(components(first, "a", "b").withColumnRenamed("node", "fp"), "fp", "left").select(*marks, F.coalesce("root", "fp").alias("root"))
+    known = settled(nodes.sparkSession, named, "simhash-groups")
 
     held = held_values(known, parts)
     sizes = held.groupBy("part", "value", "root").agg(F.count("*").alias("c"))
@@ -445,7 +444,8 @@ def near_groups(nodes: DataFrame) -> DataFrame:
     rest = q.join(side(known, "b"), "value").where((F.col("root_a") != F.col("root_b")) & here & able).select("a", "b")
     rest = rest.join(either(close.union(pairs)), ["a", "b"], "left_anti").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = near_enough(stored(rest, "near-copies-second"), nodes)
-    return components(links.union(stored(more, "near-copies-more")), "a", "b")
+    # the groups of the first round stand for its links
+    return components(groups.select("node", "root").union(more), "node", "root")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
@@ -460,7 +460,7 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     order = F.struct(F.col("row.doc_id").isNull().alias("none"), F.col("row.doc_id").alias("doc_id"), F.col("at"))
     best = F.min_by(F.struct(order.alias("order"), "row", "text", "fp", "bands", "sketch"), order)
     nodes = bucketed(marked.groupBy("key").agg(best.alias("best")).select("key", "best.*").repartition(n, "key"), n, ["key"], "near_copies")
-    groups = stored(near_groups(nodes), "near-copies-groups")
+    groups = settled(docs.sparkSession, lambda: near_groups(nodes), "near-copies-groups")
     first = groups.join(nodes.select(F.col("key").alias("node"), "order"), "node").groupBy("root").agg(F.min(F.struct("order", "node")).alias("first"))
     gone = groups.select(F.col("node").alias("key")).join(first.select(F.col("first.node").alias("key")), "key", "left_anti")
     return nodes.join(gone, "key", "left_anti").select(*restored(docs.columns))

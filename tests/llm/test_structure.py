@@ -333,3 +333,43 @@ def test_a_large_group_of_near_copies_meets_few_pairs(spark, monkeypatch):
                 root = [min(a, b) if x in (a, b) else x for x in root]
     assert sorted(got) == sorted({*root})
     assert sum(met) < 50 * len(texts)
+
+
+def test_components_in_few_tasks_and_folders(spark):
+    from newsloom.llm.common import noted
+    from newsloom.llm.graph import components
+
+    rnd = random.Random(7)
+    rows = [(rnd.randint(0, 400), rnd.randint(0, 400)) for _ in range(300)] + [(None, 1), (2, 2), (900, 901), (901, 902), (902, 903)] + [(1000, i) for i in range(1001, 1100)]
+    root = {}
+    for a, b in rows:
+        if a is not None and a != b:
+            a, b = (root.setdefault(x, x) for x in (a, b))
+            root = {k: min(a, b) if v in (a, b) else v for k, v in root.items()}
+    links = spark.createDataFrame(rows, "a long, b long").repartition(1)
+    context, tracker = spark.sparkContext, spark.sparkContext.statusTracker()
+    context.setJobGroup("components", "")
+    with noted() as made:
+        found = components(links, "a", "b")
+    tasks, rounds = 0, sum("components-large" in path for path in made)
+    for job in tracker.getJobIdsForGroup("components"):
+        stages = [tracker.getStageInfo(k) for k in tracker.getJobInfo(job).stageIds]
+        tasks += sum(s.numCompletedTasks for s in stages if s)
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(map(tuple, found.collect())) == sorted(root.items())
+    assert tasks < 40 * (rounds or 1)
+    folder = context._jvm.org.apache.hadoop.fs.Path
+    left = [p for p in made if folder(p).getFileSystem(context._jsc.hadoopConfiguration()).exists(folder(p))]
+    assert left == made[-1:]
+
+
+def test_near_dedup_leaves_two_folders(spark):
+    from newsloom.llm.common import MADE
+    from newsloom.llm.simhash import drop_near_copies
+
+    rnd, before = random.Random(8), set(MADE)
+    base = [[f"w{rnd.randrange(9999)}" for _ in range(120)] for _ in range(6)]
+    texts = [" ".join([*b[:at], "other", *b[at + 1 :]]) for b in base for at in (3, 60, 118)]
+    kept = drop_near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 3, 6, 9, 12, 15]
+    assert len([p for p in MADE if p not in before]) == 2  # the nodes and their groups
