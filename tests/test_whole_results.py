@@ -151,3 +151,21 @@ def test_digest_names_every_reader(spark):
     rows = digest_with_readers(digest, users)
     assert rows.where("section <> 'reader'").count() == 3
     assert sorted((r.user_id, r.language, r.n_articles) for r in rows.where("section = 'reader'").collect()) == [(1, "fr", 2), (4, "en", 1)]
+
+
+def test_pages_of_any_size_are_read_whole(spark):
+    bodies = ("<p>a</p>" * 11_000, "<div>" * 70 + "x", "<p>" + "word " * 120_000 + "</p>")
+    shown = lambda trees: [(r.error, r.n) for r in trees.selectExpr("page_id", "error", "size(nodes) AS n").orderBy("page_id").collect()]
+    assert shown(tree.page_trees(pages_of(spark, *bodies), limited=False)) == [(None, 22_001), (None, 72), (None, 3)]
+    assert {error for error, _ in shown(tree.page_trees(pages_of(spark, *bodies)))} == {"resource_limit"}
+    # pages of a batch keep their own nodes, wherever it is cut
+    several = tree.page_trees(pages_of(spark, *[f"<i>{i}</i>" * (12_000 if i % 7 == 0 else 1) for i in range(150)]).coalesce(1), limited=False)
+    assert [r.t for r in several.selectExpr("page_id", "nodes[2].text AS t").orderBy("page_id").collect()] == [str(i) for i in range(150)]
+
+
+def test_long_values_are_read_whole(spark):
+    text = "word " * 20_000
+    rules = spark.createDataFrame([("page", "title", "p", "text", None)], "scope string, field string, selector string, read string, attr string")
+    trees = tree.page_trees(pages_of(spark, f"<p>{text}</p>")).withColumn("scope", F.lit("page"))
+    assert fields.read_fields(trees, rules, limited=False).first()["values"] == {"title": text.strip()}
+    assert fields.read_fields(trees, rules).first().error == "resource_limit"
