@@ -119,9 +119,9 @@ def portfolio_items(trees: DataFrame) -> DataFrame:
     return rows.groupBy("page_id", "name").agg(F.min_by("a", "pre").alias("a")).select("page_id", "a.*")
 
 
-def article_cards(trees: DataFrame, part: str = "/article/", least: int = 10, most: int = 500) -> DataFrame:
+def article_cards(trees: DataFrame, part: str = "/article/", least: int = 10, most: int = 500, repeats: bool = False) -> DataFrame:
     """``page_id, title, url, external_id, content, image_url`` of ``<article>`` cards: first link (whose address holds ``part``),
-    first heading, first paragraph, image; the first card of each link on a page, before titles are looked at."""
+    first heading, first paragraph, image; the first card of each link on a page, before titles are looked at, or all with ``repeats``."""
     nodes = F.col("nodes")
     # each card takes along its own part of the page only
     own = F.transform(F.filter(nodes, lambda n: (n.tag == "article") & ~n.hidden), lambda n: F.struct(n.pre.alias("pre"), subtree(nodes, n).alias("nodes")))
@@ -133,21 +133,23 @@ def article_cards(trees: DataFrame, part: str = "/article/", least: int = 10, mo
     told = lambda c: F.nullif(seen_text(below(F.col(c))), F.lit(""))
     image = F.coalesce(F.nullif(F.try_element_at("i.attrs", F.lit("src")), F.lit("")), F.try_element_at("i.attrs", F.lit("data-src")))
     rows = cards.select("page_id", F.col("card.pre").alias("pre"), F.col("a.attrs")["href"].alias("url"), told("h").alias("title"), told("p").alias("content"), image.alias("image_url")).where(F.contains("url", F.lit(part)))
-    one = rows.groupBy("page_id", "url").agg(F.min_by(F.struct("title", "content", "image_url"), "pre").alias("c"))
+    card = F.struct("title", "content", "image_url")
+    one = rows.select("page_id", "url", card.alias("c")) if repeats else rows.groupBy("page_id", "url").agg(F.min_by(card, "pre").alias("c"))
     return one.where(F.length("c.title") >= least).select("page_id", F.substring("c.title", 1, most).alias("title"), "url", url_identity(F.col("url")).alias("external_id"), "c.content", "c.image_url")
 
 
-def scan_html_items(trees: DataFrame, selectors: DataFrame) -> DataFrame:
+def scan_html_items(trees: DataFrame, selectors: DataFrame, limited: bool = True) -> DataFrame:
     """``page_id, scope, item, title, url, external_id, content, author, image_url, published_at`` of list pages ``page_id, scope, url, nodes``.
 
     ``selectors``: ``scope, item, link, title, content, author, image, date`` (CSS). An item without a title or an http(s) link is left out; a
-    date is its ``datetime`` attribute or else its text, an image its ``src`` or else its ``data-src``.
+    date is its ``datetime`` attribute or else its text, an image its ``src`` or else its ``data-src``. ``limited`` leaves out
+    items whose values are beyond the limits of ``read_fields``.
     """
     plan = [(ITEM, "item", "text", None), ("link", "link", "attr", "href"), ("image", "image", "attr", "src"), ("later_image", "image", "attr", "data-src"), ("date", "date", "attr", "datetime"), ("date_text", "date", "text", None)]
     plan += [(c, c, "text", None) for c in ("title", "content", "author")]
     rows = F.array(*[F.struct(F.lit(f).alias("field"), F.col(s).alias("selector"), F.lit(r).alias("read"), F.lit(a).cast("string").alias("attr")) for f, s, r, a in plan])
     rules = selectors.select("scope", F.inline(rows)).where("selector is not null")
-    read = read_fields(trees.select("page_id", "scope", "nodes"), rules, None).where("error is null").join(trees.select("page_id", "scope", F.col("url").alias("page_url")), ["page_id", "scope"])
+    read = read_fields(trees.select("page_id", "scope", "nodes"), rules, None, limited).where("error is null").join(trees.select("page_id", "scope", F.col("url").alias("page_url")), ["page_id", "scope"])
     of = lambda c: F.try_element_at("values", F.lit(c))
     url = resolve_url(F.col("page_url"), of("link"))
     found = read.select("page_id", "scope", "item", of("title").alias("title"), url.alias("url"), url_identity(url).alias("external_id"), of("content").alias("content"), of("author").alias("author"), F.coalesce(of("image"), of("later_image")).alias("image_url"), F.coalesce(parse_date(of("date"), "UTC"), parse_date(of("date_text"), "UTC")).alias("published_at"))

@@ -169,3 +169,9 @@ def test_long_values_are_read_whole(spark):
     trees = tree.page_trees(pages_of(spark, f"<p>{text}</p>")).withColumn("scope", F.lit("page"))
     assert fields.read_fields(trees, rules, limited=False).first()["values"] == {"title": text.strip()}
     assert fields.read_fields(trees, rules).first().error == "resource_limit"
+
+
+def test_every_card_of_a_repeated_link(spark):
+    trees = tree.page_trees(pages_of(spark, "<article><a href='/x'><h2>The first title</h2></a></article><article><a href='/x'><h2>The second title</h2></a></article>"))
+    assert sorted(r.title for r in directories.article_cards(trees, part="/", repeats=True).collect()) == ["The first title", "The second title"]
+    assert directories.article_cards(trees, part="/").first().title == "The first title"
