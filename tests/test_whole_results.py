@@ -175,3 +175,23 @@ def test_every_card_of_a_repeated_link(spark):
     trees = tree.page_trees(pages_of(spark, "<article><a href='/x'><h2>The first title</h2></a></article><article><a href='/x'><h2>The second title</h2></a></article>"))
     assert sorted(r.title for r in directories.article_cards(trees, part="/", repeats=True).collect()) == ["The first title", "The second title"]
     assert directories.article_cards(trees, part="/").first().title == "The first title"
+
+
+def test_large_hosts_and_texts_as_in_sql(spark, tmp_path):
+    import duckdb
+
+    from newsloom.plans.queries import QUERIES, SQL
+
+    def page(i):
+        text = "word and more " * 6_000 if i == 7 else f"The text of number {i}."
+        url = f"https://e.org/{'x' * 400}/{i - i % 1000 % 2 if i > 2_000 else i}"  # some links twice
+        return 3 * i, url, f'<html lang="fr"><head><title>t</title></head><body><article><h1>Title number {i}</h1><p>{text}</p><p>Number {i}.</p></article></body></html>'
+
+    rows = [page(i) for i in range(2_600)] + [(20_000, "https://f.org/1", page(1)[2])]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    for name in ("article_cards", "read_fields", "recipe_extract", "run_report", "scan_html_items"):
+        df = QUERIES[name](spark, str(tmp_path))
+        wanted = duck.execute(f"SELECT {', '.join(df.columns)} FROM ({SQL[name]})").fetchall()
+        assert sorted(map(tuple, df.collect()), key=repr) == sorted(wanted, key=repr), name
