@@ -94,6 +94,15 @@ def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> Da
     return out
 
 
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """``df`` for a join that deals both sides out by key, whatever their sizes are thought to be.
+
+    Spark judges a table by its compressed files and does not count the rows that ``explode`` and ``inline`` add, so a side
+    that grows with the input can pass for small, by a factor of over 100, and be sent whole through the driver.
+    """
+    return df.hint("merge")
+
+
 def bucketed(df: DataFrame, n: int, keys: list[str], name: str) -> DataFrame:
     """``df`` in the shared folder, in ``n`` buckets of ``keys``, so that later joins on them read it in place.
 

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsloom.llm.common import aside, bucketed, mixed, partitions, restored, settled, stored, stream
+from newsloom.llm.common import aside, bucketed, by_shuffle, mixed, partitions, restored, settled, stored, stream
 from newsloom.llm.graph import components
 
 BITS = 64
@@ -229,21 +229,21 @@ def search(nodes: DataFrame, limits: dict[str, int]) -> tuple[DataFrame, DataFra
     drawn = [F.min(F.struct(F.xxhash64("fp", "part", F.lit(salt)).alias("order"), *marks)) for salt in range(MEMBERS)]
     some = F.array_distinct(F.transform(F.array(*[F.col(f"m{salt}") for salt in range(MEMBERS)]), lambda m: F.struct(*[m[c].alias(c) for c in marks])))
     ends = held_values(nodes, parts).groupBy("part", "value").agg(*[d.alias(f"m{salt}") for salt, d in enumerate(drawn)]).select("part", "value", some.alias("some"))
-    met = probed_values(nodes, parts).join(ends, ["part", "value"])
+    met = probed_values(nodes, parts).join(by_shuffle(ends), ["part", "value"])
     links = F.filter("some", lambda m: (m["fp"] != F.col("fp")) & near({c: (F.col(c), m[c]) for c in marks}, limits))
     first = met.select(F.col("fp").alias("a"), F.explode(F.transform(links, lambda m: m["fp"])).alias("b"))
-    named = lambda: nodes.join(components(first, "a", "b").withColumnRenamed("node", "fp"), "fp", "left").select(*marks, F.coalesce("root", "fp").alias("root"))
+    named = lambda: nodes.join(by_shuffle(components(first, "a", "b").withColumnRenamed("node", "fp")), "fp", "left").select(*marks, F.coalesce("root", "fp").alias("root"))
     known = settled(nodes.sparkSession, named, "simhash-groups")
 
     held = held_values(known, parts)
     sizes = held.groupBy("part", "value", "root").agg(F.count("*").alias("c"))
     top = sizes.groupBy("part", "value").agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("n"))
     top = top.select("part", "value", F.col("m.root").alias("top"), (F.col("n") > F.col("m.c")).alias("mixed"))
-    asking = probed_values(known, parts).join(top, ["part", "value"])
+    asking = probed_values(known, parts).join(by_shuffle(top), ["part", "value"])
     sides = F.array_compact(F.array(F.when(F.col("root") != F.col("top"), F.lit(True)), F.when(F.col("mixed"), F.lit(False))))
     asking = asking.select("part", "value", *marks, "root", F.explode(sides).alias("is_top"))
-    there = held.join(top, ["part", "value"]).select("part", "value", *marks, "root", (F.col("root") == F.col("top")).alias("is_top"))
-    meets = asking.alias("q").join(there.alias("x"), ["part", "value", "is_top"])
+    there = held.join(by_shuffle(top), ["part", "value"]).select("part", "value", *marks, "root", (F.col("root") == F.col("top")).alias("is_top"))
+    meets = asking.alias("q").join(by_shuffle(there).alias("x"), ["part", "value", "is_top"])
     second = meets.where((F.col("q.root") != F.col("x.root")) & near({c: (F.col(f"q.{c}"), F.col(f"x.{c}")) for c in marks}, limits))
     return first, known, second.select(F.col("q.fp").alias("a"), F.col("x.fp").alias("b"), F.col("q.root").alias("root_a"), F.col("x.root").alias("root_b"))
 
@@ -252,7 +252,7 @@ def linked_groups(nodes: DataFrame, limits: dict[str, int]) -> DataFrame:
     """``fp, root`` of all nodes; nodes that link, directly or by others, have one root."""
     _, known, second = search(nodes, limits)
     over = components(second.select("root_a", "root_b"), "root_a", "root_b")
-    joined = known.join(over.select(F.col("node").alias("root"), F.col("root").alias("over")), "root", "left")
+    joined = known.join(by_shuffle(over.select(F.col("node").alias("root"), F.col("root").alias("over"))), "root", "left")
     return joined.select("fp", F.coalesce("over", "root").alias("root"))
 
 
@@ -261,11 +261,11 @@ def simhash_components(docs: DataFrame, radius: int = 3, shingle: int = 3) -> Da
     marked = stored(fingerprints(docs, ["doc_id"], {"fp": (shingle, False)}), "simhash")
     nodes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
     groups = linked_groups(nodes.select("fp"), {"fp": radius})
-    named = nodes.join(groups, "fp")
+    named = nodes.join(by_shuffle(groups), "fp")
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = named.select("fp", "root").join(names, "root").select("fp", "component_id")
+    of = named.select("fp", "root").join(by_shuffle(names), "root").select("fp", "component_id")
     written = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return marked.join(of, "fp").select("doc_id", written.alias("fingerprint"), "component_id")
+    return marked.join(by_shuffle(of), "fp").select("doc_id", written.alias("fingerprint"), "component_id")
 
 
 # -- the pipeline's stage -----------------------------------------------------------------------
@@ -377,7 +377,7 @@ def near_enough(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     text = lambda key, name: nodes.select(F.col("key").alias(key), F.col("text").alias(name))
     there = stored(pairs.select("b").distinct().join(text("b", "y"), "b"), "near-copies-texts")
-    return pairs.join(text("a", "x"), "a").join(there, "b").select("a", "b", "x", "y").mapInArrow(judge, "a binary, b binary")
+    return pairs.join(text("a", "x"), "a").join(by_shuffle(there), "b").select("a", "b", "x", "y").mapInArrow(judge, "a binary, b binary")
 
 
 def spanning(links: DataFrame) -> DataFrame:
@@ -402,8 +402,8 @@ def bit_pairs(nodes: DataFrame) -> DataFrame:
     drawn, _, across = search(first.select("fp"), {"fp": STAGE_RADIUS})
     met = drawn.union(across.select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     key = lambda fp, name: first.select(F.col("fp").alias(fp), F.col("key").alias(name))
-    met = met.join(key("a", "key_a"), "a").join(key("b", "key_b"), "b").select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
-    equal = marks.select(F.col("key").alias("a"), "fp").join(key("fp", "b"), "fp").where("a <> b").select("a", "b")
+    met = met.join(by_shuffle(key("a", "key_a")), "a").join(by_shuffle(key("b", "key_b")), "b").select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
+    equal = marks.select(F.col("key").alias("a"), "fp").join(by_shuffle(key("fp", "b")), "fp").where("a <> b").select("a", "b")
     return met.union(equal)
 
 
@@ -419,18 +419,18 @@ def near_groups(nodes: DataFrame) -> DataFrame:
     links = stored(near_enough(close, nodes), "near-copies-by-bits")
     held = nodes.select("key", F.explode("bands").alias("value"))
     several = stored(held.groupBy("value").agg(F.count("*").alias("n")).where("n > 1").select("value"), "near-copies-values")
-    held = stored(held.join(several, "value"), "near-copies-held")  # few values are shared at all
+    held = stored(held.join(by_shuffle(several), "value"), "near-copies-held")  # few values are shared at all
     drawn = [F.min(F.struct(F.xxhash64("key", F.lit(salt)).alias("order"), "key")).alias(f"m{salt}") for salt in range(DRAWN)]
     some = F.array_distinct(F.array(*[F.col(f"m{salt}")["key"] for salt in range(DRAWN)]))
     ends = stored(held.groupBy("value").agg(*drawn).select("value", some.alias("some")), "near-copies-drawn")
-    met = held.join(ends, "value").select(F.col("key").alias("a"), F.explode("some").alias("b")).where("a <> b").distinct()
-    pairs = stored(met.join(either(close), ["a", "b"], "left_anti"), "near-copies-first")
+    met = held.join(by_shuffle(ends), "value").select(F.col("key").alias("a"), F.explode("some").alias("b")).where("a <> b").distinct()
+    pairs = stored(met.join(by_shuffle(either(close)), ["a", "b"], "left_anti"), "near-copies-first")
     links = links.union(stored(spanning(near_enough(pairs, nodes)), "near-copies-links"))
     groups = components(links, "a", "b")
 
     known = nodes.select("key", "bands").join(held.select("key").distinct(), "key", "left_semi").join(groups.select(F.col("node").alias("key"), "root"), "key", "left")
     known = known.select("key", "bands", F.coalesce("root", "key").alias("root"), F.explode("bands").alias("value"))
-    known = stored(known.join(several, "value"), "near-copies-roots")
+    known = stored(known.join(by_shuffle(several), "value"), "near-copies-roots")
     sizes = known.groupBy("value", "root").agg(F.count("*").alias("c"))
     mixed_values = sizes.groupBy("value").agg(F.max(F.struct("c", "root")).alias("m"), F.count("*").alias("roots")).where("roots > 1")
     mixed_values = stored(mixed_values.select("value", F.col("m.root").alias("top")), "near-copies-mixed")
@@ -441,8 +441,8 @@ def near_groups(nodes: DataFrame) -> DataFrame:
     # a pair that shares several values is met at the least of them
     here = F.array_min(F.array_intersect("bands_a", "bands_b")) == F.col("value")
     able = may_be_near(F.col("sketch_a"), F.col("sketch_b"))
-    rest = q.join(side(known, "b"), "value").where((F.col("root_a") != F.col("root_b")) & here & able).select("a", "b")
-    rest = rest.join(either(close.union(pairs)), ["a", "b"], "left_anti").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rest = by_shuffle(q).join(side(known, "b"), "value").where((F.col("root_a") != F.col("root_b")) & here & able).select("a", "b")
+    rest = rest.join(by_shuffle(either(close.union(pairs))), ["a", "b"], "left_anti").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = near_enough(stored(rest, "near-copies-second"), nodes)
     # the groups of the first round stand for its links
     return components(groups.select("node", "root").union(more), "node", "root")

@@ -373,3 +373,18 @@ def test_near_dedup_leaves_two_folders(spark):
     kept = drop_near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     assert sorted(r.doc_id for r in kept.collect()) == [0, 3, 6, 9, 12, 15]
     assert len([p for p in MADE if p not in before]) == 2  # the nodes and their groups
+
+
+def test_the_search_sends_no_side_that_grows_through_the_driver(spark):
+    from pyspark.sql import functions as F
+
+    from newsloom.llm import simhash
+    from newsloom.llm.common import stored
+
+    rows = spark.range(3000).select(F.xxhash64(F.col("id") % 1500).bitwiseXOR(F.when(F.col("id") < 1500, 0).otherwise(5).cast("long")).alias("fp"))
+    first, known, second = simhash.search(stored(rows.distinct(), "search-nodes"), {"fp": 3})
+    for df in (first, second):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert first.count() and known.select("root").distinct().count() == 1500
